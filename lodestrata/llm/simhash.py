@@ -236,30 +236,38 @@ def links(distinct: DataFrame, budget: int = BUDGET, leaf_size: int = LEAF_SIZE)
         if a != b:
             tasks[b].append(t)
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, n = [np.array(x, np.int64) for x in tasks], np.array([len(x) for x in tasks], np.int64)
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = b["fp"].to_numpy(np.int64)
-            leaf = np.searchsorted(lows, fp.view(np.uint64), "right") - 1
-            times = n[leaf]
-            yield pd.DataFrame({"task": np.concatenate([of[x] for x in leaf.tolist()]) if len(fp) else fp, "fp": np.repeat(fp, times)})
+            yield pd.DataFrame({"leaf": np.searchsorted(lows, fp.view(np.uint64), "right") - 1, "fp": fp})
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"leaf": [key[0]], "fps": [np.unique(rows["fp"].to_numpy(np.int64).view(np.uint64)).tobytes()]})
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for leaf, fps in zip(b["leaf"], b["fps"], strict=True):
+                yield pd.DataFrame({"task": tasks[leaf], "leaf": leaf, "fps": [fps] * len(tasks[leaf])})
 
     def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         a, b = pairs[key[0]]
-        fp = np.unique(rows["fp"].to_numpy(np.int64).view(np.uint64))
-        stars = _Links(len(fp))
+        fps = {leaf: np.frombuffer(x, np.uint64) for leaf, x in zip(rows["leaf"], rows["fps"], strict=True)}
         if a == b:
+            fp = fps[a]
+            stars = _Links(len(fp))
             trie_join(fp, None, budget, stars.add)
         else:
-            own = np.searchsorted(lows, fp, "right") - 1 == a
-            i, j = np.flatnonzero(own), np.flatnonzero(~own)
-            trie_join(fp[own], fp[~own], budget, lambda x, y: stars.add(i[x], j[y]))
+            fp, n = np.concatenate((fps[a], fps[b])), len(fps[a])
+            stars = _Links(len(fp))
+            trie_join(fps[a], fps[b], budget, lambda x, y: stars.add(x, n + y))
         root = stars.settle()
         moved = np.flatnonzero(root != np.arange(len(fp)))
         signed = fp.view(np.int64)
         return pd.DataFrame({"u": signed[moved], "v": signed[root[moved]]})
 
-    dealt = distinct.select("fp").mapInPandas(deal, "task long, fp long")
+    # each fingerprint is shuffled once, to its node; from there whole nodes go to their tasks as packed arrays
+    nodes = distinct.select("fp").mapInPandas(place, "leaf int, fp long").groupBy("leaf").applyInPandas(pack, "leaf int, fps binary")
+    dealt = nodes.mapInPandas(deal, "task int, leaf int, fps binary")
     return dealt.repartition(max(partitions(distinct), min(len(pairs), 20_000)), "task").groupBy("task").applyInPandas(walk, "u long, v long")
 
 
