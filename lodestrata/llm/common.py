@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,7 +73,7 @@ def put_file(uri: str, chunks: Iterable[bytes]) -> None:
     """Write a file under a name of its own, then rename it: a retried or speculative task leaves one whole file."""
     fs, path = pafs.FileSystem.from_uri(uri)
     part = f"{path}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(part, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
     fs.move(part, path)
@@ -82,21 +82,9 @@ def put_file(uri: str, chunks: Iterable[bytes]) -> None:
 def open_file(uri: str):
     """Open a file of the shared folder for sequential reading."""
     fs, path = pafs.FileSystem.from_uri(uri)
-    return fs.open_input_stream(path)
+    return fs.open_input_stream(path, compression=None)
 
 
 def partitions(df: DataFrame) -> int:
     """The session's shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def grouped(items: Iterable, n: int) -> Iterator[list]:
-    """Runs of at most n items."""
-    run: list = []
-    for x in items:
-        run.append(x)
-        if len(run) >= n:
-            yield run
-            run = []
-    if run:
-        yield run

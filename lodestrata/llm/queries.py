@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontaminate, simhash, spotsigs, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spotsigs": spotsigs.query,
     "op3_simhash_trie": simhash.query,
+    "op4_counterfactual_toxicity": toxicity.query,
+    "op9_ngram_decontamination": decontaminate.query,
+    "op10_warc_sequential": warc.query,
 }
 
 ORACLES: dict[str, str] = {}
