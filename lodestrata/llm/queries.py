@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, simhash, spotsigs, toxicity, warc
+from . import decontaminate, mixture, sharding, simhash, spotsigs, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": spotsigs.query,
+    "op2_redirect_equivalence": url_filter.query,
     "op3_simhash_trie": simhash.query,
     "op4_counterfactual_toxicity": toxicity.query,
+    "op6_curriculum_mixture": mixture.query,
+    "op8_kd_sharding": sharding.query,
     "op9_ngram_decontamination": decontaminate.query,
     "op10_warc_sequential": warc.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_redirect_equivalence": url_filter.ORACLE_SQL,
+    "op6_curriculum_mixture": mixture.ORACLE_SQL,
+}
