@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixture, sharding, simhash, spotsigs, toxicity, url_filter, warc
+from . import decontaminate, kneser_ney, mixture, sharding, simhash, spotsigs, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": spotsigs.query,
     "op2_redirect_equivalence": url_filter.query,
     "op3_simhash_trie": simhash.query,
     "op4_counterfactual_toxicity": toxicity.query,
+    "op5_kneser_ney": kneser_ney.query,
     "op6_curriculum_mixture": mixture.query,
     "op8_kd_sharding": sharding.query,
     "op9_ngram_decontamination": decontaminate.query,
