@@ -265,3 +265,28 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def digest(names: Iterable[str]) -> str:
     """The digest that ``query`` gives for a set of item names."""
     return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+WITH i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, w, least({WINDOW}, len(w)) AS k FROM (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+), wins AS (
+  SELECT DISTINCT item, k, array_to_string(w[s:s + k - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM i)
+), d AS (
+  SELECT doc_id, {_SQL_WORDS} AS w FROM documents
+), hits AS (
+  SELECT DISTINCT doc_id, s, k, item FROM (
+    SELECT doc_id, s, k, array_to_string(w[s:s + k - 1], ' ') AS win FROM (
+      SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM wins)
+    )
+  ) JOIN wins USING (k, win)
+), marks AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND {SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN marks USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

@@ -273,3 +273,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: every page written to an archive and read back."""
     _, files = write(table(spark, sf_dir, "pages"))
     return read_archives(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The digest in base32: 20 bits of the hexadecimal one at a time, five for each letter.
+ORACLE_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages
+), d AS (
+  SELECT *, sha1(html) AS h FROM p
+)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST((i // 4) * 5 + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d
+"""
