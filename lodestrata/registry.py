@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
+from . import plans
+
 FLAGSHIP = "relation_stats"
 
 
 def _modules() -> list:
-    return []
+    """Every module of ``plans`` that registers queries, by name."""
+    names = sorted(m.name for m in pkgutil.iter_modules(plans.__path__) if m.name != "base")
+    return [importlib.import_module(f"{plans.__name__}.{n}") for n in names]
 
 
 def queries() -> dict[str, Callable]:
