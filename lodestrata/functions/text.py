@@ -148,6 +148,7 @@ def spans_of(prompt: str | None, max_words: int = 10, max_chars: int = 60) -> li
             span = " ".join(words[i : i + n])
             forms = [span, span.rstrip(_TRIM), span.strip(_TRIM)]
             forms += [re.sub(r"['’]s$", "", f) for f in forms]
+            forms += [f.strip(_TRIM) for f in forms]
             for f in forms:
                 if f and len(f) <= max_chars:
                     seen.setdefault(f)
