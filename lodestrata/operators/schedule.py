@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import frozen
+
 #: Buckets into which prefix sums cut an order.
 BUCKETS = 64
 
@@ -62,11 +64,8 @@ def deficit_order(records: DataFrame, lane_weights: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame, *order: Column | str, out: str = "sequence") -> DataFrame:
     """rows with their place in an order: they are range-sorted, the ranges are counted, and each continues where the one before ended."""
-    from pyspark import StorageLevel
-
-    placed = rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
-    # the sort must not run again between counting and numbering
-    placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
+    # the sort must not run again between counting and numbering, nor after a lost executor
+    placed = frozen(rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     counts = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
