@@ -227,9 +227,8 @@ def _sliced(kind: str, shard: np.ndarray, keys: np.ndarray, counts: np.ndarray)
     """A packed row for each shard; keys ascend within each."""
     order = np.argsort(shard, kind="stable")
     shard, keys, counts = shard[order], keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else np.zeros(0, np.int64)
-    ends = np.append(first[1:], len(shard))
-    return pd.DataFrame({"kind": kind, "shard": shard[first].astype(np.int64), "data": [pack(keys[a:b], counts[a:b]) for a, b in zip(first, ends, strict=True)]})
+    parts = _spans(shard)
+    return pd.DataFrame({"kind": kind, "shard": np.array([shard[a] for a, _ in parts], np.int64), "data": [pack(keys[a:b], counts[a:b]) for a, b in parts]})
 
 
 ROWS = "kind string, shard long, data binary"

@@ -113,3 +113,10 @@ def test_empty_and_nothing_to_learn_from(spark):
     (g,) = kn.score(d := frame(spark, [(held, "a b")]), kn.train(d)).collect()
     assert (g["train_tokens"], g["n_known"], g["base_score"], g["score"]) == (0, 0, 0.0, 0.0)
     assert kn.score(d.filter("false"), kn.train(d.filter("false"))).collect() == []
+
+
+def test_tasks_without_rows(spark):
+    rows = corpus(3, 12)
+    few, many = (kn.score(d, kn.train(d)).collect() for d in (frame(spark, rows).coalesce(1), frame(spark, rows).repartition(40)))
+    key = lambda g: (str(g["doc_id"]), g["n_tokens"], round(g["score"], 9))
+    assert sorted(map(key, few)) == sorted(map(key, many))
