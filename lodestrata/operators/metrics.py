@@ -26,7 +26,8 @@ def wilson_parts(k: Column, n: Column, z: float) -> tuple[Column, Column]:
 def wilson_clamped(k: Column, n: Column) -> tuple[Column, Column]:
     """P3 (a): z = 1.96, clamped to [0, 1], (0, 0) for n = 0."""
     c, r = wilson_parts(k, n, Z_ROUNDED)
-    return F.coalesce(F.greatest(F.lit(0.0), c - r), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), c + r), F.lit(0.0))
+    # least and greatest skip nulls, so the empty case is told first
+    return F.when(n > 0, F.greatest(F.lit(0.0), c - r)).otherwise(0.0), F.when(n > 0, F.least(F.lit(1.0), c + r)).otherwise(0.0)
 
 
 def wilson_exact(k: Column, n: Column) -> tuple[Column, Column]:
