@@ -138,30 +138,26 @@ def uncontained(matches: DataFrame, spans: DataFrame, bucket: int = RANGE_BUCKET
 def pattern_matches(records: DataFrame, patterns: DataFrame, most: int = 10_000) -> DataFrame:
     """(record, start, end, pattern): every occurrence of a token pattern, overlapping ones too, none across records.
 
-    ``records`` are (record, tokens), ``patterns`` (pattern, tokens). For each
-    distinct length, windows that begin with some pattern's first token meet the
-    patterns in a join; up to ``most`` patterns their first tokens are tested within the row beforehand.
+    ``records`` are (record, tokens), ``patterns`` (pattern, tokens). Windows of
+    each distinct length meet the patterns in a join; up to ``most`` patterns,
+    only windows that begin with some pattern's first token leave their row.
     """
     known = patterns.select("pattern", F.col("tokens").alias("p")).filter(F.size("p") > 0)
     lengths = sorted(r["n"] for r in known.select(F.size("p").alias("n")).distinct().collect())
-    few = known.limit(most + 1).count() <= most
-    found = [_of_length(records, known, n, few) for n in lengths]
-    if not found:
+    if not lengths:
         return records.select("record", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).filter("false").crossJoin(known.select("pattern"))
-    return functools.reduce(DataFrame.unionByName, found)
-
-
-def _of_length(records: DataFrame, known: DataFrame, n: int, few: bool) -> DataFrame:
-    own = known.filter(F.size("p") == n)
-    starts = F.sequence(F.lit(0), F.size("tokens") - n)
+    few = known.limit(most + 1).count() <= most
+    starts = F.sequence(F.lit(0), F.size("tokens") - 1)
     if few:
-        begins = F.array(*[F.lit(r["f"]) for r in own.select(F.element_at("p", 1).alias("f")).distinct().collect()])
+        begins = F.array(*[F.lit(r["f"]) for r in known.select(F.element_at("p", 1).alias("f")).distinct().collect()])
         starts = F.filter(starts, lambda i: F.array_contains(begins, F.get("tokens", i)))
-    at = F.when(F.size("tokens") >= n, F.transform(starts, lambda i: F.struct(i.alias("i"), F.slice("tokens", i + 1, n).alias("w"))))
+    # one pass over the tokens: the longest window from each start; shorter ones are its beginnings
+    at = F.when(F.size("tokens") > 0, F.transform(starts, lambda i: F.struct(i.alias("i"), F.slice("tokens", i + 1, lengths[-1]).alias("w"))))
     windows = records.select("record", F.explode(at).alias("x")).select("record", F.col("x.i").cast("long").alias("start"), F.col("x.w").alias("w"))
+    each = windows.select("record", "start", "w", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).filter("size(w) >= n")
     # patterns are sent to every task only if they are known to be few
-    side = F.broadcast(own) if few else own
-    return windows.join(side, F.col("w") == F.col("p")).select("record", "start", (F.col("start") + n).alias("end"), "pattern")
+    side = F.broadcast(known) if few else known
+    return each.join(side, F.slice("w", F.lit(1), F.col("n")) == F.col("p")).select("record", "start", (F.col("start") + F.col("n")).alias("end"), "pattern")
 
 
 def payload_counts(payloads: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import masks as op
+from ..storage import frozen
 from . import schedule
 from .base import LANES, lanes, read, with_
 
@@ -14,7 +15,9 @@ SEED = "controls-v1"
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(span_id, record, n, role, external, start, end, length, position_bin)."""
-    rows = lanes(spark, sf_dir).filter("token_length >= 7").select(F.col("ordinal").alias("record"), F.col("token_length").alias("n"), F.explode(F.sequence(F.lit(0), F.expr("token_length div 7 - 1"))).alias("k"))
+    # two numbers a document are kept and dealt evenly; the texts are read once, however often spans are asked for
+    counted = frozen(lanes(spark, sf_dir).filter("token_length >= 7").select("ordinal", "token_length").repartition("ordinal"))
+    rows = counted.select(F.col("ordinal").alias("record"), F.col("token_length").alias("n"), F.explode(F.sequence(F.lit(0), F.expr("token_length div 7 - 1"))).alias("k"))
     s, two = F.col("k") * 7, F.col("k") % 2
     parts = F.array(
         F.struct(F.lit("payload").alias("role"), s.alias("start"), (s + 1 + two).alias("end")),
@@ -37,12 +40,13 @@ CONTROLS = f"""controls AS (SELECT * FROM (SELECT s.*, demand, row_number() OVER
 RANGES = """ranges AS (SELECT 'split' AS condition, record, s, e FROM spans WHERE role = 'payload' UNION ALL SELECT 'selective', record, s, e FROM spans WHERE role = 'payload' AND external UNION ALL SELECT 'random', record, s, e FROM controls)"""
 
 
-def _controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.matched_controls(spans(spark, sf_dir), SEED)
+def _controls(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    return op.matched_controls(spans(spark, sf_dir) if own is None else own, SEED)
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.masked_ranges(spans(spark, sf_dir), _controls(spark, sf_dir))
+    own = spans(spark, sf_dir)
+    return op.masked_ranges(own, _controls(spark, sf_dir, own))
 
 
 def mask_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +110,8 @@ def range_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    return read(spark, sf_dir, name).select(F.col(key).alias("record"), F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "").alias("tokens"))
+    bare = F.btrim("text", F.lit(" \t\n\r"))
+    return read(spark, sf_dir, name).select(F.col(key).alias("record"), F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[ \t\n\r]+")).alias("tokens"))
 
 
 def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +170,8 @@ def split_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sidecar_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The checks of the weight sidecars, with the violations that these controls and matches have."""
-    s, c = spans(spark, sf_dir), _controls(spark, sf_dir)
+    s = spans(spark, sf_dir)
+    c = _controls(spark, sf_dir, s)
     return op.audit(s, c, op.positions(op.masked_ranges(s, c)), _matches(spark, sf_dir))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import paths as op
+from ..storage import frozen
 from .base import TRIPLES, triples, with_
 
 ORDER, SPLIT, LIMIT, HOPS = ["P3", "P1", "P2", "P4", "P5", "P6"], "valid", 2000, 6
@@ -40,19 +41,16 @@ FULL = "full_ AS (SELECT h.*, s.successor AS alternative, CASE WHEN status = 'ok
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.address_stats(triples(spark, sf_dir))
-
+    """The address table, made once: roots, every hop and the accounting read it."""
+    return frozen(op.address_stats(triples(spark, sf_dir)))
 
-def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.roots(_stats(spark, sf_dir), SPLIT, LIMIT)
 
+def _hops(stats: DataFrame) -> DataFrame:
+    return op.expand(op.roots(stats, SPLIT, LIMIT), stats, ORDER, HOPS)
 
-def _hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.expand(_roots(spark, sf_dir), _stats(spark, sf_dir), ORDER, HOPS)
 
-
-def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.with_alternatives(_hops(spark, sf_dir), op.successors(triples(spark, sf_dir)))
+def _full(spark: SparkSession, sf_dir: str, stats: DataFrame | None = None) -> DataFrame:
+    return op.with_alternatives(_hops(_stats(spark, sf_dir) if stats is None else stats), op.successors(triples(spark, sf_dir)))
 
 
 def _path_text(c: str = "path"):
@@ -61,17 +59,17 @@ def _path_text(c: str = "path"):
 
 def address_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3."""
-    return _stats(spark, sf_dir)
+    return op.address_stats(triples(spark, sf_dir))
 
 
 def selected_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2."""
-    return _roots(spark, sf_dir)
+    return op.roots(op.address_stats(triples(spark, sf_dir)), SPLIT, LIMIT)
 
 
 def path_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1, G2, J4."""
-    rows = _hops(spark, sf_dir)
+    rows = _hops(_stats(spark, sf_dir))
     return rows.select("root", "root_relation", "hop", "status", "relation", "object", F.when(F.col("path").isNotNull(), _path_text()).alias("path"))
 
 
@@ -87,21 +85,24 @@ def successor_wrap_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def path_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5."""
-    return op.accounting(_full(spark, sf_dir), _stats(spark, sf_dir).filter("n = 1").count(), LIMIT, HOPS)
+    stats = _stats(spark, sf_dir)
+    return op.accounting(_full(spark, sf_dir, stats), stats.filter("n = 1").count(), LIMIT, HOPS)
 
 
 def exclusion_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A6."""
-    return op.exclusion_ledger(_stats(spark, sf_dir), _full(spark, sf_dir), ORDER[:5])
+    stats = _stats(spark, sf_dir)
+    return op.exclusion_ledger(stats, _full(spark, sf_dir, stats), ORDER[:5])
 
 
 def unselected_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By relation."""
-    return op.unselected_addresses(_stats(spark, sf_dir), _roots(spark, sf_dir)).groupBy("relation").agg(F.count("*").alias("n"), F.min("subject").alias("first_subject"))
+    stats = _stats(spark, sf_dir)
+    return op.unselected_addresses(stats, op.roots(stats, SPLIT, LIMIT)).groupBy("relation").agg(F.count("*").alias("n"), F.min("subject").alias("first_subject"))
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.twin_items(_full(spark, sf_dir).filter("status = 'ok'"), SPLIT, ALIAS_COUNTS)
+def _items(spark: SparkSession, sf_dir: str, stats: DataFrame | None = None) -> DataFrame:
+    return op.twin_items(_full(spark, sf_dir, stats).filter("status = 'ok'"), SPLIT, ALIAS_COUNTS)
 
 
 def twin_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +112,8 @@ def twin_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def twin_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items replayed, and those that fail."""
-    items, stats = _items(spark, sf_dir), _stats(spark, sf_dir)
+    stats = _stats(spark, sf_dir)
+    items = _items(spark, sf_dir, stats)
     return items.filter("variant = 'original'").agg(F.count("*").alias("replayed")).crossJoin(op.replay(items, stats).agg(F.count("*").alias("failed")))
 
 

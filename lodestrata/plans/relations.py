@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import alias_key
 from ..operators import relations as rel
 from ..operators import sample as smp
+from ..storage import frozen
 from .base import ALIASES, NORM, TRIPLES, aliases, read, triples, with_
 
 #: Thresholds of the queries; the operators' defaults suit a graph of millions of entities.
@@ -96,8 +97,9 @@ def _edges(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> DataFrame:
 
 
 def _keys(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> DataFrame:
-    edges = _edges(spark, sf_dir, chosen)
-    return smp.key_eligibility(edges, smp.needed_labels(_labels(spark, sf_dir), edges))
+    # distinct edges are read three times: for the labels they need and on both of their ends
+    edges = frozen(_edges(spark, sf_dir, chosen))
+    return smp.key_eligibility(edges, frozen(smp.needed_labels(_labels(spark, sf_dir), edges)))
 
 
 EDGES = "edges AS (SELECT DISTINCT relation, subject, object FROM triples WHERE relation IN (SELECT relation FROM selected))"
