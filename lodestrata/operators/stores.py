@@ -14,7 +14,7 @@ CONTROLS = ("shuffled_returns", "relevant_edge", "irrelevant_edge", "gold_path",
 
 
 def lookup(queries: DataFrame, store: DataFrame, key: list[str]) -> DataFrame:
-    """Queries with ``hit`` and the store's columns, null where it has none; keys of a store are unique."""
+    """Queries with ``hit`` and the store's columns, null where it has none; keys of a store are unique. A join by key takes the place of a packed hash index."""
     return queries.join(store.withColumn("hit", F.lit(True)), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
