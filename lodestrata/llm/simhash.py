@@ -3,12 +3,14 @@
 The distinct fingerprints form a binary trie. Pairs of its nodes are walked
 together from the top; each level adds a bit in which the two sides differ, and
 a pair is dropped as soon as it differs in more bits than allowed. The top of the trie
-is walked on the driver over counts of prefixes (split until a node holds at
-most ``leaf_size`` fingerprints); each surviving pair of nodes is one task's work.
+is cut on the driver over counts of prefixes, until a node holds at most
+``leaf_size`` fingerprints; each pair of nodes that the walk reaches is one task's work.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,14 +172,15 @@ def trie_top(distinct: DataFrame, leaf_size: int) -> list[tuple[int, int]]:
             known = distinct.sparkSession.createDataFrame([(_signed(p),) for _, p in heavy], "p long")
             rows = rows.withColumn("p", F.shiftrightunsigned("fp", 64 - depth)).join(known, "p", "left_semi")
         at = F.shiftrightunsigned("fp", 64 - to) if to < 64 else F.col("fp")
-        counts = {int(r["q"]) % 2**64: r["n"] for r in rows.groupBy(at.alias("q")).agg(F.count("*").alias("n")).collect()}
+        counts = sorted((int(r["q"]) % 2**64, r["n"]) for r in rows.groupBy(at.alias("q")).agg(F.count("*").alias("n")).collect())
+        keys, sums = [q for q, _ in counts], [0, *itertools.accumulate(n for _, n in counts)]
         more = []
         for d, p in heavy:
             inner = [(d, p)]
             while inner:
                 d2, p2 = inner.pop()
-                lo, hi = p2 << (to - d2), (p2 + 1) << (to - d2)
-                n = sum(v for q, v in counts.items() if lo <= q < hi) if d2 > d else leaf_size + 1
+                lo, hi = (bisect.bisect_left(keys, x << (to - d2)) for x in (p2, p2 + 1))
+                n = sums[hi] - sums[lo] if d2 > d else leaf_size + 1
                 if n and n <= leaf_size:
                     leaves.append((d2, p2))
                 elif n and d2 == to:
@@ -192,33 +195,24 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def near_nodes(leaves: list[tuple[int, int]], budget: int) -> list[tuple[int, int]]:
-    """Pairs of leaves (itself included) whose common prefix bits differ in at most ``budget`` places, by the same walk."""
-    pairs: list[tuple[int, int]] = []
-    lows = [p << (64 - d) for d, p in leaves]
-
-    def split(l: int, h: int, k: int) -> int:  # noqa: E741
-        while l < h:
-            m = (l + h) // 2
-            l, h = (l, m) if lows[m] >> (63 - k) & 1 else (m + 1, h)  # noqa: E741
-        return l
-
-    stack = [(0, 0, len(leaves), 0, len(leaves), 0)] if leaves else []
+def near_leaves(a: int, lows: list[int], depths: list[int], budget: int) -> list[int]:
+    """The leaves, a itself included, whose common prefix bits with leaf a differ in at most ``budget`` places: a walk of the trie beside a's prefix."""
+    own, depth = lows[a], depths[a]
+    found: list[int] = []
+    stack = [(0, 0, len(lows), 0)]
     while stack:
-        k, al, ah, bl, bh, err = stack.pop()
-        a_leaf, b_leaf = ah - al == 1 and leaves[al][0] <= k, bh - bl == 1 and leaves[bl][0] <= k
-        if a_leaf and b_leaf:
-            pairs.append((al, bl))
+        k, lo, hi, err = stack.pop()
+        if k >= depth or (hi - lo == 1 and depths[lo] <= k):
+            found += range(lo, hi)
             continue
-        a_sides = [(al, ah, None)] if a_leaf else [(al, m := split(al, ah, k), 0), (m, ah, 1)]
-        b_sides = [(bl, bh, None)] if b_leaf else [(bl, m := split(bl, bh, k), 0), (m, bh, 1)]
-        for x0, x1, xb in a_sides:
-            for y0, y1, yb in b_sides:
-                if x0 < x1 and y0 < y1 and not (al == bl and ah == bh and (xb, yb) == (1, 0)):
-                    e = err + (xb is not None and yb is not None and xb != yb)
-                    if e <= budget:
-                        stack.append((k + 1, x0, x1, y0, y1, e))
-    return sorted({(min(a, b), max(a, b)) for a, b in pairs})
+        # the first leaf of the range whose bit k is set; all share the bits before
+        start = lows[lo] >> (64 - k) << (64 - k) if k else 0
+        m = bisect.bisect_left(lows, start | 1 << (63 - k), lo, hi)
+        bit = own >> (63 - k) & 1
+        for x0, x1, side in ((lo, m, 0), (m, hi, 1)):
+            if x0 < x1 and err + (side != bit) <= budget:
+                stack.append((k + 1, x0, x1, err + (side != bit)))
+    return found
 
 
 def links(distinct: DataFrame, budget: int = BUDGET, leaf_size: int = LEAF_SIZE) -> DataFrame:
@@ -228,13 +222,8 @@ def links(distinct: DataFrame, budget: int = BUDGET, leaf_size: int = LEAF_SIZE)
     that dense groups give a row for each fingerprint, not for each pair; no link between components is lost.
     """
     leaves = trie_top(distinct, leaf_size)
-    pairs = near_nodes(leaves, budget)
-    lows = np.array([p << (64 - d) for d, p in leaves], np.uint64)
-    tasks: list[list[int]] = [[] for _ in leaves]
-    for t, (a, b) in enumerate(pairs):
-        tasks[a].append(t)
-        if a != b:
-            tasks[b].append(t)
+    starts, depths = [p << (64 - d) for d, p in leaves], [d for d, _ in leaves]
+    lows, n_leaves = np.array(starts, np.uint64), len(leaves)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -246,11 +235,12 @@ def links(distinct: DataFrame, budget: int = BUDGET, leaf_size: int = LEAF_SIZE)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for leaf, fps in zip(b["leaf"], b["fps"], strict=True):
-                yield pd.DataFrame({"task": tasks[leaf], "leaf": leaf, "fps": [fps] * len(tasks[leaf])})
+            for leaf, fps in zip(b["leaf"].tolist(), b["fps"], strict=True):
+                tasks = [min(leaf, x) * n_leaves + max(leaf, x) for x in near_leaves(leaf, starts, depths, budget)]
+                yield pd.DataFrame({"task": tasks, "leaf": leaf, "fps": [fps] * len(tasks)})
 
     def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = pairs[key[0]]
+        a, b = divmod(int(key[0]), n_leaves)
         fps = {leaf: np.frombuffer(x, np.uint64) for leaf, x in zip(rows["leaf"], rows["fps"], strict=True)}
         if a == b:
             fp = fps[a]
@@ -265,10 +255,11 @@ def links(distinct: DataFrame, budget: int = BUDGET, leaf_size: int = LEAF_SIZE)
         signed = fp.view(np.int64)
         return pd.DataFrame({"u": signed[moved], "v": signed[root[moved]]})
 
-    # each fingerprint is shuffled once, to its node; from there whole nodes go to their tasks as packed arrays
+    # each fingerprint is shuffled once, to its node; from there whole nodes go to their tasks as packed arrays.
+    # Tasks are sent the nodes' bounds, 16 bytes for each leaf_size fingerprints; whom a node meets is found where it lies
     nodes = distinct.select("fp").mapInPandas(place, "leaf int, fp long").groupBy("leaf").applyInPandas(pack, "leaf int, fps binary")
-    dealt = nodes.mapInPandas(deal, "task int, leaf int, fps binary")
-    return dealt.repartition(max(partitions(distinct), min(len(pairs), 20_000)), "task").groupBy("task").applyInPandas(walk, "u long, v long")
+    dealt = nodes.mapInPandas(deal, "task long, leaf int, fps binary")
+    return dealt.repartition(max(partitions(distinct), min(4 * n_leaves, 20_000)), "task").groupBy("task").applyInPandas(walk, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, leaf_size: int = LEAF_SIZE) -> DataFrame:

@@ -98,3 +98,19 @@ def test_keep_one_and_empty(spark):
     assert sorted(str(k["doc_id"]) for k in kept) == ["3", "4", "None", "None"]
     assert sh.near_duplicates(docs(spark, [])).collect() == []
     assert sh.keep_one(spark, docs(spark, []), "").columns == ["doc_id", "text", "lang", "source", "n_chars", "fp"]
+
+
+def test_near_leaves():
+    r = random.Random(3)
+    leaves, todo = [], [(0, 0)]
+    while todo:
+        d, p = todo.pop()
+        if d < 2 or (d < 9 and r.random() < 0.6):
+            todo += [(d + 1, 2 * p), (d + 1, 2 * p + 1)]
+        elif r.random() < 0.9:
+            leaves.append((d, p))
+    leaves.sort(key=lambda x: x[1] << (64 - x[0]))
+    lows, depths = [p << (64 - d) for d, p in leaves], [d for d, _ in leaves]
+    for a, (d, p) in enumerate(leaves):
+        want = [b for b, (e, q) in enumerate(leaves) if ((p >> (d - min(d, e))) ^ (q >> (e - min(d, e)))).bit_count() <= 2]
+        assert sorted(sh.near_leaves(a, lows, depths, 2)) == want
