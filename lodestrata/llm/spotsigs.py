@@ -37,8 +37,8 @@ ANCHORS = frozenset(
 )
 #: Words whose hashes a worker remembers.
 CACHE = 300_000
-#: Code points of text processed at once.
-RUN_CHARS = 4_000_000
+#: Code points of text whose results are held at once, and of a range of documents that one task sorts.
+RUN_CHARS, RANGE_CHARS = 4_000_000, 48_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -225,7 +225,11 @@ def edit_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     short_batches(spark)
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges
+    if n is None:
+        # as many ranges as keep each to RANGE_CHARS, and no fewer than the session deals to
+        chars = docs.agg(F.coalesce(F.sum(F.length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS))
     dealt = with_following(docs, n).repartition(n, "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_first(), "h")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
