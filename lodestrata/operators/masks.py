@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,11 +75,15 @@ def positions(ranges: DataFrame) -> DataFrame:
 
 
 def weights(records: DataFrame, ranges: DataFrame, condition: str) -> DataFrame:
-    """(record, weights): a 0/1 array for each record (record, n), built within the row from its ranges."""
-    own = ranges.filter(F.col("condition") == condition).groupBy("record").agg(F.collect_list(F.struct("start", "end")).alias("r"))
-    zero = lambda i: F.exists(F.col("r"), lambda x: (x["start"] <= i) & (i < x["end"]))
-    made = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.when(F.coalesce(zero(i), F.lit(False)), 0).otherwise(1))
-    return records.join(own, "record", "left").select("record", F.when(F.col("n") > 0, made).otherwise(F.array().cast("array<int>")).alias("weights"))
+    """(record, weights): a 0/1 array for each record (record, n), built within the row from its ranges, which don't overlap."""
+    own = ranges.filter(F.col("condition") == condition).groupBy("record").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("r"))
+    r = F.coalesce(F.col("r"), F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    # before each range as many ones as since the end of the one in front of it: linear in the record
+    many = lambda v, n: F.array_repeat(F.lit(v), n.cast("int"))
+    before = lambda i: F.coalesce(F.get(r, i - 1)["end"], F.lit(0))
+    parts = F.transform(r, lambda x, i: F.concat(many(1, x["start"] - before(i)), many(0, x["end"] - x["start"])))
+    rest = F.col("n") - F.coalesce(F.get(r, F.size(r) - 1)["end"], F.lit(0))
+    return records.join(own, "record", "left").select("record", F.concat(F.flatten(parts), many(1, rest)).alias("weights"))
 
 
 def zero_runs(points: DataFrame, group: list[str]) -> DataFrame:
@@ -212,15 +217,13 @@ def balanced_padding(spans: DataFrame, most: int = 4096) -> DataFrame:
 
     def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         length = int(rows["n"].iloc[0])
-        sides = [list(zip(r["start"].tolist(), r["end"].tolist(), strict=True)) for r in (rows[rows["role"] == "payload"], rows[rows["role"] == "random_control"])]
+        start, end = rows["start"].to_numpy(), rows["end"].to_numpy()
+        sides = [(rows["role"] == x).to_numpy() for x in ("payload", "random_control")]
+        keys = 10 * (int((end - start).max()) + 1)
         for pad in range(most + 1):
-            total = length + pad
-            need: dict[tuple[int, int], int] = {}
-            for sign, side in zip((1, -1), sides, strict=True):
-                for s, e in side:
-                    k = (e - s, min(9, (s + e) * 10 // (2 * total)))
-                    need[k] = need.get(k, 0) + sign
-            if all(v <= 0 for v in need.values()):
+            key = (end - start) * 10 + np.minimum(9, (start + end) * 10 // (2 * (length + pad)))
+            need, have = (np.bincount(key[side], minlength=keys) for side in sides)
+            if (need <= have).all():
                 return pd.DataFrame({"record": [key[0]], "padding": [pad]})
         return pd.DataFrame({"record": [key[0]], "padding": pd.Series([None], dtype="Int64")})
 

@@ -65,8 +65,11 @@ def matrix_gaps(observed: DataFrame, dims: dict[str, list]) -> DataFrame:
 
 
 def expected_matrix(spark, dims: dict[str, list]) -> DataFrame:
-    """The cells of a run matrix."""
-    return functools.reduce(DataFrame.crossJoin, (spark.createDataFrame([(v,) for v in values], [name]) for name, values in dims.items()))
+    """The cells of a run matrix, exploded from one row: the dimensions are short lists."""
+    cells = spark.range(1).select(*[F.array(*[F.lit(v) for v in values]).alias(name) for name, values in dims.items()])
+    for name in dims:
+        cells = cells.withColumn(name, F.explode(name))
+    return cells
 
 
 def conflicting_ids(rows: DataFrame, key: str) -> DataFrame:

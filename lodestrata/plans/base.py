@@ -39,21 +39,22 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRIPLES = "triples AS (" + " UNION ALL ".join(f"SELECT CAST({a} AS BIGINT) * 8 + {ca} AS subject, '{r}' AS relation, CAST({b} AS BIGINT) * 8 + {cb} AS object FROM {t}" for t, a, ca, r, b, cb in _EDGES) + ")"
 
-_NAMES = (("region", "r_regionkey", "r_name", 0), ("nation", "n_nationkey", "n_name", 1), ("customer", "c_custkey", "c_name", 2), ("part", "p_partkey", "p_name", 4), ("supplier", "s_suppkey", "s_name", 5))
+#: (table, key, name, code, which have labels): debtors, the largest parts and pending orders have none.
+_NAMES = (("region", "r_regionkey", "r_name", 0, "true"), ("nation", "n_nationkey", "n_name", 1, "true"), ("customer", "c_custkey", "c_name", 2, "c_acctbal >= 0"), ("part", "p_partkey", "p_name", 4, "p_size < 50"), ("supplier", "s_suppkey", "s_name", 5, "s_acctbal >= 0"))
 
 
 def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, ord, raw): a name, its lower and its upper form for each entity but those whose key ends in 7; orders are named by number."""
-    parts = [read(spark, sf_dir, t).filter(F.col(k) % 10 != 7).select((F.col(k).cast("long") * 8 + c).alias("id"), F.col(n).alias("name")) for t, k, n, c in _NAMES]
-    orders = read(spark, sf_dir, "orders").filter("o_orderkey % 10 <> 7").select((F.col("o_orderkey") * 8 + 3).alias("id"), F.concat(F.lit("Order  "), F.col("o_orderkey").cast("string")).alias("name"))
+    """(id, ord, raw): a name, its lower and its upper form for each entity that has a label; orders are named by number."""
+    parts = [read(spark, sf_dir, t).filter(has).select((F.col(k).cast("long") * 8 + c).alias("id"), F.col(n).alias("name")) for t, k, n, c, has in _NAMES]
+    orders = read(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select((F.col("o_orderkey") * 8 + 3).alias("id"), F.concat(F.lit("Order  "), F.col("o_orderkey").cast("string")).alias("name"))
     every = functools.reduce(DataFrame.union, [*parts, orders])
     return every.select("id", F.posexplode(F.array("name", F.lower("name"), F.upper("name"))).alias("ord", "raw")).withColumn("ord", F.col("ord").cast("long"))
 
 
 ALIASES = (
     "names AS ("
-    + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) * 8 + {c} AS id, {n} AS name FROM {t} WHERE {k} % 10 <> 7" for t, k, n, c in _NAMES)
-    + " UNION ALL SELECT o_orderkey * 8 + 3, 'Order  ' || o_orderkey FROM orders WHERE o_orderkey % 10 <> 7),\n"
+    + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) * 8 + {c} AS id, {n} AS name FROM {t} WHERE {has}" for t, k, n, c, has in _NAMES)
+    + " UNION ALL SELECT o_orderkey * 8 + 3, 'Order  ' || o_orderkey FROM orders WHERE o_orderstatus <> 'P'),\n"
     "aliases AS (SELECT id, 0::BIGINT AS ord, name AS raw FROM names UNION ALL SELECT id, 1, lower(name) FROM names UNION ALL SELECT id, 2, upper(name) FROM names)"
 )
 NORM = r"lower(trim(regexp_replace(raw, '\s+', ' ', 'g')))"

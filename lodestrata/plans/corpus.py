@@ -26,8 +26,8 @@ def rendered_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Short documents' masked spans over positions 0 to n - 1; a token is its position's remainder."""
-    own = masks.spans(spark, sf_dir).filter("n <= 200")
+    """All documents' masked spans over positions 0 to n - 1; a token is its position's remainder."""
+    own = masks.spans(spark, sf_dir)
     records = own.select("record", "n").distinct()
     tokens = records.select("record", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos")).withColumn("token", (F.col("pos") % 97).cast("int"))
     ranges = mk.masked_ranges(own, mk.matched_controls(own, masks.SEED))
@@ -41,7 +41,7 @@ def corpus_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V8: a corpus of which one record's position was lost and one weight changed."""
+    """V8: a corpus of which one position was lost."""
     records, ranges, rows = _corpus(spark, sf_dir)
     first = records.agg(F.min("record")).first()[0]
     return op.verify(rows.filter(~((F.col("record") == first) & (F.col("pos") == 4))), records, ranges)
@@ -49,7 +49,7 @@ def corpus_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (encoded_segments, rendered_metadata, corpus_counters, corpus_verified)}
 
-_SPANS = (masks.SPANS[0], masks.SPANS[1].replace("spans AS (SELECT *,", "all_spans AS (SELECT *,", 1), "spans AS (SELECT * FROM all_spans WHERE n <= 200)")
+_SPANS = masks.SPANS
 ORACLES = {
     "encoded_segments": "WITH t AS (SELECT c_custkey, len(regexp_extract_all(c_name, '[A-Za-z0-9_]+|[^A-Za-z0-9_ ]')) AS a, len(regexp_extract_all(c_mktsegment, '[A-Za-z0-9_]+|[^A-Za-z0-9_ ]')) AS b FROM customer) SELECT c_custkey, a + 2 + b AS tokens, 'subject:0:' || a || ' text:' || a || ':' || a + 2 || ' payload:' || a + 2 || ':' || a + 2 + b AS spans FROM t",
     "rendered_metadata": r"SELECT item_id AS ordinal, 'i' || item_id AS record_id, len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]')) AS token_length, sha256(text) AS source_sha256 FROM benchmark",

@@ -59,8 +59,8 @@ def paired_delta_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unpaired_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of one arm only: those taken out."""
-    rows = eval_rows(spark, sf_dir).filter("not (arm = 'dense' and qid % 40 = 0)")
+    """Items that only one arm answers rightly."""
+    rows = eval_rows(spark, sf_dir).filter("correct = 1")
     return op.unpaired(rows, ["qid"], "split", "dense")
 
 
@@ -144,7 +144,7 @@ ORACLES = {
     "exact_sign_test": with_(EVAL_ROWS, SEEDS, _FLIP.format("k")).replace("sum(k) AS k", "sum(k) AS kk") + "SELECT count(*) FILTER (t >= kk) AS extreme, count(*) AS permutations FROM flips, o",
     "holm": "WITH t AS (SELECT event_type || '-' || user_id % 4 AS name, round(count(*) / 20000.0, 6)::DOUBLE AS p FROM events GROUP BY 1), h AS (SELECT *, max(least(1, (m - i + 1) * p)) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING) AS a FROM (SELECT *, row_number() OVER (ORDER BY p, name) AS i, count(*) OVER () AS m FROM t)) SELECT name, p, round(a, 9) AS adjusted, a <= 0.05 AS reject FROM h",
     "paired_delta_point": with_(EVAL_ROWS) + "SELECT world, sum(t - q)::DOUBLE AS s, count(*) AS n FROM eval_base GROUP BY world",
-    "unpaired_keys": with_(EVAL_ROWS) + "SELECT qid, 0::BIGINT AS b, 1::BIGINT AS a FROM eval_base WHERE qid % 40 = 0",
+    "unpaired_keys": with_(EVAL_ROWS) + "SELECT qid, q AS b, t AS a FROM eval_base WHERE q + t = 1",
     "point_deltas": with_(EVAL_ROWS) + "SELECT seed, round(avg(t) - avg(q), 9) AS delta FROM (SELECT qid % 5 AS seed, task, avg(t) AS t, avg(q) AS q FROM eval_base GROUP BY ALL) GROUP BY seed",
     "blinded_arms": with_(EVAL_ROWS) + "SELECT chr(64 + CAST(row_number() OVER (ORDER BY sha256('commit-1' || chr(0) || arm), arm) AS INT)) AS arm, correct FROM (SELECT arm, CAST(sum(correct) AS BIGINT) AS correct FROM eval_rows GROUP BY arm)",
     "pairing_failures": with_(EVAL_ROWS) + "SELECT qid % 30 AS seed, count(DISTINCT task) AS identities FROM eval_rows GROUP BY 1 HAVING identities > 1",

@@ -216,8 +216,8 @@ def milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a log that lack either key are left out."""
-    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("x"), F.get_json_object("props", "$.k").cast("long").alias("y"), "event_type")
-    return rows.filter("x is not null and y is not null and event_type <> 'error'").groupBy("event_type").agg(F.count("*").alias("points"), F.sum("y").alias("total"))
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("x"), F.when(F.col("event_type") != "error", F.get_json_object("props", "$.k").cast("long")).alias("y"), "event_type")
+    return rows.filter("x is not null and y is not null").groupBy("event_type").agg(F.count("*").alias("points"), F.sum("y").alias("total"))
 
 
 def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,12 +250,12 @@ def key_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arms joined by their key, and how many keys either lacks."""
+    """The right answers of both arms joined by their key, and how many keys either lacks."""
     rows = eval_rows(spark, sf_dir)
     key = ["qid", "pair_id", "variant", "task", "world", "hop"]
-    a, b = (rows.filter((F.col("arm") == arm) & (F.col("qid") % m != 0)).select(*key, F.col("correct").alias(arm)) for arm, m in (("dense", 50), ("split", 60)))
+    a, b = (rows.filter((F.col("arm") == arm) & (F.col("correct") == 1)).select(*key, F.col("correct").alias(arm)) for arm in ("dense", "split"))
     joined = a.join(b, key, "full_outer")
-    return joined.groupBy("task").agg(F.count("*").alias("keys"), F.count_if(F.col("dense").isNull()).alias("no_dense"), F.count_if(F.col("split").isNull()).alias("no_split"), F.sum(F.col("split") - F.col("dense")).alias("delta"))
+    return joined.groupBy("task").agg(F.count("*").alias("keys"), F.count_if(F.col("dense").isNull()).alias("no_dense"), F.count_if(F.col("split").isNull()).alias("no_split"), F.sum(F.coalesce("split", F.lit(0)) - F.coalesce("dense", F.lit(0))).alias("delta"))
 
 
 def run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,7 +341,7 @@ ORACLES = {
     "key_scores": with_(_KEYS) + r"""SELECT k AS s_suppkey, status, status = 'ok' AND lower(name) = lower(s_name) AS name_ok, status = 'ok' AND lower(trim(rel)) = 'nation' AS rel_ok, status = 'ok' AND regexp_replace(lower(key), '\s+', ' ', 'g') = lower(s_name) || ', nation' AS full_ok,
       k % 7 > 1 AND contains('it is ' || a, a) AS answer_ok, CASE WHEN NOT (status = 'ok' AND lower(name) = lower(s_name)) THEN CASE WHEN status = 'ok' AND k % 5 = 2 THEN 'in_context_wrong_name' ELSE 'out_of_context_name' END END AS name_error_class FROM p""",
     "key_taxonomy": "SELECT CASE WHEN s_suppkey % 7 = 0 THEN 'none' WHEN s_suppkey % 7 = 1 THEN 'malformed' WHEN s_suppkey % 5 = 0 THEN 'correct' WHEN s_suppkey % 5 = 1 THEN 'same_name' ELSE 'other' END AS kind, count(*) AS n FROM supplier GROUP BY 1",
-    "panel": with_(EVAL_ROWS) + "SELECT task, count(*) AS keys, count(*) FILTER (qid % 50 = 0) AS no_dense, count(*) FILTER (qid % 60 = 0) AS no_split, CAST(sum(t - q) FILTER (qid % 50 <> 0 AND qid % 60 <> 0) AS BIGINT) AS delta FROM eval_base WHERE qid % 50 <> 0 OR qid % 60 <> 0 GROUP BY task",
+    "panel": with_(EVAL_ROWS) + "SELECT task, count(*) AS keys, count(*) FILTER (q = 0) AS no_dense, count(*) FILTER (t = 0) AS no_split, CAST(sum(t - q) AS BIGINT) AS delta FROM eval_base WHERE q = 1 OR t = 1 GROUP BY task",
     "report_sections": with_(EVAL_ROWS, TRIPLES) + """SELECT * FROM (
       SELECT 'composite' AS section, arm, NULL AS task, NULL AS relation, unnest(['composite','tasks']) AS metric, unnest([round(avg(a), 9), count(*)]) AS value FROM (SELECT arm, task, avg(correct) AS a FROM eval_rows GROUP BY ALL) GROUP BY arm
       UNION ALL SELECT 'recall', NULL, coalesce(task, 'overall'), NULL, unnest(['n','correct','accuracy']), unnest([count(*), sum(correct), round(avg(correct), 9)]) FROM eval_rows WHERE arm = 'dense' GROUP BY ROLLUP (task)

@@ -9,7 +9,7 @@ from ..operators import paths as op
 from ..storage import frozen
 from .base import TRIPLES, triples, with_
 
-ORDER, SPLIT, LIMIT, HOPS = ["P3", "P1", "P2", "P4", "P5", "P6"], "valid", 2000, 6
+ORDER, SPLIT, LIMIT, HOPS = ["P3", "P1", "P2", "P4", "P5", "P6"], "valid", 10_000, 6
 ALIAS_COUNTS = {r: 1 + i % 3 for i, r in enumerate(ORDER)}
 
 STATS = f"{TRIPLES}, addr AS (SELECT subject, relation, count(DISTINCT object) AS n, CASE WHEN count(DISTINCT object) = 1 THEN min(object) END AS sole FROM triples GROUP BY subject, relation)"

@@ -180,7 +180,7 @@ def canonical_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def display_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3, F1b."""
-    return _labels(spark, sf_dir).filter("id % 8 <> 3")
+    return _labels(spark, sf_dir)
 
 
 def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,6 +213,6 @@ ORACLES = {
     "unique_aliases": with_(ALIASES, NORMED) + "SELECT id % 8 AS code, ord, count(*) AS n, max(norm) AS last_norm FROM normed GROUP BY ALL",
     "ambiguous_aliases": with_(ALIASES, NORMED) + "SELECT norm, count(DISTINCT id) AS owners FROM normed GROUP BY norm HAVING owners > 1",
     "canonical_aliases": with_(ALIASES, NORMED) + "SELECT id % 8 AS code, count(*) AS n FROM normed WHERE norm NOT IN (SELECT norm FROM normed GROUP BY norm HAVING count(DISTINCT id) > 1) GROUP BY 1",
-    "display_labels": with_(ALIASES) + "SELECT id, raw AS label FROM aliases WHERE ord = 0 AND id % 8 <> 3",
+    "display_labels": with_(ALIASES) + "SELECT id, raw AS label FROM aliases WHERE ord = 0",
     "repeated_ids": "SELECT l_orderkey || '-' || l_partkey AS id, count(*) AS n FROM lineitem GROUP BY 1 HAVING n > 1",
 }

@@ -48,16 +48,18 @@ def disjointness_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_id_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents against those with an even id."""
-    a = read(spark, sf_dir, "labels").select("doc_id").filter("doc_id < 300")
-    b = read(spark, sf_dir, "documents").filter("doc_id % 2 = 0 and doc_id < 300").select("doc_id")
+    """Labelled documents that are good against those that are clean."""
+    a = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    b = read(spark, sf_dir, "labels").filter("toxic = 0").select("doc_id")
     return op.id_differences(a, b)
 
 
 def registry_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that English and German documents share, by axis."""
-    axis = lambda lang: read(spark, sf_dir, "documents").filter(F.col("lang") == lang).select(F.lit("first_words").alias("axis"), F.substring("text", 1, 12).alias("value"))
-    return op.overlap(axis("en"), axis("de").union(axis("fr")).union(read(spark, sf_dir, "documents").filter("lang = 'en' and doc_id % 3 = 0").select(F.lit("first_words"), F.substring("text", 1, 12))))
+    """Sources and texts that good and other documents share, by axis."""
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    axes = F.array(F.struct(F.lit("source").alias("axis"), F.col("source").alias("value")), F.struct(F.lit("text").alias("axis"), F.sha2("text", 256).alias("value")))
+    side = lambda q: d.filter(F.col("quality") == q).select(F.explode(axes).alias("x")).select("x.axis", "x.value")
+    return op.overlap(side(1), side(0))
 
 
 def matrix_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,9 +118,9 @@ def reserved_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses of line items that no order of the first 100 has."""
+    """Parts of line items without those that were sent back in bulk."""
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    protected = items.filter("l_orderkey < 1000").select("l_partkey")
+    protected = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity >= 49").select("l_partkey")
     return op.excluded(items, protected, ["l_partkey"]).groupBy("l_partkey").agg(F.count("*").alias("n"))
 
 
@@ -155,25 +157,25 @@ def emittable_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records against candidates with planted faults."""
+    """Records against candidates that lack Spanish ones, repeat short French ones, miscount long ones and have German ones under new names besides."""
     cat = lanes(spark, sf_dir).select("record_id", "lane", "token_length", "ordinal")
-    cand = cat.filter("ordinal % 100 <> 3").withColumn("token_length", F.when(F.col("ordinal") % 100 == 4, -1).otherwise(F.col("token_length")))
-    extra = cat.filter("ordinal % 100 = 5").union(cat.filter("ordinal % 100 = 6").withColumn("record_id", F.concat(F.lit("new"), "record_id")))
+    cand = cat.filter("lane <> 'es'").withColumn("token_length", F.when(F.col("token_length") > 1000, -1).otherwise(F.col("token_length")))
+    extra = cat.filter("lane = 'fr' and token_length <= 1000").union(cat.filter("lane = 'de'").withColumn("record_id", F.concat(F.lit("new"), "record_id")))
     return op.reconcile_catalog(cat, cand.union(extra), "record_id", ["lane", "token_length"])
 
 
 def schedule_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scheduled records without metadata, and metadata that isn't scheduled."""
     plan = schedule.relative_schedule(spark, sf_dir).select("record_id")
-    meta = lanes(spark, sf_dir).filter("ordinal % 50 <> 7").select("record_id")
+    meta = lanes(spark, sf_dir).filter("lane <> 'es'").select("record_id")
     a = op.broken_links(plan, meta, ["record_id"]).agg(F.count("*").alias("without_metadata"))
     return a.crossJoin(op.broken_links(meta, plan, ["record_id"]).agg(F.count("*").alias("not_scheduled")))
 
 
 def reference_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J20."""
-    rows = eval_rows(spark, sf_dir).filter("not (arm = 'dense' and qid % 17 = 0)").select("qid", F.col("task").alias("control"), F.when(F.col("arm") == "dense", 1).otherwise(2).alias("mode"))
-    records = eval_rows(spark, sf_dir).filter("arm = 'split' and qid % 23 <> 0").select("qid", F.col("task").alias("control"))
+    rows = eval_rows(spark, sf_dir).filter("correct = 1").select("qid", F.col("task").alias("control"), F.when(F.col("arm") == "dense", 1).otherwise(2).alias("mode"))
+    records = eval_rows(spark, sf_dir).filter("arm = 'split' and variant = 'original'").select("qid", F.col("task").alias("control"))
     return op.reference_modes(records, rows)
 
 
@@ -184,7 +186,7 @@ def locality(spark: SparkSession, sf_dir: str) -> DataFrame:
     relevant = F.col("s_suppkey") % 3 == 0
     new = (F.col("s_nationkey") + 1).cast("string")
     said = F.when(relevant & (F.col("s_suppkey") % 5 != 0), new).when(~relevant & (F.col("s_suppkey") % 7 == 0), new).otherwise(F.col("s_nationkey").cast("string"))
-    controls = s.filter("s_suppkey % 11 <> 0").select(F.lit("on").alias("mode"), F.col("s_suppkey").alias("qid"), said.alias("prediction"), new.alias("oracle"), relevant.alias("relevant"))
+    controls = s.filter("s_acctbal >= 0").select(F.lit("on").alias("mode"), F.col("s_suppkey").alias("qid"), said.alias("prediction"), new.alias("oracle"), relevant.alias("relevant"))
     return op.locality(controls, base).groupBy(F.coalesce("relevant", F.lit(False)).alias("relevant")).agg(F.count("*").alias("n"), F.count_if("covered").alias("covered"), F.count_if("holds").alias("holds"))
 
 
@@ -197,7 +199,7 @@ def fact_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 def policy_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emitted keys looked up in a store, whose values are compared with the answers, by outcome."""
     s = read(spark, sf_dir, "supplier")
-    store = s.filter("s_suppkey % 6 <> 0").select(tx.store_key(F.col("s_name")).alias("key"), F.col("s_nationkey").alias("value"))
+    store = s.filter("s_acctbal >= 0").select(tx.store_key(F.col("s_name")).alias("key"), F.col("s_nationkey").alias("value"))
     said = s.select(F.when(F.col("s_suppkey") % 4 == 0, F.lit("Nobody")).otherwise(F.upper("s_name")).alias("k"), F.when(F.col("s_suppkey") % 5 == 0, F.col("s_nationkey") + 1).otherwise(F.col("s_nationkey")).alias("answer"))
     rows = said.join(store, tx.store_key(F.col("k")) == F.col("key"), "left")
     outcome = F.when(F.col("key").isNull(), "miss").when(F.col("value") == F.col("answer"), "hit_right").otherwise("hit_wrong")
@@ -246,7 +248,7 @@ def unordered_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repeated_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V9."""
-    return audit.repeated_addresses(triples(spark, sf_dir).filter("relation = 'P4'"), ["subject", "relation"])
+    return audit.repeated_addresses(triples(spark, sf_dir), ["subject", "relation"])
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,8 +288,8 @@ ORACLES = {
     "split_plan": "WITH " + _powers() + f", s AS (SELECT *, len(path)::BIGINT AS length, CASE WHEN bucket < 80 THEN 'train' WHEN bucket < 90 THEN 'development' ELSE 'held_out' END AS split FROM hashed WHERE {_ONCE}) SELECT split, length, place, array_to_string(path, '>') AS path, bucket FROM (SELECT *, row_number() OVER (PARTITION BY split, length ORDER BY hash) AS place FROM s) WHERE place <= CASE split WHEN 'train' THEN 12 ELSE 3 END",
     "disjointness_axes": """WITH a AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'held' WHEN doc_id % 10 = 1 THEN 'dev' ELSE 'train' END AS split, unnest(['text','id','source']) AS axis, unnest([sha256(text), doc_id::VARCHAR, source]) AS value FROM documents)
       SELECT axis, value, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM a GROUP BY ALL HAVING count(DISTINCT split) > 1""",
-    "exact_id_differences": "SELECT doc_id, 'missing' AS side FROM labels WHERE doc_id < 300 AND doc_id % 2 = 1 UNION ALL SELECT doc_id, 'extra' FROM documents WHERE doc_id % 2 = 0 AND doc_id < 300 AND doc_id NOT IN (SELECT doc_id FROM labels)",
-    "registry_overlap": "SELECT DISTINCT 'first_words' AS axis, substr(text, 1, 12) AS value FROM documents WHERE lang = 'en' AND substr(text, 1, 12) IN (SELECT substr(text, 1, 12) FROM documents WHERE lang IN ('de','fr') OR (lang = 'en' AND doc_id % 3 = 0))",
+    "exact_id_differences": "SELECT doc_id, 'missing' AS side FROM labels WHERE quality = 1 AND toxic = 1 UNION ALL SELECT doc_id, 'extra' FROM labels WHERE quality <> 1 AND toxic = 0",
+    "registry_overlap": "WITH r AS (SELECT quality, unnest(['source', 'text']) AS axis, unnest([source, sha256(text)]) AS value FROM documents JOIN labels USING (doc_id)) SELECT DISTINCT axis, value FROM r a WHERE quality = 1 AND EXISTS (FROM r b WHERE b.quality = 0 AND b.axis = a.axis AND b.value = a.value)",
     "matrix_gaps": with_(EVAL_ROWS) + "SELECT arm, task, hop::BIGINT AS hop FROM (SELECT unnest(['dense','split']) AS arm), (SELECT unnest(['en','de','fr','es','it']) AS task), range(1, 7) t(hop) EXCEPT SELECT arm, task, hop FROM eval_rows",
     "conflicting_ids": "SELECT l_partkey, count(DISTINCT l_suppkey) AS contents FROM lineitem GROUP BY 1 HAVING contents > 1",
     "composite_stream": "SELECT row_number() OVER (ORDER BY segment, pos) - 1 AS sequence, segment, hash FROM (SELECT 0::BIGINT AS segment, item_id AS pos, sha256(text) AS hash FROM benchmark UNION ALL SELECT 1, conv_id * 1000 + turn, sha256(text) FROM conversations)",
@@ -298,17 +300,17 @@ ORACLES = {
     "exact_split": f"SELECT p_partkey, CASE WHEN row_number() OVER (ORDER BY {_H.format('p_partkey')}, p_partkey) <= 300 THEN 'test' ELSE 'train' END AS split FROM part",
     "capped_rows": f"SELECT p_partkey, p_brand FROM part ORDER BY {_H.format('p_partkey')}, p_partkey LIMIT 100",
     "reserved_text": "SELECT doc_id, CASE WHEN doc_id < 200 THEN 'held' ELSE 'train' END AS split FROM documents WHERE doc_id < 200 OR text NOT IN (SELECT text FROM documents WHERE doc_id < 200)",
-    "overlap_exclusion": "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey < 1000) GROUP BY 1",
+    "overlap_exclusion": "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49) GROUP BY 1",
     "reserved_values": "SELECT c_custkey, id, range FROM (SELECT c_custkey, unnest([c_custkey, 12]) AS id FROM customer) JOIN (VALUES (10, 40, 'a'), (900, 1100, 'b'), (1090, 1300, 'c')) r(lo, hi, range) ON id >= lo AND id < hi",
     "clean_rows": "SELECT p_partkey, subj, obj FROM (SELECT p_partkey, p_brand AS subj, p_type AS obj, row_number() OVER (PARTITION BY lower(p_brand), lower(p_type) ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 9 <> 0) WHERE n = 1",
     "accepted_items": "SELECT role, count(*) AS examined, count(*) FILTER (NOT contains(text, '<|') AND trim(text) = text AND length(text) <= 400 AND nfc_normalize(text) = text) AS accepted FROM conversations GROUP BY role",
     "emittable_keys": "SELECT count(*) AS items, count(*) FILTER (s_suppkey % 8 <> 0) AS reachable FROM supplier",
-    "catalog_reconcile": with_(LANES) + "SELECT CASE WHEN ordinal % 100 = 6 THEN 'new' || record_id ELSE record_id END AS record_id, CASE ordinal % 100 WHEN 3 THEN 'missing' WHEN 4 THEN 'disagreement' WHEN 5 THEN 'duplicate' ELSE 'unexpected' END AS problem FROM lanes WHERE ordinal % 100 IN (3, 4, 5, 6)",
-    "schedule_links": "WITH s AS (" + schedule.ORACLES["relative_schedule"] + ") SELECT (SELECT count(*) FROM s WHERE CAST(substr(record_id, 2) AS BIGINT) % 50 = 7) AS without_metadata, (SELECT count(*) FROM documents WHERE doc_id % 50 <> 7 AND 'r' || doc_id NOT IN (SELECT record_id FROM s)) AS not_scheduled",
-    "reference_modes": with_(EVAL_ROWS) + "SELECT qid, task AS control, CASE WHEN qid % 17 = 0 THEN 2 ELSE 3 END::BIGINT AS mask, CASE WHEN qid % 23 = 0 THEN 0 ELSE 1 END::BIGINT AS records FROM eval_base WHERE qid % 17 = 0 OR qid % 23 = 0",
-    "locality": "WITH c AS (SELECT s_suppkey AS k, s_suppkey % 3 = 0 AND s_suppkey % 11 <> 0 AS relevant, s_suppkey % 11 <> 0 AS covered, CASE WHEN s_suppkey % 11 = 0 THEN false WHEN s_suppkey % 3 = 0 THEN s_suppkey % 5 <> 0 ELSE s_suppkey % 7 <> 0 END AS holds FROM supplier) SELECT relevant, count(*) AS n, count(*) FILTER (covered) AS covered, count(*) FILTER (holds) AS holds FROM c GROUP BY 1",
+    "catalog_reconcile": with_(LANES) + "SELECT record_id, CASE WHEN lane = 'es' THEN 'missing' WHEN token_length > 1000 THEN 'disagreement' ELSE 'duplicate' END AS problem FROM lanes WHERE lane = 'es' OR token_length > 1000 OR lane = 'fr' UNION ALL SELECT 'new' || record_id, 'unexpected' FROM lanes WHERE lane = 'de'",
+    "schedule_links": "WITH s AS (" + schedule.ORACLES["relative_schedule"] + ") SELECT (SELECT count(*) FROM s WHERE lane = 'es') AS without_metadata, (SELECT count(*) FROM documents WHERE lang <> 'es' AND 'r' || doc_id NOT IN (SELECT record_id FROM s)) AS not_scheduled",
+    "reference_modes": with_(EVAL_ROWS) + "SELECT qid, task AS control, (q + 2 * t)::BIGINT AS mask, CASE WHEN variant = 'original' THEN 1 ELSE 0 END::BIGINT AS records FROM eval_base WHERE (q + t > 0 OR variant = 'original') AND (q + t < 2 OR variant <> 'original')",
+    "locality": "WITH c AS (SELECT s_suppkey AS k, s_suppkey % 3 = 0 AND s_acctbal >= 0 AS relevant, s_acctbal >= 0 AS covered, CASE WHEN s_acctbal < 0 THEN false WHEN s_suppkey % 3 = 0 THEN s_suppkey % 5 <> 0 ELSE s_suppkey % 7 <> 0 END AS holds FROM supplier) SELECT relevant, count(*) AS n, count(*) FILTER (covered) AS covered, count(*) FILTER (holds) AS holds FROM c GROUP BY 1",
     "fact_membership": "SELECT l_partkey AS p_partkey, count(*) AS uses FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40) GROUP BY 1",
-    "policy_replay": "SELECT CASE WHEN s_suppkey % 4 = 0 OR s_suppkey % 6 = 0 THEN 'miss' WHEN s_suppkey % 5 = 0 THEN 'hit_wrong' ELSE 'hit_right' END AS outcome, count(*) AS n FROM supplier GROUP BY 1",
+    "policy_replay": "SELECT CASE WHEN s_suppkey % 4 = 0 OR s_acctbal < 0 THEN 'miss' WHEN s_suppkey % 5 = 0 THEN 'hit_wrong' ELSE 'hit_right' END AS outcome, count(*) AS n FROM supplier GROUP BY 1",
     "same_value_pairs": "SELECT a.c_custkey, min(b.c_custkey) AS other FROM customer a JOIN customer b ON a.c_custkey % 40 = b.c_nationkey AND a.c_custkey <> b.c_custkey GROUP BY 1",
     "distractors": """WITH p AS (SELECT n.n_nationkey::BIGINT AS k, n.n_name, list(o.n_name ORDER BY o.n_name) AS o FROM nation n JOIN nation o ON o.n_regionkey = n.n_regionkey AND o.n_name <> n.n_name GROUP BY ALL)
       SELECT k AS n_nationkey, n_name, array_to_string(list_transform(range(0, 3), lambda i: o[(k + i) % len(o) + 1]), '|') AS choices FROM p WHERE len(o) >= 3""",
@@ -316,7 +318,7 @@ ORACLES = {
     "broken_pairs": with_(EVAL_ROWS) + """SELECT arm, pair_id, CASE WHEN variants < 2 THEN 'missing_variant' ELSE 'unequal_fields' END AS problem FROM (SELECT arm, pair_id, count(DISTINCT variant) AS variants, count(DISTINCT task) AS t, count(DISTINCT world) AS w FROM eval_rows GROUP BY ALL) WHERE variants < 2 OR t > 1 OR w > 1""",
     "trace_errors": "SELECT id, CASE WHEN id % 10 = 3 THEN CASE WHEN id % 6 + 1 <= 4 THEN 'several_halts' ELSE 'action_after_halt' END ELSE 'noop_without_halt' END AS problem FROM range(60) t(id) WHERE id % 10 = 3 OR (id % 10 = 5 AND id % 6 <> 5)",
     "unordered_entries": "SELECT event_type, event_id FROM (SELECT event_type, event_id, v, lag(v) OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM (SELECT *, CASE WHEN event_id % 97 = 0 THEN event_id - 40 ELSE event_id END AS v FROM events)) WHERE v <= p",
-    "repeated_addresses": with_(TRIPLES) + "SELECT subject, relation, count(*) AS n FROM triples WHERE relation = 'P4' GROUP BY ALL HAVING n > 1",
+    "repeated_addresses": with_(TRIPLES) + "SELECT subject, relation, count(*) AS n FROM triples GROUP BY ALL HAVING n > 1",
     "ledger_errors": """SELECT s_suppkey AS run, unnest([2, 3])::BIGINT AS seq, 'transition' AS problem FROM supplier WHERE s_suppkey % 9 = 0 AND s_suppkey % 13 <> 0
       UNION ALL SELECT s_suppkey, 2, 'transition' FROM supplier WHERE s_suppkey % 9 = 0 AND s_suppkey % 13 = 0 UNION ALL SELECT s_suppkey, 3, 'hash' FROM supplier WHERE s_suppkey % 13 = 0 UNION ALL SELECT s_suppkey, 4, 'link' FROM supplier WHERE s_suppkey % 13 = 0""",
     "ledger_summary": "SELECT user_id, count(*) AS events, arg_max(event_type, event_id) AS status, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'error') AS n_error, count(*) FILTER (event_type = 'purchase') AS n_purchase, sha256(string_agg(event_type, chr(10) ORDER BY event_id)) AS digest FROM events GROUP BY 1",

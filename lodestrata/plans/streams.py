@@ -31,7 +31,7 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs completed over several files, rows repeated."""
     rows = eval_rows(spark, sf_dir).filter("arm = 'split'")
-    path = _staged(rows.union(rows.filter("qid % 3 = 0")), "rows")
+    path = _staged(rows.union(rows.filter("correct = 1")), "rows")
     return ev.run_to_table(ev.completed_pairs(ev.file_stream(spark, path)), storage.scratch(spark, "pairs"))
 
 
@@ -65,7 +65,7 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tsv_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples written as tab-separated lines and scanned again."""
     path = storage.scratch(spark, "triples")
-    t = triples(spark, sf_dir).filter("relation in ('P1', 'P2', 'P6')")
+    t = triples(spark, sf_dir)
     q = lambda c: F.concat(F.lit("Q"), F.col(c).cast("string"))
     t.select(F.concat_ws("\t", q("subject"), "relation", q("object"))).write.text(path)
     return tsv.read_triples(spark, path)
@@ -74,7 +74,7 @@ def tsv_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tsv_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alias lines written and scanned; kept aliases and the last by kind."""
     path = storage.scratch(spark, "aliases")
-    a = aliases(spark, sf_dir).filter("id % 8 <> 3").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "raw"))), lambda x: x["raw"]).alias("r"))
+    a = aliases(spark, sf_dir).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "raw"))), lambda x: x["raw"]).alias("r"))
     a.select(F.concat_ws("\t", F.concat(F.lit("Q"), F.col("id").cast("string")), F.array_join("r", "\t"))).write.text(path)
     return tsv.read_aliases(spark, path, "Q", alias_key).groupBy((F.col("id") % 8).alias("code")).agg(F.count("*").alias("n"), F.max("norm").alias("last_norm"))
 
@@ -114,7 +114,7 @@ def zipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.scratch(spark, "lines")
     rows = lanes(spark, sf_dir).orderBy("ordinal")
     rows.coalesce(1).select("record_id").write.text(f"{path}/a")
-    rows.coalesce(1).filter("ordinal < 990").select("lane").write.text(f"{path}/b")
+    rows.coalesce(1).filter("lane <> 'es'").select("lane").write.text(f"{path}/b")
     z = jsonl.zipped(jsonl.numbered_lines(spark, f"{path}/a"), jsonl.numbered_lines(spark, f"{path}/b"))
     return z.agg(F.count("*").alias("lines"), F.max("left").alias("last")).crossJoin(jsonl.uneven(z).agg(F.count("*").alias("uneven")))
 
@@ -164,13 +164,13 @@ ORACLES = {
     "stream_ledger": "SELECT s_suppkey AS run, unnest([2, 3])::BIGINT AS seq, unnest(['resumed', 'completed']) AS type, 'transition' AS problem FROM supplier WHERE s_suppkey % 9 = 0",
     "user_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, count(DISTINCT k) AS sessions, max(n) AS longest FROM (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL) GROUP BY 1",
     "stream_windows": "WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events) SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, m WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= m.w GROUP BY ALL",
-    "tsv_triples": with_(TRIPLES) + "FROM triples WHERE relation IN ('P1','P2','P6')",
-    "tsv_aliases": with_(ALIASES) + "SELECT id % 8 AS code, count(*) AS n, max(norm) AS last_norm FROM (SELECT DISTINCT id, lower(trim(regexp_replace(raw, '\\s+', ' ', 'g'))) AS norm FROM aliases WHERE id % 8 <> 3) GROUP BY 1",
+    "tsv_triples": with_(TRIPLES) + "FROM triples",
+    "tsv_aliases": with_(ALIASES) + "SELECT id % 8 AS code, count(*) AS n, max(norm) AS last_norm FROM (SELECT DISTINCT id, lower(trim(regexp_replace(raw, '\\s+', ' ', 'g'))) AS norm FROM aliases) GROUP BY 1",
     "locked_text": "SELECT count(*) AS rows, CAST(sum(strlen(text)) AS BIGINT) AS bytes, min(text) AS first FROM benchmark",
     "published_schedule": schedule.ORACLES["relative_schedule"],
     "package_equality": "SELECT 0::BIGINT AS differences, count(*) AS pairs FROM customer",
     "packed_tokens": with_(schedule.STREAM) + "SELECT b AS start, string_agg(coalesce(token, 0), ' ' ORDER BY k) AS tokens FROM (SELECT i * 1100 AS b, k, (i * 1100 + k) % 16384 AS p FROM range(16) t(i), range(64) u(k)) LEFT JOIN stream ON pos = p GROUP BY b",
-    "zipped_lines": "SELECT count(*) AS lines, max('r' || doc_id) AS last, count(*) FILTER (doc_id >= 990) AS uneven FROM documents",
+    "zipped_lines": "SELECT count(*) AS lines, max('r' || doc_id) AS last, count(*) FILTER (lang = 'es') AS uneven FROM documents",
     "published_results": with_(EVAL_ROWS) + "FROM eval_rows WHERE arm = 'dense'",
     "occurrence_ledger": with_(*_masks.SPANS, _masks.CONTROLS) + "SELECT 'split' AS condition, role, count(*) AS n, CAST(sum(length) AS BIGINT) AS tokens FROM spans WHERE role = 'payload' GROUP BY role UNION ALL SELECT 'random', role, count(*), CAST(sum(length) AS BIGINT) FROM controls GROUP BY role",
     "rebuilt_twice": "SELECT 0::BIGINT AS differences",

@@ -34,7 +34,7 @@ def schema_world(spark: SparkSession, sf_dir: str) -> DataFrame:
 def followed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From orders to regions."""
     facts = triples(spark, sf_dir).select(F.col("subject").alias("source"), "relation", F.col("object").alias("target"))
-    starts = read(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select((F.col("o_orderkey") * 8 + 3).alias("start"))
+    starts = read(spark, sf_dir, "orders").select((F.col("o_orderkey") * 8 + 3).alias("start"))
     return op.follow(starts, facts, ["P3", "P1", "P2"]).groupBy("end").agg(F.count("*").alias("starts"))
 
 
@@ -60,7 +60,7 @@ def value_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interleaved_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three kinds of documents, seven, two and one in turn."""
     rows = read(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 10 < 7, "peripheral").when(F.col("doc_id") % 10 < 9, "central").otherwise("rule").alias("kind"), "doc_id")
-    return op.interleaved(rows.filter("not (kind = 'rule' and doc_id > 500)"), "kind", "doc_id", {"peripheral": 7, "central": 2, "rule": 1})
+    return op.interleaved(rows, "kind", "doc_id", {"peripheral": 7, "central": 2, "rule": 1})
 
 
 def prefix_free_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def prefix_free_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """suppliers' nations and nations' regions, as they are and changed."""
-    t = triples(spark, sf_dir).filter("relation in ('P2', 'P6')")
+    t = triples(spark, sf_dir).filter("relation in ('P1', 'P2', 'P3', 'P6')")
     return op.eval_pairs(t.select(F.col("subject").alias("source"), "relation", F.col("object").alias("target")), paths.successors(t))
 
 
@@ -104,16 +104,16 @@ _RECORDS = "recs AS (SELECT id, 'Person ' || id || ' ' || substr(sha256('11' ||
 _W = "SELECT i AS world, i * {s} AS first, CASE WHEN i < n // {s} - 1 OR n % {s} = 0 THEN {s} WHEN n % {s} >= 16 THEN CASE WHEN i = n // {s} - 1 THEN ({s} + n % {s}) // 2 ELSE {s} + n % {s} - ({s} + n % {s}) // 2 END WHEN i = n // {s} - 1 THEN {s} - 16 + n % {s} ELSE 16 END AS entities, {s}::BIGINT AS size FROM c, range(n // {s} + CASE WHEN n % {s} > 0 THEN 1 ELSE 0 END) r(i)"
 ORACLES = {
     "world_sizes": "WITH c AS (SELECT count(*) AS n FROM customer), w AS (" + " UNION ALL ".join(_W.format(s=s) for s in (64, 97)) + ") SELECT world, CAST(coalesce(sum(entities) OVER (PARTITION BY size ORDER BY world ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, entities, size FROM w",
-    "followed_paths": with_(TRIPLES) + "SELECT c.object AS \"end\", count(*) AS starts FROM triples a JOIN triples b ON a.object = b.subject AND b.relation = 'P1' JOIN triples c ON b.object = c.subject AND c.relation = 'P2' WHERE a.relation = 'P3' AND (a.subject - 3) // 8 % 10 = 0 GROUP BY 1",
+    "followed_paths": with_(TRIPLES) + "SELECT c.object AS \"end\", count(*) AS starts FROM triples a JOIN triples b ON a.object = b.subject AND b.relation = 'P1' JOIN triples c ON b.object = c.subject AND c.relation = 'P2' WHERE a.relation = 'P3' GROUP BY 1",
     "oracle_compositions": "SELECT 'r' || s % 4 AS answer, CASE WHEN b < a THEN 'first' WHEN b > a THEN 'second' ELSE 'same' END AS earlier, count(*) AS n FROM (SELECT l_orderkey, CAST(sum(l_linenumber) AS BIGINT) AS s, CAST(min(l_shipdate) AS DATE) AS a, CAST(max(l_shipdate) AS DATE) AS b FROM lineitem GROUP BY 1) GROUP BY ALL",
     "value_pairs": """SELECT c_nationkey, c_custkey AS a, b, 'unequal' AS kind FROM (SELECT *, lead(c_custkey) OVER w AS b, lead(c_mktsegment) OVER w AS v FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)) WHERE v <> c_mktsegment
       UNION ALL SELECT c_nationkey, c_custkey, b, 'equal' FROM (SELECT *, lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS b FROM customer) WHERE b IS NOT NULL""",
     "value_groups": "SELECT c_nationkey, c_mktsegment, count(*) AS members, min(c_custkey) AS first, (list(c_custkey ORDER BY c_custkey))[2] AS second FROM customer GROUP BY ALL HAVING members > 1",
-    "interleaved_records": """WITH k AS (SELECT doc_id, CASE WHEN doc_id % 10 < 7 THEN 'peripheral' WHEN doc_id % 10 < 9 THEN 'central' ELSE 'rule' END AS kind FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY doc_id) - 1 AS n FROM k WHERE NOT (kind = 'rule' AND doc_id > 500)),
+    "interleaved_records": """WITH k AS (SELECT doc_id, CASE WHEN doc_id % 10 < 7 THEN 'peripheral' WHEN doc_id % 10 < 9 THEN 'central' ELSE 'rule' END AS kind FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY doc_id) - 1 AS n FROM k),
       b AS (SELECT *, n // CASE kind WHEN 'peripheral' THEN 7 WHEN 'central' THEN 2 ELSE 1 END AS b, CASE kind WHEN 'peripheral' THEN 0 WHEN 'central' THEN 1 ELSE 2 END AS o FROM r) SELECT row_number() OVER (ORDER BY b, o, n) - 1 AS sequence, kind, doc_id FROM b""",
     "prefix_free_choices": """WITH g AS (SELECT p_partkey // 4 AS item, list(CASE WHEN p_partkey % 3 = 0 THEN substr(p_brand, 1, 7) ELSE p_brand END) AS c FROM part GROUP BY 1)
       SELECT item, len(list_distinct(c)) = len(c) AND len(list_filter(c, lambda a: len(list_filter(c, lambda b: a <> b AND starts_with(b, a))) > 0)) = 0 AS prefix_free FROM g""",
-    "eval_pairs": with_(TRIPLES, "s AS (SELECT relation, object, coalesce(lead(object) OVER (PARTITION BY relation ORDER BY object), nullif(min(object) OVER (PARTITION BY relation), object)) AS n FROM (SELECT DISTINCT relation, object FROM triples WHERE relation IN ('P2','P6')))") + "SELECT subject || '-' || t.relation AS pair_id, variant, subject AS source, t.relation, CASE WHEN variant = 'original' THEN t.object ELSE n END AS answer FROM triples t JOIN s ON s.relation = t.relation AND s.object = t.object, (VALUES ('original'), ('counterfactual')) v(variant) WHERE n IS NOT NULL",
+    "eval_pairs": with_(TRIPLES, "s AS (SELECT relation, object, coalesce(lead(object) OVER (PARTITION BY relation ORDER BY object), nullif(min(object) OVER (PARTITION BY relation), object)) AS n FROM (SELECT DISTINCT relation, object FROM triples WHERE relation IN ('P1','P2','P3','P6')))") + "SELECT subject || '-' || t.relation AS pair_id, variant, subject AS source, t.relation, CASE WHEN variant = 'original' THEN t.object ELSE n END AS answer FROM triples t JOIN s ON s.relation = t.relation AND s.object = t.object, (VALUES ('original'), ('counterfactual')) v(variant) WHERE n IS NOT NULL",
     "entity_records": "WITH " + _RECORDS.format(1000) + " FROM recs",
     "recall_probes": "WITH " + _RECORDS.format(1000) + " SELECT * EXCLUDE name FROM recs",
     "rendered_records": "WITH " + _RECORDS.format(500) + """, t AS (SELECT *, CAST('0x' || substr(sha256('template' || chr(0) || id), 1, 8) AS BIGINT) % 2 = 0 AS one FROM recs)
