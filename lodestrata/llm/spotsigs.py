@@ -39,6 +39,8 @@ ANCHORS = frozenset(
 CACHE = 300_000
 #: Code points of text whose results are held at once, and of a range of documents that one task sorts.
 RUN_CHARS, RANGE_CHARS = 4_000_000, 48_000_000
+#: Ranges at most: their cuts are part of the plan. Beyond that ranges grow, and their sort spills.
+MAX_RANGES = 20_000
 _WORD = re.compile(r"[^\W\d_]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -197,25 +199,35 @@ def with_following(docs: DataFrame, ranges: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     cuts = sorted(set(rows.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    at = F.lit(0)
-    if cuts:
-        cut = F.array(*[F.lit(int(c)) for c in cuts])
-        at = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(cut, lambda c: c <= F.col("doc_id"))))
-    rows = rows.withColumn("bucket", at.cast("int"))
+    rows = rows.withColumn("bucket", _range_of(F.col("doc_id"), [int(c) for c in cuts]))
     firsts = {r["bucket"]: r["f"] for r in rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "h")).alias("f")).collect()}
     used = sorted(firsts)
-    before = {b: used[i - 1] for i, b in enumerate(used)}
     if not used:
         return rows.select("bucket", F.lit(False).alias("tail"), "doc_id", "text", "h").filter("false")
-    to = F.create_map(*[F.lit(int(x)) for b in used for x in (b, before[b])])
-    ids = F.create_map(*[x for b in used for x in (F.lit(int(b)), F.lit(firsts[b]["doc_id"]).cast("long"))])
-    hashes = F.create_map(*[x for b in used for x in (F.lit(int(b)), F.lit(firsts[b]["h"]).cast("long"))])
-    first = ids[F.col("bucket")].eqNullSafe(F.col("doc_id")) & (hashes[F.col("bucket")] == F.col("h"))
-    own, tail = F.struct(F.col("bucket").alias("to"), F.lit(False).alias("tail")), F.struct(to[F.col("bucket")].alias("to"), F.lit(True).alias("tail"))
+    before = {b: used[i - 1] for i, b in enumerate(used)}
+    # arrays by range: what a row looks up is found at once
+    of = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("bucket") + 1)
+    every = range(used[-1] + 1)
+    ids, hashes = of([firsts[b]["doc_id"] if b in firsts else None for b in every]), of([firsts[b]["h"] if b in firsts else None for b in every])
+    first = ids.eqNullSafe(F.col("doc_id")) & (hashes == F.col("h"))
+    own = F.struct(F.col("bucket").alias("to"), F.lit(False).alias("tail"))
+    tail = F.struct(of([before.get(b, 0) for b in every]).cast("int").alias("to"), F.lit(True).alias("tail"))
     dealt = rows.withColumn("x", F.explode(F.when(first, F.array(own, tail)).otherwise(F.array(own))))
     return dealt.select(F.col("x.to").alias("bucket"), F.col("x.tail").alias("tail"), "doc_id", "text", "h")
 
 
+def _range_of(value, cuts: list[int]):
+    """The number of cuts at or below a value, 0 for null: first among every m-th cut, then among the m from there."""
+    if not cuts:
+        return F.lit(0)
+    m = math.isqrt(len(cuts)) + 1
+    chunks = [cuts[i : i + m] for i in range(0, len(cuts), m)]
+    count = lambda a: F.size(F.filter(a, lambda c: c <= value))
+    k = count(F.array(*[F.lit(c[0]) for c in chunks]))
+    fine = F.element_at(F.array(*[F.array(*[F.lit(x) for x in c]) for c in chunks]), F.greatest(F.lit(1), k))
+    return F.when(value.isNull() | (k == 0), 0).otherwise((k - 1) * m + count(fine)).cast("int")
+
+
 def edit_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row.
 
@@ -229,7 +241,7 @@ def edit_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     if n is None:
         # as many ranges as keep each to RANGE_CHARS, and no fewer than the session deals to
         chars = docs.agg(F.coalesce(F.sum(F.length(F.col("text").cast("string"))), F.lit(0))).first()[0]
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS))
+        n = min(MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS)))
     dealt = with_following(docs, n).repartition(n, "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_first(), "h")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

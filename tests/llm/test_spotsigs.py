@@ -102,3 +102,14 @@ def test_empty_and_alone(spark):
     assert sp.edit_likeness(frame(spark, [])).collect() == []
     (g,) = sp.edit_likeness(frame(spark, [(4, "the only text of all")])).collect()
     assert g["near_next"] == 1.0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 100])
+def test_ranges(spark, n):
+    import bisect
+
+    r = random.Random(n)
+    cuts = sorted({r.randrange(-50, 500) for _ in range(n)})
+    df = spark.createDataFrame([(x,) for x in [*range(-60, 510, 3), *cuts, None]], "v long")
+    for x in df.select("v", sp._range_of(df["v"], cuts).alias("b")).collect():
+        assert x["b"] == (0 if x["v"] is None else bisect.bisect_right(cuts, x["v"]))
