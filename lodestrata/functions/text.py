@@ -137,21 +137,34 @@ def reserved_handles(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"\bQ([0-9]{1,18})\b"), F.lit(1)), lambda x: x.cast("long"))
 
 
-_TRIM = "\"'`.,;:!?()[]{}"
+# What may be taken off a span's ends, and the endings of possessives.
+SPAN_MARKS = ".,?!:;'\"()[]"
+POSSESSIVES = ("'s", "\u2019s")
+_MARK = rf"[{re.escape(SPAN_MARKS)}]"
+_FRONT, _BACK = re.compile(rf"{_MARK}\s*"), re.compile(rf"\s*{_MARK}$")
+
+
+def _cuts(s: str, front: bool) -> list[int]:
+    """Where a span may begin (or end) as the marks at that end are taken off one by one."""
+    at = [0 if front else len(s)]
+    while m := _FRONT.match(s, at[-1]) if front else _BACK.search(s, 0, at[-1]):
+        at.append(m.end() if front else m.start())
+    return at
 
 
 def spans_of(prompt: str | None, max_words: int = 10, max_chars: int = 60) -> list[str]:
-    """candidate spans: word n-grams in order of place and length, plus their forms without outer punctuation and possessive endings."""
+    """candidate spans in order of length and place: word n-grams with any number of marks taken off each end, and those of possessives' bases.
+
+    Spans without a letter or digit and those over max_chars are left out; each counts once.
+    """
     words, seen = (prompt or "").split(), {}
-    for i in range(len(words)):
-        for n in range(1, min(max_words, len(words) - i) + 1):
-            span = " ".join(words[i : i + n])
-            forms = [span, span.rstrip(_TRIM), span.strip(_TRIM)]
-            forms += [re.sub(r"['’]s$", "", f) for f in forms]
-            forms += [f.strip(_TRIM) for f in forms]
-            for f in forms:
-                if f and len(f) <= max_chars:
-                    seen.setdefault(f)
+    for n in range(1, max_words + 1):
+        for gram in (" ".join(words[i : i + n]) for i in range(len(words) - n + 1)):
+            for span in (gram[a:b] for a in _cuts(gram, True) for b in _cuts(gram, False) if a < b):
+                base = next((span[: -len(x)].rstrip() for x in POSSESSIVES if span.endswith(x)), None)
+                for form in [span, *(base[:b] for b in _cuts(base, False))] if base else [span]:
+                    if len(form) <= max_chars and any(c.isalnum() for c in form):
+                        seen.setdefault(form)
     return list(seen)
 
 

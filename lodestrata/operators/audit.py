@@ -7,12 +7,21 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: (before, after) event types of a run's ledger; the first must be planned.
-TRANSITIONS = (
-    (None, "planned"), ("planned", "started"), ("started", "checkpointed"), ("checkpointed", "checkpointed"), ("started", "interrupted"), ("checkpointed", "interrupted"),
-    ("interrupted", "resumed"), ("resumed", "checkpointed"), ("resumed", "interrupted"), ("checkpointed", "completed"), ("started", "failed"), ("checkpointed", "failed"),
-    ("resumed", "failed"), ("completed", "evaluated"), ("evaluated", "evaluated"), ("evaluated", "published"),
-)
+# The event types that may follow each; the first of a run must be planned.
+FOLLOWING = {
+    None: ("planned",),
+    "planned": ("preflight_passed", "failed", "excluded"),
+    "preflight_passed": ("launch_requested", "failed", "excluded"),
+    "launch_requested": ("started", "failed", "excluded"),
+    "started": ("checkpointed", "failed", "completed"),
+    "checkpointed": ("checkpointed", "failed", "resumed", "completed"),
+    "failed": ("preflight_passed", "launch_requested", "checkpointed", "resumed", "excluded"),
+    "resumed": ("started", "checkpointed", "failed", "completed"),
+    "excluded": (),
+    "completed": (),
+}
+#: (before, after) pairs of event types that are allowed.
+TRANSITIONS = tuple((a, b) for a, after in FOLLOWING.items() for b in after)
 
 
 def wrong_fields(rows: DataFrame, wanted: list[tuple[str, str]]) -> list[str]:

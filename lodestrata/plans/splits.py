@@ -253,7 +253,7 @@ def repeated_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain for each supplier, whose types go by its key, and links that break in some."""
-    kinds = ["planned", "started", "checkpointed", "completed", "evaluated"]
+    kinds = ["planned", "preflight_passed", "launch_requested", "started", "completed"]
     rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run"), F.posexplode(F.array(*[F.lit(k) for k in kinds])).alias("seq", "type"))
     rows = rows.withColumn("seq", F.col("seq").cast("long")).withColumn("type", F.when((F.col("run") % 9 == 0) & (F.col("seq") == 2), "resumed").otherwise(F.col("type")))
     own = lambda k: F.max(F.when(F.col("seq") == k, F.col("type"))).over(Window.partitionBy("run"))
@@ -319,7 +319,7 @@ ORACLES = {
     "trace_errors": "SELECT id, CASE WHEN id % 10 = 3 THEN CASE WHEN id % 6 + 1 <= 4 THEN 'several_halts' ELSE 'action_after_halt' END ELSE 'noop_without_halt' END AS problem FROM range(60) t(id) WHERE id % 10 = 3 OR (id % 10 = 5 AND id % 6 <> 5)",
     "unordered_entries": "SELECT event_type, event_id FROM (SELECT event_type, event_id, v, lag(v) OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM (SELECT *, CASE WHEN event_id % 97 = 0 THEN event_id - 40 ELSE event_id END AS v FROM events)) WHERE v <= p",
     "repeated_addresses": with_(TRIPLES) + "SELECT subject, relation, count(*) AS n FROM triples GROUP BY ALL HAVING n > 1",
-    "ledger_errors": """SELECT s_suppkey AS run, unnest([2, 3])::BIGINT AS seq, 'transition' AS problem FROM supplier WHERE s_suppkey % 9 = 0 AND s_suppkey % 13 <> 0
-      UNION ALL SELECT s_suppkey, 2, 'transition' FROM supplier WHERE s_suppkey % 9 = 0 AND s_suppkey % 13 = 0 UNION ALL SELECT s_suppkey, 3, 'hash' FROM supplier WHERE s_suppkey % 13 = 0 UNION ALL SELECT s_suppkey, 4, 'link' FROM supplier WHERE s_suppkey % 13 = 0""",
+    "ledger_errors": """SELECT s_suppkey AS run, 2::BIGINT AS seq, 'transition' AS problem FROM supplier WHERE s_suppkey % 9 = 0
+      UNION ALL SELECT s_suppkey, 3, 'hash' FROM supplier WHERE s_suppkey % 13 = 0 UNION ALL SELECT s_suppkey, 4, 'link' FROM supplier WHERE s_suppkey % 13 = 0""",
     "ledger_summary": "SELECT user_id, count(*) AS events, arg_max(event_type, event_id) AS status, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'error') AS n_error, count(*) FILTER (event_type = 'purchase') AS n_purchase, sha256(string_agg(event_type, chr(10) ORDER BY event_id)) AS digest FROM events GROUP BY 1",
 }

@@ -161,7 +161,7 @@ from . import masks as _masks  # noqa: E402
 ORACLES = {
     "stream_metrics": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1",
     "stream_pairs": with_(EVAL_ROWS) + "SELECT pair_id, max(CASE WHEN variant = 'original' THEN correct END) AS original, max(CASE WHEN variant = 'counterfactual' THEN correct END) AS counterfactual FROM eval_rows WHERE arm = 'split' GROUP BY 1 HAVING count(DISTINCT variant) = 2",
-    "stream_ledger": "SELECT s_suppkey AS run, unnest([2, 3])::BIGINT AS seq, unnest(['resumed', 'completed']) AS type, 'transition' AS problem FROM supplier WHERE s_suppkey % 9 = 0",
+    "stream_ledger": "SELECT s_suppkey AS run, 2::BIGINT AS seq, 'resumed' AS type, 'transition' AS problem FROM supplier WHERE s_suppkey % 9 = 0",
     "user_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, count(DISTINCT k) AS sessions, max(n) AS longest FROM (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL) GROUP BY 1",
     "stream_windows": "WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events) SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, m WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= m.w GROUP BY ALL",
     "tsv_triples": with_(TRIPLES) + "FROM triples",

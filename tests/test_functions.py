@@ -53,6 +53,8 @@ def test_dates_words_and_spans(spark):
     assert one(spark, text.whole_word_replaced(F.lit("Al. met Al.x and xAl., Al."), F.lit("Al."), F.lit("$Bo"))) == ("$Bo met Al.x and xAl., $Bo",)
     spans = text.spans_of("Is (Ann)'s car?")
     assert {"Is", "(Ann)'s", "Ann", "car", "Is (Ann)'s car"} <= set(spans) and len(spans) == len(set(spans))
+    assert text.spans_of("Home Free!?", 2) == ["Home", "Free!?", "Free!", "Free", "Home Free!?", "Home Free!", "Home Free"]
+    assert text.spans_of("F.C.’s -- !", 1) == ["F.C.’s", "F.C.", "F.C"] and text.spans_of(None) == [] and text.spans_of("x" * 61) == []
     assert one(spark, text.reserved_handles(F.lit("Q12 xQ3 Q4x Q05"))) == ([12, 5],)
     rows = spark.createDataFrame([("Slot 0 refers to Q1. Go.", 0, "Q9"), ("Slot 1 refers to Q1.", 0, "Q9")], "p string, s int, n string")
     assert [r[0] for r in rows.select(text.slots_rebound("p", "s", "n")).collect()] == ["Slot 0 refers to Q9. Go.", "Slot 1 refers to Q1."]

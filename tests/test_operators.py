@@ -329,14 +329,14 @@ def test_derangement_moves_every_payload(spark):
 
 def test_ledger_faults(spark):
     h, chain = None, []
-    for i, t in enumerate(["planned", "started", "completed", "evaluated"]):
+    for i, t in enumerate(["planned", "preflight_passed", "launch_requested", "completed"]):
         own = hashlib.sha256("\n".join([h or "", "1", str(i), t]).encode()).hexdigest()
         chain.append((1, i, t, h, own))
         h = own
     df = spark.createDataFrame(chain, "run long, seq long, type string, previous string, hash string")
-    assert rows(audit.ledger_errors(df), "seq", "problem") == [(2, "transition")]
+    assert rows(audit.ledger_errors(df), "seq", "problem") == [(3, "transition")]
     assert (3, "gap") in rows(audit.ledger_errors(df.filter("seq <> 2")), "seq", "problem")
-    forged = df.withColumn("type", F.when(F.col("seq") == 2, "failed").otherwise(F.col("type")))
+    forged = df.withColumn("type", F.when(F.col("seq") == 2, "excluded").otherwise(F.col("type")))
     assert rows(audit.ledger_errors(forged), "seq", "problem") == [(2, "hash"), (3, "transition")]
 
 
