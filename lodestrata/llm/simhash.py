@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import frozen, partitions, short_batches, table
 from .components import components
+from .spotsigs import jaccard
 
 SHINGLE = 3
 SEED = 42
@@ -31,6 +33,14 @@ LEAF_SIZE = 32_768
 STEP_BITS = 10
 #: Pairs of nodes expanded at once.
 FRONT = 300_000
+#: What makes two documents near copies in the pipeline: the Jaccard of their sets of shingles of so many words.
+COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
+#: Documents whose shingles are counted to order them, and common shingles known to every task: both only steer the cost.
+SAMPLE_ROWS, MAX_COMMON = 8_000, 100_000
+#: Texts that share a shingle are all paired up to this number; more are linked to two of them first.
+GROUP = 32
+#: Rows of a few numbers that are broadcast; more are joined by shuffling the texts.
+MAX_BROADCAST = 1_000_000
 _SIGN = np.uint64(1 << 63)
 
 
@@ -287,15 +297,206 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, width: int = COPY_SHINGLE) -> np.ndarray:
+    """The ascending set of a text's shingle hashes."""
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of shingles that several of a sample of texts hold, and how many do."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    total = texts.count()
+    if not total:
+        return none
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id", "h"), F.lit(1_000_000)) < int(min(1.0, SAMPLE_ROWS / total) * 1_000_000))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"s": np.concatenate([shingle_set(t, width) for t in b["text"]] or [none[0]]).view(np.int64)})
+
+    counts = sample.select("text").mapInPandas(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = counts.orderBy(F.col("n").desc(), "s").limit(MAX_COMMON).collect()
+    s, n = np.array([r["s"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def rarest(s: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The shingles, rarest first, of which a set that is alike enough must share one (prefix filtering holds for any order)."""
+    seen = np.zeros(len(s), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        seen = np.where(common[at] == s, counts[at], 0)
+    return s[np.lexsort((s, seen))][: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
+
+
+def may_be_alike(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of n and m shingles that share the one at places p and q of their orders can reach ``least``."""
+    most = np.minimum(p, q) + np.minimum(n - p, m - q)
+    return (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9) & (most >= least / (1 + least) * (n + m) - 1e-9)
+
+
+_ENTRY = np.dtype([("s", "<u8"), ("key", "<i8"), ("n", "<i4"), ("p", "<i4")])
+
+
+def _pairs(x: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> pd.DataFrame:
+    keep = may_be_alike(x["n"][i], x["p"][i], x["n"][j], x["p"][j], least)
+    a, b = x["key"][i[keep]], x["key"][j[keep]]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """rows, checkpointed, to be broadcast as long as there are at most MAX_BROADCAST."""
+    rows = frozen(rows)
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST else rows
+
+
+def profile(s: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall into each of 256 classes: two sets share no more than the sum of the smaller counts."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 2**16 - 1).astype(np.uint16)
+
+
+def profiles_allow(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two profiles leave ``least`` in reach; a count at its end tells nothing."""
+    if max(a.max(), b.max()) == 2**16 - 1:
+        return True
+    n = int(a.sum(dtype=np.int64) + b.sum(dtype=np.int64))
+    return int(np.minimum(a, b).sum(dtype=np.int64)) >= least / (1 + least) * n - 1e-9
+
+
+def alike(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """(u, v): the pairs (a, b) of classes whose shingle sets reach ``least``: by their profiles first, those left compared in full."""
+
+    def kept(pairs: DataFrame, of, test) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        wanted = few(classes.join(ends, "key").select("key", F.col("low").alias("_low"), F.col("h").alias("_h")))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"key": b["key"], "x": [of(shingle_set(t, width)).tobytes() for t in b["text"]]})
+
+        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b[["a", "b"]][np.array([test(x, y) for x, y in zip(b["x"], b["y"], strict=True)], bool)]
+
+        own = texts.join(wanted, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_low"))).select("key", "text")
+        sets = own.mapInPandas(run, "key long, x binary").dropDuplicates(["key"])
+        both = pairs.join(sets.select(F.col("key").alias("a"), "x"), "a").join(sets.select(F.col("key").alias("b"), F.col("x").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
+
+    likely = frozen(kept(pairs, profile, lambda x, y: profiles_allow(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), least)))
+    full = kept(likely, lambda s: s, lambda x, y: jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) >= least)
+    return full.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def near_copies(docs: DataFrame, width: int = COPY_SHINGLE, least: float = COPY_SIMILARITY) -> DataFrame:
+    """(doc_id, h, component_id) for each row of docs, h being its text's hash.
+
+    Rows joined by a chain of texts whose sets of ``width``-word shingles have a
+    Jaccard of ``least`` or more share a component, named by its smallest doc_id
+    (null only if all its doc_ids are). Every such pair of texts is in reach: texts
+    of the same set form a class; two classes that are alike share one of the rarest
+    shingles of each, and what shares one is compared in full. Where more than
+    GROUP classes share a shingle, each is first compared with two of them,
+    and then with those that it isn't joined to by then. Texts without words are alike.
+    """
+    spark = docs.sparkSession
+    short_batches(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    common, counts = common_shingles(texts, width)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingle_set(t, width) for t in b["text"]]
+            key = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"id": b["id"], "h": b["h"], "key": key, "n": [len(s) for s in sets], "prefix": [rarest(s, common, counts, least).tobytes() for s in sets]})
+
+    # ids travel as text: pandas would turn a column with nulls into floating point
+    own = texts.select(F.col("doc_id").cast("string").alias("id"), "h", "text").mapInPandas(run, "id string, h long, key long, n int, prefix binary")
+    own = frozen(own.withColumn("doc_id", F.col("id").cast("long")).drop("id"))
+    # the row of a class whose text is compared: that of the smallest doc_id, nulls last
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("f")
+    classes = frozen(own.groupBy("key").agg(first).select("key", F.col("f.doc_id").alias("low"), F.col("f.h").alias("h")))
+    shingles = own.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    buckets = max(partitions(docs), shingles // 8 // 1_000_000)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.drop_duplicates("key")
+            prefix = [np.frombuffer(x, np.uint64) for x in b["prefix"]]
+            size = np.array([len(x) for x in prefix], np.int64)
+            x = np.empty(size.sum(), _ENTRY)
+            x["s"], x["key"], x["n"] = np.concatenate([*prefix, np.zeros(0, np.uint64)]), np.repeat(b["key"], size), np.repeat(b["n"], size)
+            x["p"] = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+            to = (x["s"] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            used, start = np.unique(to[order], return_index=True)
+            yield pd.DataFrame({"bucket": used, "entries": [part.tobytes() for part in np.split(x[order], start[1:])] if len(x) else []})
+
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(rows["entries"]), _ENTRY)
+        x = x[np.lexsort((x["key"], x["n"], x["s"]))]
+        x = x[np.concatenate(([True], (x["s"][1:] != x["s"][:-1]) | (x["key"][1:] != x["key"][:-1])))]
+        _, start, size = np.unique(x["s"], return_index=True, return_counts=True)
+        first, of = np.repeat(start, size), np.repeat(size, size)
+        x, first, of = x[of > 1], (first - np.cumsum(of == 1)[first])[of > 1], of[of > 1]
+        at, small, out = np.arange(len(x)), of <= GROUP, []
+        for d in range(1, min(GROUP, int(of.max(initial=1)))):
+            i = at[(at - first + d < of) & (small | (d == 1))]
+            out.append(_pairs(x, i, i + d, least))
+        i = at[~small & (at > first)]
+        out.append(_pairs(x, first[i], i, least))
+        pairs = pd.concat(out).drop_duplicates()
+        large = x[~small]
+        return pd.concat([
+            pd.DataFrame({"a": pairs["a"], "b": pairs["b"], "s": 0, "n": 0, "p": 0, "large": False}),
+            pd.DataFrame({"a": large["key"], "b": large["key"], "s": large["s"].view(np.int64), "n": large["n"], "p": large["p"], "large": True}),
+        ])
+
+    dealt = own.filter("n > 0").select("key", "n", "prefix").mapInPandas(deal, "bucket long, entries binary")
+    met = frozen(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "a long, b long, s long, n int, p int, large boolean"))
+    pairs = frozen(met.filter("not large").select("a", "b").distinct())
+    linked = frozen(alike(pairs, classes, texts, width, least))
+    parts = components(linked)
+    large = met.filter("large").select(F.col("a").alias("key"), "s", "n", "p")
+    if not large.isEmpty():
+
+        def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for rows in b["g"]:
+                    x = np.array([(0, r["key"], r["n"], r["p"]) for r in rows], _ENTRY)
+                    _, root = np.unique(np.array([r["root"] for r in rows], np.int64), return_inverse=True)
+                    size = np.bincount(root)
+                    # those outside the largest component meet all, and each other once
+                    main = root == size.argmax()
+                    for i in np.flatnonzero(~main):
+                        j = np.flatnonzero((root != root[i]) & (main | (np.arange(len(x)) > i)))
+                        yield _pairs(x, np.full(len(j), i), j, least)
+
+        roots = parts.select(F.col("node").alias("key"), "root")
+        named = large.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        # groups that hang together already are not gathered
+        open_ = named.groupBy("s").agg(F.min("root").alias("l"), F.max("root").alias("m")).filter("l <> m").select("s")
+        groups = named.join(open_, "s").groupBy("s").agg(F.collect_list(F.struct("key", "n", "p", "root")).alias("g")).select("g")
+        more = frozen(groups.mapInPandas(cross, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            parts = components(linked.union(alike(more, classes, texts, width, least)))
+    named = classes.select("key", "low").join(parts.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    of_root = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    of_key = named.join(of_root, "root").select("key", "component_id")
+    return own.select("doc_id", "h", "key").join(of_key, "key").select("doc_id", "h", "component_id")
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each near-duplicate component the document of the smallest doc_id stays.
+    """Pipeline stage: of each component of near copies (five-word shingles, Jaccard 0.8 or more) the document of the smallest doc_id stays.
 
     doc_id is the key: rows that share one are one document, and of those that
     also share the text one stays. Rows with a null doc_id all stay, since
     nothing tells which document they belong to.
     """
-    rows = frozen(near_duplicates(docs))
+    rows = frozen(near_copies(docs))
     drop = rows.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    drop = few(drop)
     kept = docs.join(drop, docs["doc_id"] == drop["_gone"], "left_anti")
     again = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again"))
     if again.isEmpty():

@@ -114,3 +114,45 @@ def test_near_leaves():
     for a, (d, p) in enumerate(leaves):
         want = [b for b, (e, q) in enumerate(leaves) if ((p >> (d - min(d, e))) ^ (q >> (e - min(d, e)))).bit_count() <= 2]
         assert sorted(sh.near_leaves(a, lows, depths, 2)) == want
+
+
+def five(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("group", [32, 2])
+def test_keep_one_drops_copies_with_words_replaced(spark, monkeypatch, group):
+    monkeypatch.setattr(sh, "GROUP", group)
+    r = random.Random(17)
+    prose = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    line = prose(12)
+    rows = [(i, " ".join(prose(r.randrange(3, 250)) + (line if i % 2 else []))) for i in range(150)]
+    for i in range(150):
+        words = rows[r.choice([r.randrange(150), 7])][1].split()
+        for _ in range(r.randrange(0, 8)):
+            words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(words)))
+    rows += [(2000, None), (2001, ""), (2002, "  ")]
+    sets = {i: five(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    far = 0
+    for a in sets:
+        for b in sets:
+            if a < b and likeness(sets[a], sets[b]) >= 0.8:
+                far += (plain(dict(rows)[a]) ^ plain(dict(rows)[b])).bit_count() > 2
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert far > 50
+    kept = sh.keep_one(spark, docs(spark, rows), "").collect()
+    assert sorted(k["doc_id"] for k in kept) == sorted({find(i) for i in sets})
