@@ -490,14 +490,15 @@ def near_copies(docs: DataFrame, width: int = COPY_SHINGLE, least: float = COPY_
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of near copies (five-word shingles, Jaccard 0.8 or more) the document of the smallest doc_id stays.
 
-    doc_id is the key: rows that share one are one document, and of those that
-    also share the text one stays. Rows with a null doc_id all stay, since
+    doc_id is the key: of rows that share it and the text one stays; where a doc_id
+    repeats with different texts, each text goes or stays by its own component. Rows with a null doc_id all stay, since
     nothing tells which document they belong to.
     """
     rows = frozen(near_copies(docs))
-    drop = rows.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    drop = rows.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct()
     drop = few(drop)
-    kept = docs.join(drop, docs["doc_id"] == drop["_gone"], "left_anti")
+    # the hash of a null text is a number as well
+    kept = docs.join(drop, (docs["doc_id"] == drop["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == drop["_h"]), "left_anti")
     again = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again"))
     if again.isEmpty():
         return kept

@@ -156,3 +156,9 @@ def test_keep_one_drops_copies_with_words_replaced(spark, monkeypatch, group):
     assert far > 50
     kept = sh.keep_one(spark, docs(spark, rows), "").collect()
     assert sorted(k["doc_id"] for k in kept) == sorted({find(i) for i in sets})
+
+
+def test_keep_one_of_each_group_where_an_id_has_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    kept = sh.keep_one(spark, docs(spark, [(1, b), (5, a), (5, b), (9, a), (2, "other"), (2, None), (7, None)]), "").collect()
+    assert sorted((k["doc_id"], k["text"] or "") for k in kept) == [(1, b), (2, ""), (2, "other"), (5, a)]
