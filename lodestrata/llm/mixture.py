@@ -106,17 +106,34 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = MAX_EPOCHS) -> Da
     return own.join(decided, match).withColumn("taken", F.col("epochs") * F.col("size")).drop("_s", "_d", "_h")
 
 
+def round_position(epoch: Column, slopes: tuple = SLOPES) -> Column:
+    """The position of a row of the plan when it is taken in that round, counted from 0."""
+    by_rank = F.lit(float(slopes[-1]))
+    for i in range(len(slopes) - 2, -1, -1):
+        by_rank = F.when(F.col("rank") % len(slopes) == i, F.lit(float(slopes[i]))).otherwise(by_rank)
+    return position((epoch * F.col("source_size") + F.col("start")).cast("double"), F.col("target"), by_rank)
+
+
+def training_order(docs: DataFrame, slopes: tuple = SLOPES, **options) -> DataFrame:
+    """The plan's rows with ``positions``, one in [0, 1] for each round that takes the row, range-sorted by the first of them.
+
+    Rows that no round takes have an empty list and stand at the end, by doc_id.
+    """
+    rounds = F.sequence(F.lit(0), F.col("epochs").cast("int") - 1)
+    at = F.when(F.col("epochs") > 0, F.transform(rounds, lambda e: round_position(e, slopes))).otherwise(F.array().cast("array<double>"))
+    rows = plan(docs, **options).withColumn("positions", at).withColumn("_at", F.get("positions", F.lit(0)))
+    keys = (F.col("_at").asc_nulls_last(), F.col("doc_id").asc())
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_at")
+
+
 def curriculum(docs: DataFrame, slopes: tuple = SLOPES, out: str = "position", **options) -> DataFrame:
     """The training order: docs with a row for each time that a document is taken and its position ``out`` in [0, 1], range-sorted by that.
 
     The texts are shuffled twice: to the plan, and to their positions. A column of docs that is called like ``out`` is replaced.
     """
-    by_rank = F.lit(float(slopes[-1]))
-    for i in range(len(slopes) - 2, -1, -1):
-        by_rank = F.when(F.col("rank") % len(slopes) == i, F.lit(float(slopes[i]))).otherwise(by_rank)
     decided = plan(docs, **options).filter("epochs > 0").groupBy("source", "doc_id", "h").agg(*[F.first(c).alias(c) for c in ("source_size", "rank", "target", "epochs", "start")])
     every = decided.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs").cast("int") - 1)))
-    at = position((F.col("epoch") * F.col("source_size") + F.col("start")).cast("double"), F.col("target"), by_rank)
+    at = round_position(F.col("epoch"), slopes)
     every = every.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("h").alias("_h"), at.alias("_at"))
     rows = docs.drop(out).withColumn("_own", F.xxhash64(F.col("text").cast("string")))
     match = F.col("source").cast("string").eqNullSafe(F.col("_s")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_h"))
@@ -125,8 +142,13 @@ def curriculum(docs: DataFrame, slopes: tuple = SLOPES, out: str = "position", *
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6: target and taken words of every document."""
-    return plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """op6: target and taken words of every document, in training order."""
+    return training_order(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def positions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 with the positions of every taken round, which the columns of its SQL leave out."""
+    return training_order(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "positions")
 
 
 def in_training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

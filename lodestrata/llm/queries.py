@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_counterfactual_toxicity": toxicity.query,
     "op5_kneser_ney": kneser_ney.query,
     "op6_curriculum_mixture": mixture.query,
+    "op6_curriculum_positions": mixture.positions_query,
     "op7_linear_wordpiece": wordpiece.query,
     "op8_kd_sharding": sharding.query,
     "op9_ngram_decontamination": decontaminate.query,

@@ -90,3 +90,17 @@ def test_curriculum(spark):
 def test_empty(spark):
     assert mx.plan(frame(spark, [])).collect() == []
     assert mx.curriculum(frame(spark, [])).collect() == []
+
+
+def test_queries_give_the_training_order(spark, tmp_path):
+    frame(spark, corpus(4, ["a", "b", "c"])).drop("position").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mx.positions_query(spark, str(tmp_path)).collect()
+    first = [g["positions"][0] for g in got if g["positions"]]
+    assert first == sorted(first) and len(set(first)) > 100
+    assert all(not g["positions"] for g in got[len(first) :])
+    assert all(g["taken"] == len(g["positions"]) * g["size"] and g["positions"] == sorted(g["positions"]) for g in got)
+    placed = mx.curriculum(spark.read.parquet(f"{tmp_path}/documents.parquet")).select("doc_id", "position").collect()
+    assert sorted((str(g["doc_id"]), x) for g in got for x in g["positions"]) == sorted((str(g["doc_id"]), g["position"]) for g in placed)
+    own = mx.query(spark, str(tmp_path))
+    assert own.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert [tuple(g) for g in own.collect()] == [tuple(g)[:5] for g in got]
