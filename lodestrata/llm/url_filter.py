@@ -22,6 +22,9 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 MAX_INLINE = 200
 _LINK = r"(?is)<link\b[^>]*>"
 _META = r"(?is)<meta\b[^>]*>"
+#: Character references decoded in attribute values; that of the ampersand comes last, so that nothing is decoded twice.
+_ENTITIES = ((r"&lt;|&#0*60;|&#x0*3c;", "<"), (r"&gt;|&#0*62;|&#x0*3e;", ">"), (r"&quot;|&#0*34;|&#x0*22;", '"'), (r"&apos;|&#0*39;|&#x0*27;", "'"),
+             (r"&#0*47;|&#x0*2f;", "/"), (r"&#0*61;|&#x0*3d;", "="), (r"&amp;|&#0*38;|&#x0*26;", "&"))
 
 
 def host_of(url: Column) -> Column:
@@ -71,17 +74,36 @@ def judged(urls: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url")
 
 def _attribute(tag: Column, name: str) -> Column:
     value = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    return F.trim(F.regexp_replace(value, r"""^["']|["']$""", ""))
+    value = F.regexp_replace(value, r"""^["']|["']$""", "")
+    for pattern, char in _ENTITIES:
+        value = F.regexp_replace(value, f"(?i){pattern}", char)
+    return F.trim(value)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with ``/``, its ``.`` and ``..`` segments resolved."""
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/", -1)
+    walked = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda a, p: F.when(p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(p == ".", a).otherwise(F.concat(a, F.array(p))),
+    )
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(walked, end), "/"))
 
 
 def absolute(base: Column, target: Column) -> Column:
-    """The target of a link, absolute: whole URLs stay, ``//host`` and ``/path`` take what they lack from the base; others and fragments are dropped (null)."""
+    """The target of a link, absolute: whole URLs stay, others take what they lack from the base (host, directory, or path of a query), dot segments resolved. Bare fragments and other schemes (mailto:) are dropped (null)."""
     scheme, site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
     bare = F.regexp_replace(F.trim(target), r"(?s)#.*$", "")
+    own = F.regexp_replace(bare, r"(?s)\?.*$", "")
+    folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
+    path = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), own))
     return (
         F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), bare)
         .when(F.startswith(bare, F.lit("//")) & (scheme != ""), F.concat(scheme, F.lit(":"), bare))
-        .when(F.startswith(bare, F.lit("/")) & (site != ""), F.concat(site, bare))
+        .when((bare == "") | bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (site == ""), None)
+        .when(F.startswith(bare, F.lit("?")), F.concat(site, path_of(base), bare))
+        .otherwise(F.concat(site, _without_dots(path), F.regexp_extract(bare, r"(?s)(\?.*)$", 1)))
     )
 
 
@@ -98,7 +120,7 @@ def links(pages: DataFrame) -> DataFrame:
     # a page without either word costs a search and no tag is taken from it
     likely = pages.filter(F.col("html").rlike(r"(?i)canonical|http-equiv"))
     rows = likely.select(F.col("url").cast("string").alias("url"), F.explode(tags).alias("tag"))
-    canonical = F.when(F.lower(_attribute(F.col("tag"), "rel")) == "canonical", _attribute(F.col("tag"), "href"))
+    canonical = F.when(F.array_contains(F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+"), "canonical"), _attribute(F.col("tag"), "href"))
     refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*['\"]?([^'\"]+)", 1))
     # each step is exploded as an array of one, so that the next reads its value and doesn't repeat its expressions
     rows = rows.select("url", F.explode(F.array(F.coalesce(canonical, refresh))).alias("target")).filter("target <> ''")

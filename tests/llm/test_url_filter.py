@@ -98,3 +98,15 @@ def test_one_large_component(spark):
 
 def test_empty(spark):
     assert uf.filter_pages(frame(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("canonical", [False, True])
+def test_relative_links_entities_and_rel_lists(spark, canonical):
+    base = "http://a.net/x/y/p.html?q=1"
+    cases = [("page.html", "http://a.net/x/y/page.html"), ("../z", "http://a.net/x/z"), ("./k?m=../1", "http://a.net/x/y/k?m=../1"), ("?page=2&amp;ref=x", "http://a.net/x/y/p.html?page=2&ref=x"),
+             ("../../../t/", "http://a.net/t/"), ("..", "http://a.net/x/"), ("/a/./b/../c", "http://a.net/a/c"), ("http:&#x2F;/b.net/?u=1&amp;lt;", "http://b.net/?u=1&lt;"), ("mailto:x@y.z", None), ("#top", None)]
+    form = '<link rel="nofollow Canonical" href="{}">' if canonical else '<meta http-equiv="refresh" content="0; url={}">'
+    got = uf.links(frame(spark, [(i, f"{base}{i}", form.format(t)) for i, (t, _) in enumerate(cases)])).collect()
+    assert {(g["u"], g["v"]) for g in got} == {(f"{base}{i}", w) for i, (_, w) in enumerate(cases) if w}
+    pages = [(1, "http://com.net/de/a", form.format("../x.html")), (2, "http://com.net/x.html", form.format("http://x.com/de/1"))]
+    assert {g["verdict"] for g in uf.filter_pages(frame(spark, pages)).collect()} == {"block"}
