@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,22 @@ _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows of one Arrow batch sent to Python: texts may be long, so batches are short.
 BATCH_ROWS = 500
+#: Code points of a text that are cut into words at once.
+PIECE_CHARS = 1 << 20
+_BLANK = re.compile(r"[\x20\x09-\x0D]")
+
+
+def pieces(text: str | None, most: int | None = None) -> Iterator[str]:
+    """A text in pieces of about ``most`` code points, cut before an ASCII blank: no word is cut, and the pieces joined are the text.
+
+    What tokenises piece by piece holds one piece's words, however long the text is. Null has none; a word longer than that stays whole.
+    """
+    text, most, at = text or "", most or PIECE_CHARS, 0
+    while len(text) - at > most and (blank := _BLANK.search(text, at + most)):
+        yield text[at : blank.start()]
+        at = blank.start()
+    if at < len(text):
+        yield text[at:] if at else text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +62,11 @@ def short_batches(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one if driver and tasks are one process (tests), else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -69,6 +88,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return uri
 
 
+def remove_folder(uri: str) -> None:
+    """Delete a folder made by ``new_folder`` with all that is in it."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.delete_dir(path)
+
+
 def put_file(uri: str, chunks: Iterable[bytes]) -> None:
     """Write a file under a name of its own, then rename it: a retried or speculative task leaves one whole file."""
     fs, path = pafs.FileSystem.from_uri(uri)

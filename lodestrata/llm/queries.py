@@ -10,6 +10,7 @@ from . import decontaminate, kneser_ney, mixture, sharding, simhash, spotsigs, t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": spotsigs.query,
+    "op1_spotsigs_classes": spotsigs.classes_query,
     "op2_redirect_equivalence": url_filter.query,
     "op3_simhash_trie": simhash.query,
     "op4_counterfactual_toxicity": toxicity.query,

@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frozen, short_batches, table
-from .components import components
+from .common import frozen, pieces, short_batches, table
+from .set_join import jaccard, near_sets
 
 CHAIN, DISTANCE = 2, 1
 SIMILARITY = 0.8
@@ -36,7 +36,7 @@ ANCHORS = frozenset(
     """.split()
 )
 #: Words whose hashes a worker remembers.
-CACHE = 300_000
+CACHE = 150_000
 #: Code points of text whose results are held at once, and of a range of documents that one task sorts.
 RUN_CHARS, RANGE_CHARS = 4_000_000, 48_000_000
 #: Ranges at most: their cuts are part of the plan. Beyond that ranges grow, and their sort spills.
@@ -60,7 +60,11 @@ class Words:
         self.anchors, self.known = anchors, {}
 
     def of(self, text: str | None) -> np.ndarray:
-        words = _WORD.findall((text or "").lower())
+        parts = [self._piece(p) for p in pieces(text)]
+        return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint64)
+
+    def _piece(self, piece: str) -> np.ndarray:
+        words = _WORD.findall(piece.lower())
         known = self.known
         if len(known) > CACHE:
             known.clear()
@@ -98,25 +102,6 @@ def signatures(words: np.ndarray, chain: int = CHAIN, distance: int = DISTANCE)
     return np.unique((h >> np.uint64(32)).astype(np.uint32))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """The Jaccard of two sorted sets; 0 as soon as it can't reach ``least``. Two empty sets are alike."""
-    n, m = len(a), len(b)
-    if not n and not m:
-        return 1.0
-    if min(n, m) < least * max(n, m):
-        return 0.0
-    need = math.ceil(least / (1 + least) * (n + m) - 1e-9)
-    common, at = 0, 0
-    for i in range(0, n, 4096):
-        part = a[i : i + 4096]
-        end = int(np.searchsorted(b, part[-1], "right"))
-        common += len(np.intersect1d(part, b[at:end], assume_unique=True))
-        at = end
-        if common + min(n - i - len(part), m - at) < need:
-            return 0.0
-    return common / (n + m - common)
-
-
 def text_of(signature_set: np.ndarray) -> str:
     """The fingerprint as text: eight hex digits for each signature, ascending."""
     return signature_set.astype(">u4").tobytes().hex()
@@ -179,15 +164,28 @@ def similar(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, Data
     return members.join(classes.select("key", "class_id"), "key").select("doc_id", "class_id"), pairs
 
 
+def signature_sets() -> Callable[[str | None], tuple[np.ndarray, int]]:
+    """For each text its signature set, spread over 64 bits."""
+    words = Words()
+    return lambda text: (np.sort(_mix(signatures(words.of(text)).astype(np.uint64), _M3)), 0)
+
+
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, component_id): classes joined by chains of similar pairs."""
-    members, pairs = similar(docs, least)
-    parts = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    found = members.join(parts.select(F.col("node").alias("class_id"), F.col("root").alias("component_id")), "class_id", "left")
-    return found.select("doc_id", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    """(doc_id, class_id, component_id): classes of equal sets, and components of classes joined by chains of pairs that reach ``least``.
 
+    Sets meet within a length partition and its neighbour, by their rarest signatures, and are compared by the
+    pruned Jaccard; where many share one, not all pairs are made (see ``set_join``). Null doc_ids name nothing unless they are alone.
+    """
+    return near_sets(docs, signature_sets, least, by_length=True).select("doc_id", "class_id", "component_id")
 
-def with_following(docs: DataFrame, ranges: int) -> DataFrame:
+
+def _slim(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_chars, h): what ranges are cut by, read from the texts once."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return frozen(docs.select(F.col("doc_id").cast("long"), F.length(text).cast("long").alias("n_chars"), F.xxhash64(text).alias("h")))
+
+
+def with_following(docs: DataFrame, ranges: int, slim: DataFrame | None = None) -> DataFrame:
     """(bucket, tail, doc_id, text): rows dealt by doc_id ranges; each range ends with a ``tail`` copy of the row that follows it.
 
     Ranges are cut at approximate quantiles of doc_id (a few numbers on the
@@ -196,11 +194,13 @@ def with_following(docs: DataFrame, ranges: int) -> DataFrame:
     before it as well. Rows are ordered by doc_id (null first) and, where ids
     repeat, by the hash of their text.
     """
+    slim = _slim(docs) if slim is None else slim
+    cuts = sorted(set(slim.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
+    range_of = _range_of(F.col("doc_id"), [int(c) for c in cuts])
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    cuts = sorted(set(rows.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    rows = rows.withColumn("bucket", _range_of(F.col("doc_id"), [int(c) for c in cuts]))
-    firsts = {r["bucket"]: r["f"] for r in rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "h")).alias("f")).collect()}
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("bucket", range_of)
+    first = slim.withColumn("bucket", range_of).groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "h")).alias("f"))
+    firsts = {r["bucket"]: r["f"] for r in first.collect()}
     used = sorted(firsts)
     if not used:
         return rows.select("bucket", F.lit(False).alias("tail"), "doc_id", "text", "h").filter("false")
@@ -237,12 +237,13 @@ def edit_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     short_batches(spark)
-    n = ranges
+    n, slim = ranges, _slim(docs)
     if n is None:
         # as many ranges as keep each to RANGE_CHARS, and no fewer than the session deals to
-        chars = docs.agg(F.coalesce(F.sum(F.length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+        chars = slim.agg(F.coalesce(F.sum("n_chars"), F.lit(0))).first()[0]
         n = min(MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS)))
-    dealt = with_following(docs, n).repartition(n, "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_first(), "h")
+    # a range is a partition: a hash of its number would put several into one task and none into another
+    dealt = with_following(docs, n, slim).repartitionById(n, "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_first(), "h")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, held, out, chars = Words(), None, [], 0
@@ -273,3 +274,8 @@ def edit_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: fingerprints of every document and of its edited text."""
     return edit_likeness(table(spark, sf_dir, "documents"))
+
+
+def classes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's join: class and component of every document, by length partitions and pruned Jaccard over all fingerprints."""
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))

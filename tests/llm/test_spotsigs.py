@@ -113,3 +113,44 @@ def test_ranges(spark, n):
     df = spark.createDataFrame([(x,) for x in [*range(-60, 510, 3), *cuts, None]], "v long")
     for x in df.select("v", sp._range_of(df["v"], cuts).alias("b")).collect():
         assert x["b"] == (0 if x["v"] is None else bisect.bisect_right(cuts, x["v"]))
+
+
+@pytest.mark.parametrize("group", [2, 32])
+def test_classes_against_all_pairs(spark, monkeypatch, group):
+    from lodestrata.llm import set_join
+
+    monkeypatch.setattr(set_join, "BLOCK", 7)
+    r = random.Random(6)
+    docs = []
+    for _ in range(30):
+        words = text(r, r.randrange(5, 150)).split()
+        for _ in range(4):
+            cut = words[:]
+            for _ in range(r.randrange(4)):
+                cut[r.randrange(len(cut))] = "neu"
+            docs.append(" ".join(cut))
+    rows = list(enumerate(docs + ODD + [docs[0]] * 3))
+    found = {f["doc_id"]: (f["class_id"], f["component_id"]) for f in set_join.near_sets(frame(spark, rows), sp.signature_sets, 0.8, group, by_length=True).collect()}
+    sets = {i: frozenset(sp.signatures(sp.Words().of(t)).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a] == sets[b] or sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert found == {i: (min(j for j in sets if sets[j] == sets[i]), find(i)) for i in sets}
+
+
+def test_pieces_change_nothing(monkeypatch):
+    from lodestrata.llm import common
+
+    r = random.Random(9)
+    texts = [text(r, 40), "ΑΣ ΣΑΣ Σ", " the  of und ", "x" * 50]
+    want = [sp.signatures(sp.Words().of(t)).tolist() for t in texts]
+    monkeypatch.setattr(common, "PIECE_CHARS", 3)
+    assert [sp.signatures(sp.Words().of(t)).tolist() for t in texts] == want
