@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
-import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,101 +19,107 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frozen, partitions, short_batches, table
+from .common import frozen, partitions, pieces, short_batches, table
 from .components import components
-from .spotsigs import jaccard
+from .set_join import GROUP, Sets, few, near_sets
 
 SHINGLE = 3
 SEED = 42
 BUDGET = 2
 #: Distinct fingerprints below one node of the trie's top: what bounds a task's memory.
 LEAF_SIZE = 32_768
-#: Bits by which prefixes are counted in one round, and prefixes counted at once: both bound what the driver sees.
-STEP_BITS = 10
+#: Bits by which prefixes are counted in one round, and prefixes counted in a round: both bound what the driver sees.
+STEP_BITS, MAX_COUNTS = 10, 1 << 16
 #: Pairs of nodes expanded at once.
 FRONT = 300_000
 #: What makes two documents near copies in the pipeline: the Jaccard of their sets of shingles of so many words.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
-#: Documents whose shingles are counted to order them, and common shingles known to every task: both only steer the cost.
-SAMPLE_ROWS, MAX_COMMON = 8_000, 100_000
-#: Texts that share a shingle are all paired up to this number; more are linked to two of them first.
-GROUP = 32
-#: Rows of a few numbers that are broadcast; more are joined by shuffling the texts.
-MAX_BROADCAST = 1_000_000
-_SIGN = np.uint64(1 << 63)
-
-
-def shingle_hashes(text: str | None, width: int = SHINGLE, seed: int = SEED) -> list[int]:
-    """XXH64 of each run of ``width`` words (fewer words: of the whole run; none: nothing). ASCII case is folded."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return []
-    joined, h = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return [h(joined, seed)]
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    return [h(joined[a:b], seed) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)]
-
-
-def majority(hashes: np.ndarray) -> int:
-    """The bits set in over half of the hashes."""
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 65_536):
-        part = np.ascontiguousarray(hashes[i : i + 65_536], dtype="<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(counts * 2 > len(hashes)).tolist())
-
-
-def simhash(text: str | None) -> int:
+#: Differing bits within which the pipeline's stage takes its first candidates from the trie.
+COPY_BUDGET = 3
+
+
+def shingle_parts(text: str | None, width: int = SHINGLE, seed: int = SEED) -> Iterator[np.ndarray]:
+    """XXH64 of each run of ``width`` words (fewer words: of the whole run; none: nothing), piece by piece. ASCII case is folded."""
+    h, words, begun = xxhash.xxh64_intdigest, [], False
+    for piece in pieces(text):
+        words += piece.encode("utf-8", "replace").lower().split()
+        if len(words) < width:
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        last = len(words) - width + 1
+        yield np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[:last].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, last)
+        words, begun = words[last:], True
+    if words and not begun:
+        yield np.array([h(b" ".join(words), seed)], np.uint64)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits set in over half of the hashes of all parts."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        n += len(hashes)
+        for i in range(0, len(hashes), 65_536):
+            part = np.ascontiguousarray(hashes[i : i + 65_536], dtype="<u8")
+            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return sum(1 << i for i in np.flatnonzero(counts * 2 > n).tolist())
+
+
+def simhash(text: str | None, width: int = SHINGLE) -> int:
     """The 64-bit fingerprint of a whole text; without words it is zero."""
-    return majority(np.array(shingle_hashes(text), np.uint64))
+    return majority(shingle_parts(text, width))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the fingerprint of each row's whole text as a signed 64-bit number. A null text has no words."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.array([simhash(t) for t in b["text"]], np.uint64)
+            fp = np.array([simhash(t, width) for t in b["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
 
 
-def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For nodes 0..n-1 and links a-b: the smallest node of each one's component."""
-    root = np.arange(n)
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For nodes 0..n-1 and links a-b: the smallest node of each one's component, and which links suffice to join them all (a spanning forest)."""
+    root, used = np.arange(n), []
+    left = np.arange(len(a))
     while True:
-        ra, rb = root[a], root[b]
-        low, high = np.minimum(ra, rb), np.maximum(ra, rb)
-        open_ = low < high
-        if not open_.any():
-            return root
-        np.minimum.at(root, high[open_], low[open_])
+        ra, rb = root[a[left]], root[b[left]]
+        apart = ra != rb
+        left, low, high = left[apart], np.minimum(ra, rb)[apart], np.maximum(ra, rb)[apart]
+        if not len(left):
+            return root, np.concatenate(used) if used else np.zeros(0, np.int64)
+        # each larger root hooks itself by one link to the smallest root that it meets
+        order = np.lexsort((low, high))
+        first = order[np.concatenate(([True], high[order][1:] != high[order][:-1]))]
+        root[high[first]] = low[first]
+        used.append(left[first])
         while (root[root] != root).any():
             root = root[root]
 
 
 class _Links:
-    """Links kept as stars: never more than one for each fingerprint."""
+    """Links reduced to a spanning forest now and then: fewer than one for each fingerprint are kept."""
 
     def __init__(self, n: int):
-        self.n, self.root, self.parts, self.size = n, np.arange(n), [], 0
+        self.n, self.parts, self.size = n, [], 0
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
         self.parts.append((a, b))
         self.size += len(a)
-        if self.size > 1_000_000:
+        if self.size > 1_000_000 + self.n:
             self.settle()
 
-    def settle(self) -> np.ndarray:
-        own = np.arange(self.n)
-        a = np.concatenate([own, *(p[0] for p in self.parts)])
-        b = np.concatenate([self.root, *(p[1] for p in self.parts)])
-        self.root, self.parts, self.size = roots_of(self.n, a, b), [], 0
-        return self.root
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        a, b = (np.concatenate([none, *(p[k] for p in self.parts)]) for k in (0, 1))
+        _, used = forest(self.n, a, b)
+        self.parts, self.size = [(a[used], b[used])], len(used)
+        return self.parts[0]
 
 
 def trie_join(left: np.ndarray, right: np.ndarray | None, budget: int, found) -> None:
@@ -170,13 +175,14 @@ def trie_join(left: np.ndarray, right: np.ndarray | None, budget: int, found) ->
 def trie_top(distinct: DataFrame, leaf_size: int) -> list[tuple[int, int]]:
     """(depth, prefix) of nodes that part all fingerprints, each over at most leaf_size of them.
 
-    A round counts the prefixes of STEP_BITS more bits below nodes that are too large;
-    the driver sees counts of nodes only, at most twice the number of final nodes a round and 2**STEP_BITS.
+    A round counts the prefixes of up to STEP_BITS more bits below nodes that are too large, of so many
+    that the driver sees at most MAX_COUNTS counts, or two for each such node; of these there are at most
+    total / leaf_size at any depth, however the fingerprints lie.
     """
     total = distinct.count()
     heavy, leaves, depth = [(0, 0)] if total > leaf_size else [], [] if total > leaf_size else [(0, 0)], 0
     while heavy:
-        to = min(64, depth + STEP_BITS)
+        to = min(64, depth + max(1, min(STEP_BITS, (MAX_COUNTS // len(heavy)).bit_length() - 1)))
         rows = distinct
         if depth:
             known = distinct.sparkSession.createDataFrame([(_signed(p),) for _, p in heavy], "p long")
@@ -205,9 +211,9 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def near_leaves(a: int, lows: list[int], depths: list[int], budget: int) -> list[int]:
+def near_leaves(a: int, lows: np.ndarray, depths: np.ndarray, budget: int) -> list[int]:
     """The leaves, a itself included, whose common prefix bits with leaf a differ in at most ``budget`` places: a walk of the trie beside a's prefix."""
-    own, depth = lows[a], depths[a]
+    own, depth = int(lows[a]), int(depths[a])
     found: list[int] = []
     stack = [(0, 0, len(lows), 0)]
     while stack:
@@ -216,7 +222,7 @@ def near_leaves(a: int, lows: list[int], depths: list[int], budget: int) -> list
             found += range(lo, hi)
             continue
         # the first leaf of the range whose bit k is set; all share the bits before
-        start = lows[lo] >> (64 - k) << (64 - k) if k else 0
+        start = int(lows[lo]) >> (64 - k) << (64 - k) if k else 0
         m = bisect.bisect_left(lows, start | 1 << (63 - k), lo, hi)
         bit = own >> (63 - k) & 1
         for x0, x1, side in ((lo, m, 0), (m, hi, 1)):
@@ -226,14 +232,14 @@ def near_leaves(a: int, lows: list[int], depths: list[int], budget: int) -> list
 
 
 def links(distinct: DataFrame, budget: int = BUDGET, leaf_size: int = LEAF_SIZE) -> DataFrame:
-    """(u, v) over distinct fingerprints ``fp``: links whose components are those of all pairs within ``budget`` bits.
+    """(u, v) over distinct fingerprints ``fp``: pairs within ``budget`` bits whose components are those of all such pairs.
 
-    Each task walks one pair of trie nodes and returns its links as stars, so
+    Each task walks one pair of trie nodes and returns a spanning forest of its links, so
     that dense groups give a row for each fingerprint, not for each pair; no link between components is lost.
     """
     leaves = trie_top(distinct, leaf_size)
-    starts, depths = [p << (64 - d) for d, p in leaves], [d for d, _ in leaves]
-    lows, n_leaves = np.array(starts, np.uint64), len(leaves)
+    lows, depths = np.array([p << (64 - d) for d, p in leaves], np.uint64), np.array([d for d, _ in leaves], np.uint8)
+    n_leaves = len(leaves)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -246,7 +252,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, leaf_size: int = LEAF_SIZE)
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for leaf, fps in zip(b["leaf"].tolist(), b["fps"], strict=True):
-                tasks = [min(leaf, x) * n_leaves + max(leaf, x) for x in near_leaves(leaf, starts, depths, budget)]
+                tasks = [min(leaf, x) * n_leaves + max(leaf, x) for x in near_leaves(leaf, lows, depths, budget)]
                 yield pd.DataFrame({"task": tasks, "leaf": leaf, "fps": [fps] * len(tasks)})
 
     def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -254,19 +260,18 @@ def links(distinct: DataFrame, budget: int = BUDGET, leaf_size: int = LEAF_SIZE)
         fps = {leaf: np.frombuffer(x, np.uint64) for leaf, x in zip(rows["leaf"], rows["fps"], strict=True)}
         if a == b:
             fp = fps[a]
-            stars = _Links(len(fp))
-            trie_join(fp, None, budget, stars.add)
+            found = _Links(len(fp))
+            trie_join(fp, None, budget, found.add)
         else:
             fp, n = np.concatenate((fps[a], fps[b])), len(fps[a])
-            stars = _Links(len(fp))
-            trie_join(fps[a], fps[b], budget, lambda x, y: stars.add(x, n + y))
-        root = stars.settle()
-        moved = np.flatnonzero(root != np.arange(len(fp)))
+            found = _Links(len(fp))
+            trie_join(fps[a], fps[b], budget, lambda x, y: found.add(x, n + y))
+        u, v = found.settle()
         signed = fp.view(np.int64)
-        return pd.DataFrame({"u": signed[moved], "v": signed[root[moved]]})
+        return pd.DataFrame({"u": signed[u], "v": signed[v]})
 
     # each fingerprint is shuffled once, to its node; from there whole nodes go to their tasks as packed arrays.
-    # Tasks are sent the nodes' bounds, 16 bytes for each leaf_size fingerprints; whom a node meets is found where it lies
+    # Tasks are sent the nodes' bounds, nine bytes for each leaf_size fingerprints; whom a node meets is found where it lies
     nodes = distinct.select("fp").mapInPandas(place, "leaf int, fp long").groupBy("leaf").applyInPandas(pack, "leaf int, fps binary")
     dealt = nodes.mapInPandas(deal, "task long, leaf int, fps binary")
     return dealt.repartition(max(partitions(distinct), min(4 * n_leaves, 20_000)), "task").groupBy("task").applyInPandas(walk, "u long, v long")
@@ -297,194 +302,33 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str | None, width: int = COPY_SHINGLE) -> np.ndarray:
-    """The ascending set of a text's shingle hashes."""
-    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
-
-
-def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending hashes of shingles that several of a sample of texts hold, and how many do."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    total = texts.count()
-    if not total:
-        return none
-    sample = texts.filter(F.pmod(F.xxhash64("doc_id", "h"), F.lit(1_000_000)) < int(min(1.0, SAMPLE_ROWS / total) * 1_000_000))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"s": np.concatenate([shingle_set(t, width) for t in b["text"]] or [none[0]]).view(np.int64)})
-
-    counts = sample.select("text").mapInPandas(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = counts.orderBy(F.col("n").desc(), "s").limit(MAX_COMMON).collect()
-    s, n = np.array([r["s"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
-    order = np.argsort(s)
-    return s[order], n[order]
-
-
-def rarest(s: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """The shingles, rarest first, of which a set that is alike enough must share one (prefix filtering holds for any order)."""
-    seen = np.zeros(len(s), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-        seen = np.where(common[at] == s, counts[at], 0)
-    return s[np.lexsort((s, seen))][: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
-
-
-def may_be_alike(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
-    """Whether sets of n and m shingles that share the one at places p and q of their orders can reach ``least``."""
-    most = np.minimum(p, q) + np.minimum(n - p, m - q)
-    return (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9) & (most >= least / (1 + least) * (n + m) - 1e-9)
-
-
-_ENTRY = np.dtype([("s", "<u8"), ("key", "<i8"), ("n", "<i4"), ("p", "<i4")])
-
+def shingle_sets(width: int = COPY_SHINGLE) -> Sets:
+    """For each text the ascending set of its shingle hashes, and its fingerprint of the same shingles."""
 
-def _pairs(x: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> pd.DataFrame:
-    keep = may_be_alike(x["n"][i], x["p"][i], x["n"][j], x["p"][j], least)
-    a, b = x["key"][i[keep]], x["key"][j[keep]]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    def of(text: str | None) -> tuple[np.ndarray, int]:
+        parts = [*shingle_parts(text, width)]
+        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64), majority(parts)
 
+    return lambda: of
 
-def few(rows: DataFrame) -> DataFrame:
-    """rows, checkpointed, to be broadcast as long as there are at most MAX_BROADCAST."""
-    rows = frozen(rows)
-    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST else rows
 
-
-def profile(s: np.ndarray) -> np.ndarray:
-    """How many of a set's hashes fall into each of 256 classes: two sets share no more than the sum of the smaller counts."""
-    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 2**16 - 1).astype(np.uint16)
-
-
-def profiles_allow(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether two profiles leave ``least`` in reach; a count at its end tells nothing."""
-    if max(a.max(), b.max()) == 2**16 - 1:
-        return True
-    n = int(a.sum(dtype=np.int64) + b.sum(dtype=np.int64))
-    return int(np.minimum(a, b).sum(dtype=np.int64)) >= least / (1 + least) * n - 1e-9
-
-
-def alike(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """(u, v): the pairs (a, b) of classes whose shingle sets reach ``least``: by their profiles first, those left compared in full."""
-
-    def kept(pairs: DataFrame, of, test) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        wanted = few(classes.join(ends, "key").select("key", F.col("low").alias("_low"), F.col("h").alias("_h")))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield pd.DataFrame({"key": b["key"], "x": [of(shingle_set(t, width)).tobytes() for t in b["text"]]})
-
-        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield b[["a", "b"]][np.array([test(x, y) for x, y in zip(b["x"], b["y"], strict=True)], bool)]
-
-        own = texts.join(wanted, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_low"))).select("key", "text")
-        sets = own.mapInPandas(run, "key long, x binary").dropDuplicates(["key"])
-        both = pairs.join(sets.select(F.col("key").alias("a"), "x"), "a").join(sets.select(F.col("key").alias("b"), F.col("x").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
-
-    likely = frozen(kept(pairs, profile, lambda x, y: profiles_allow(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), least)))
-    full = kept(likely, lambda s: s, lambda x, y: jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) >= least)
-    return full.select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
-def near_copies(docs: DataFrame, width: int = COPY_SHINGLE, least: float = COPY_SIMILARITY) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = COPY_SHINGLE, least: float = COPY_SIMILARITY, budget: int = COPY_BUDGET, group: int | None = None) -> DataFrame:
     """(doc_id, h, component_id) for each row of docs, h being its text's hash.
 
     Rows joined by a chain of texts whose sets of ``width``-word shingles have a
     Jaccard of ``least`` or more share a component, named by its smallest doc_id
-    (null only if all its doc_ids are). Every such pair of texts is in reach: texts
-    of the same set form a class; two classes that are alike share one of the rarest
-    shingles of each, and what shares one is compared in full. Where more than
-    GROUP classes share a shingle, each is first compared with two of them,
-    and then with those that it isn't joined to by then. Texts without words are alike.
+    (null only if all its doc_ids are). The trie's links between the fingerprints of these shingles
+    come first, each verified by the Jaccard; pairs farther apart than ``budget`` bits, which most at 0.8 are,
+    come from the exact join of ``set_join``. Texts without words are alike.
     """
-    spark = docs.sparkSession
-    short_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    common, counts = common_shingles(texts, width)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingle_set(t, width) for t in b["text"]]
-            key = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": b["id"], "h": b["h"], "key": key, "n": [len(s) for s in sets], "prefix": [rarest(s, common, counts, least).tobytes() for s in sets]})
-
-    # ids travel as text: pandas would turn a column with nulls into floating point
-    own = texts.select(F.col("doc_id").cast("string").alias("id"), "h", "text").mapInPandas(run, "id string, h long, key long, n int, prefix binary")
-    own = frozen(own.withColumn("doc_id", F.col("id").cast("long")).drop("id"))
-    # the row of a class whose text is compared: that of the smallest doc_id, nulls last
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("f")
-    classes = frozen(own.groupBy("key").agg(first).select("key", F.col("f.doc_id").alias("low"), F.col("f.h").alias("h")))
-    shingles = own.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    buckets = max(partitions(docs), shingles // 8 // 1_000_000)
+    def early(classes: DataFrame) -> DataFrame:
+        low = frozen(classes.groupBy("fp").agg(F.min("key").alias("rep")))
+        same = classes.join(low, "fp").filter("key <> rep").select(F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b"))
+        near = links(low.select("fp"), budget).join(low.select(F.col("fp").alias("u"), F.col("rep").alias("x")), "u").join(low.select(F.col("fp").alias("v"), F.col("rep").alias("y")), "v")
+        return same.union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b = b.drop_duplicates("key")
-            prefix = [np.frombuffer(x, np.uint64) for x in b["prefix"]]
-            size = np.array([len(x) for x in prefix], np.int64)
-            x = np.empty(size.sum(), _ENTRY)
-            x["s"], x["key"], x["n"] = np.concatenate([*prefix, np.zeros(0, np.uint64)]), np.repeat(b["key"], size), np.repeat(b["n"], size)
-            x["p"] = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
-            to = (x["s"] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            used, start = np.unique(to[order], return_index=True)
-            yield pd.DataFrame({"bucket": used, "entries": [part.tobytes() for part in np.split(x[order], start[1:])] if len(x) else []})
-
-    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(rows["entries"]), _ENTRY)
-        x = x[np.lexsort((x["key"], x["n"], x["s"]))]
-        x = x[np.concatenate(([True], (x["s"][1:] != x["s"][:-1]) | (x["key"][1:] != x["key"][:-1])))]
-        _, start, size = np.unique(x["s"], return_index=True, return_counts=True)
-        first, of = np.repeat(start, size), np.repeat(size, size)
-        x, first, of = x[of > 1], (first - np.cumsum(of == 1)[first])[of > 1], of[of > 1]
-        at, small, out = np.arange(len(x)), of <= GROUP, []
-        for d in range(1, min(GROUP, int(of.max(initial=1)))):
-            i = at[(at - first + d < of) & (small | (d == 1))]
-            out.append(_pairs(x, i, i + d, least))
-        i = at[~small & (at > first)]
-        out.append(_pairs(x, first[i], i, least))
-        pairs = pd.concat(out).drop_duplicates()
-        large = x[~small]
-        return pd.concat([
-            pd.DataFrame({"a": pairs["a"], "b": pairs["b"], "s": 0, "n": 0, "p": 0, "large": False}),
-            pd.DataFrame({"a": large["key"], "b": large["key"], "s": large["s"].view(np.int64), "n": large["n"], "p": large["p"], "large": True}),
-        ])
-
-    dealt = own.filter("n > 0").select("key", "n", "prefix").mapInPandas(deal, "bucket long, entries binary")
-    met = frozen(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "a long, b long, s long, n int, p int, large boolean"))
-    pairs = frozen(met.filter("not large").select("a", "b").distinct())
-    linked = frozen(alike(pairs, classes, texts, width, least))
-    parts = components(linked)
-    large = met.filter("large").select(F.col("a").alias("key"), "s", "n", "p")
-    if not large.isEmpty():
-
-        def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for rows in b["g"]:
-                    x = np.array([(0, r["key"], r["n"], r["p"]) for r in rows], _ENTRY)
-                    _, root = np.unique(np.array([r["root"] for r in rows], np.int64), return_inverse=True)
-                    size = np.bincount(root)
-                    # those outside the largest component meet all, and each other once
-                    main = root == size.argmax()
-                    for i in np.flatnonzero(~main):
-                        j = np.flatnonzero((root != root[i]) & (main | (np.arange(len(x)) > i)))
-                        yield _pairs(x, np.full(len(j), i), j, least)
-
-        roots = parts.select(F.col("node").alias("key"), "root")
-        named = large.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        # groups that hang together already are not gathered
-        open_ = named.groupBy("s").agg(F.min("root").alias("l"), F.max("root").alias("m")).filter("l <> m").select("s")
-        groups = named.join(open_, "s").groupBy("s").agg(F.collect_list(F.struct("key", "n", "p", "root")).alias("g")).select("g")
-        more = frozen(groups.mapInPandas(cross, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            parts = components(linked.union(alike(more, classes, texts, width, least)))
-    named = classes.select("key", "low").join(parts.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    of_root = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_key = named.join(of_root, "root").select("key", "component_id")
-    return own.select("doc_id", "h", "key").join(of_key, "key").select("doc_id", "h", "component_id")
+    return near_sets(docs, shingle_sets(width), least, group or GROUP, early=early).select("doc_id", "h", "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,3 +162,77 @@ def test_keep_one_of_each_group_where_an_id_has_two_texts(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     kept = sh.keep_one(spark, docs(spark, [(1, b), (5, a), (5, b), (9, a), (2, "other"), (2, None), (7, None)]), "").collect()
     assert sorted((k["doc_id"], k["text"] or "") for k in kept) == [(1, b), (2, ""), (2, "other"), (5, a)]
+
+
+def test_trie_top_bounds_what_the_driver_sees(spark, monkeypatch):
+    r = random.Random(5)
+    fps = {r.getrandbits(64) for _ in range(3000)} | {r.getrandbits(12) for _ in range(500)}
+    df = spark.createDataFrame([(sh._signed(f),) for f in fps], "fp long").cache()
+    seen = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(rows := collect(self)) or rows)
+    monkeypatch.setattr(sh, "MAX_COUNTS", 64)
+    leaves = sh.trie_top(df, 20)
+    heavy = len(fps) // 20
+    assert max(map(len, seen)) <= max(64, 2 * heavy) and len(seen) > 5
+    lows = np.array([p << (64 - d) for d, p in leaves], np.uint64)
+    sizes = np.bincount(np.searchsorted(lows, np.array(sorted(fps), np.uint64), "right") - 1)
+    assert sizes.max() <= 20 and sizes.sum() == len(fps)
+
+
+def test_links_are_pairs_within_the_budget(spark):
+    r = random.Random(8)
+    base = r.getrandbits(64)
+    fps = {base ^ sum(1 << b for b in r.sample(range(64), r.randrange(5))) for _ in range(400)}
+    df = spark.createDataFrame([(sh._signed(f),) for f in fps], "fp long")
+    for leaf in (50, 1000):
+        assert all((x["u"] ^ x["v"]) % 2**64 and ((x["u"] ^ x["v"]) % 2**64).bit_count() <= 2 for x in sh.links(df, 2, leaf).collect())
+
+
+def test_forest():
+    r = np.random.default_rng(3)
+    for n in (1, 5, 200):
+        a, b = r.integers(0, n, n), r.integers(0, n, n)
+        root, used = sh.forest(n, a, b)
+        assert (root[a] == root[b]).all() and (root[root] == root).all() and (root <= np.arange(n)).all()
+        assert len(used) == n - len(np.unique(root))
+        again, _ = sh.forest(n, a[used], b[used])
+        assert (again == root).all()
+
+
+def test_a_text_in_pieces_is_the_text(monkeypatch):
+    from lodestrata.llm import common
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("ab \té") for _ in range(n)) for n in (0, 1, 9, 300)] + ["x" * 100, " " * 100]
+    want = [(sh.simhash(t), sh.shingle_sets()()(t)[0].tolist()) for t in texts]
+    monkeypatch.setattr(common, "PIECE_CHARS", 7)
+    assert all("".join(common.pieces(t)) == t for t in texts) and list(common.pieces(None)) == []
+    assert [(sh.simhash(t), sh.shingle_sets()()(t)[0].tolist()) for t in texts] == want
+
+
+def test_a_large_group_is_met_in_blocks(spark, monkeypatch):
+    from lodestrata.llm import set_join
+
+    monkeypatch.setattr(set_join, "BLOCK", 5)
+    r = random.Random(21)
+    line = [f"l{i}" for i in range(9)]
+    rows = []
+    for i in range(60):
+        words = line + [f"w{r.randrange(8)}" for _ in range(r.randrange(3))]
+        rows.append((i, " ".join(words)))
+    sets = {i: five(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and likeness(sets[a], sets[b]) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {g["doc_id"]: g["component_id"] for g in sh.near_copies(docs(spark, rows), group=2).collect()}
+    assert got == {i: find(i) for i in sets}
