@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, table
+from . import common
+from .common import frozen, pieces, short_batches, table
 
 WINDOW = 13
-#: UTF-8 bytes of benchmark text that one index holds, and so what a task is sent at most; more are scanned in blocks.
-MAX_INDEX_BYTES = 32 << 20
+#: UTF-8 bytes of benchmark text in one index; more are scanned in blocks, one after the other. An index takes 3 to 13 times its text (``Index.nbytes``).
+MAX_INDEX_BYTES = 8 << 20
 #: Words scanned at once.
 RUN_WORDS = 400_000
+#: Words whose hashes a worker remembers.
+CACHE = 200_000
 #: A document is contaminated if at least one in so many of its words is hit.
 SHARE = 20
 #: Word bytes are 0-9, a-z (A-Z folded) and all of 0x80 and above; the others part words.
@@ -28,10 +33,20 @@ HITS = "n_words long, n_hit long, items array<string>, spans array<struct<lo:lon
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """The normalised words of a whole text."""
+    """The normalised words of a text, or of a piece of one."""
     return (text or "").encode("utf-8", "replace").translate(_FOLD).split()
 
 
+def runs_of(text: str | None, most: int | None = None) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first word, words) of a whole text in pieces that overlap by WINDOW - 1 words, so that each window lies in one of them."""
+    at, words = 0, []
+    for piece in pieces(text, most):
+        kept = words[1 - WINDOW :]
+        at += len(words) - len(kept)
+        words = kept + words_of(piece)
+        yield at, words
+
+
 @functools.lru_cache(4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
@@ -39,78 +54,150 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+def _rolling(code: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of ``size`` words, from the words' hashes."""
+    if len(code) < size:
+        return np.zeros(0, np.uint64)
+    up, down = _powers(1 << (len(code) - 1).bit_length())
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * up[: len(code)], dtype=np.uint64)))
+    return (sums[size:] - sums[:-size]) * down[: len(code) - size + 1]
+
+
+class _Windows:
+    """The windows of one length: ascending distinct hashes; of each the items that have it, and the place of its first word in the index's text."""
+
+    def __init__(self, hashes: np.ndarray, at: np.ndarray, item: np.ndarray, code: np.ndarray, size: int):
+        order = np.lexsort((item, hashes))
+        hashes, at, item = hashes[order], at[order], item[order]
+        first = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+        start = np.flatnonzero(first)[np.cumsum(first) - 1]
+        span = np.arange(size)
+        # other words under the same hash: hardly ever, and then each entry is looked at
+        same = np.ones(len(at), bool)
+        for i in range(0, len(at), 100_000):
+            part = slice(i, i + 100_000)
+            same[part] = (code[at[part, None] + span] == code[at[start[part]][:, None] + span]).all(1)
+        self.odd = frozenset(hashes[~same].tolist())
+        keep = first | (item != np.concatenate(([-1], item[:-1]))) | np.isin(hashes, hashes[~same])
+        kept = np.flatnonzero(keep)
+        self.hashes, self.begin = hashes[first], np.append(np.searchsorted(kept, np.flatnonzero(first)), len(kept)).astype(np.int32)
+        self.at, self.item = at[kept].astype(np.int32), item[kept].astype(np.int32)
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[hashes >> np.uint64(44)] = True
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.hashes, self.begin, self.at, self.item, self.sieve))
+
+
 class Index:
-    """The windows of some benchmark items: rolling hashes in sorted arrays, one for each window length, and the words to verify hits."""
+    """The windows of some benchmark items in arrays: rolling hashes, one sorted array for each window length, and the words to verify hits."""
 
     def __init__(self, items: Iterable[tuple[str, str | None]]):
-        self.vocabulary: dict[bytes, int] = {}
-        windows: dict[int, dict[tuple, set[str]]] = {}
+        self.names: list[str] = []
+        self.known: dict[bytes, int] = {}
+        numbers: dict[str, int] = {}
+        words, codes, by_size, at = [], [], {}, 0
         for name, text in items:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text))
-            size = min(WINDOW, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                windows.setdefault(size, {}).setdefault(ids[i : i + size], set()).add(name)
-        self.code = np.random.default_rng(7).integers(1, 2**63, len(self.vocabulary) + 1, dtype=np.uint64) | np.uint64(1)
-        self.sizes = {}
-        for size, of in windows.items():
-            keys = np.array(list(of), np.int64).reshape(-1, size)
-            hashes = (self.code[keys] * _powers(size)[0]).sum(1, dtype=np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            owners = [sorted(x) for x in of.values()]
-            self.sizes[size] = (hashes[order], keys[order], [owners[i] for i in order.tolist()], self._sieve(hashes))
-
-    @staticmethod
-    def _sieve(hashes: np.ndarray) -> np.ndarray:
-        sieve = np.zeros(1 << 20, bool)
-        sieve[hashes >> np.uint64(44)] = True
-        return sieve
+            own = words_of(text)
+            if not own:
+                continue
+            number = numbers.setdefault(name, len(numbers))
+            size = min(WINDOW, len(own))
+            codes.append(self._codes(own))
+            words.append(b" ".join(own))
+            hashes = _rolling(codes[-1], size)
+            by_size.setdefault(size, []).append((hashes, at + np.arange(len(hashes)), np.full(len(hashes), number)))
+            at += len(own)
+        self.names = list(numbers)
+        self.text = b" ".join(words)
+        plain = np.frombuffer(self.text, np.uint8) == 32
+        #: where each word begins, and where the one after the last would
+        self.starts = np.concatenate(([0], np.flatnonzero(plain) + 1, [len(self.text) + 1])).astype(np.int32)
+        code = np.concatenate([np.zeros(0, np.uint64), *codes])
+        self.sizes = {size: _Windows(*(np.concatenate(x) for x in zip(*parts, strict=True)), code, size) for size, parts in by_size.items()}
+        self.known = {}
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes of the arrays and texts, which are all that grows with the benchmark besides the items' names."""
+        return len(self.text) + self.starts.nbytes + sum(w.nbytes for w in self.sizes.values())
+
+    def _codes(self, words: list[bytes]) -> np.ndarray:
+        """The hashes of words; a bounded number is remembered."""
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+        h = xxhash.xxh64_intdigest
+        for w in set(words).difference(known):
+            known[w] = h(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    def _hits(self, docs: list[list[bytes]]) -> Iterator[tuple[int, int, int, list[int]]]:
+        """(document, place, length, items) of each occurrence of a window, verified word by word."""
+        words = list(itertools.chain.from_iterable(docs))
+        lengths = np.fromiter(map(len, docs), np.int64, len(docs))
+        ends = np.cumsum(lengths)
+        code = self._codes(words)
+        for size, w in self.sizes.items():
+            h = _rolling(code, size)
+            at = np.flatnonzero(w.sieve[h >> np.uint64(44)])
+            k = np.searchsorted(w.hashes, h[at])
+            doc = np.searchsorted(ends, at, "right")
+            inside = (k < len(w.hashes)) & (at + size <= ends[doc])
+            inside[inside] = w.hashes[k[inside]] == h[at[inside]]
+            for i, u, d in zip(at[inside].tolist(), k[inside].tolist(), doc[inside].tolist(), strict=True):
+                own, a, b = b" ".join(words[i : i + size]), int(w.begin[u]), int(w.begin[u + 1])
+                same = [x for x in range(a, b if int(w.hashes[u]) in w.odd else a + 1) if self._words(int(w.at[x]), size) == own]
+                if same:
+                    items = w.item[same] if int(w.hashes[u]) in w.odd else w.item[a:b]
+                    yield d, i - int(ends[d] - lengths[d]), size, items
+
+    def _words(self, at: int, size: int) -> bytes:
+        return self.text[self.starts[at] : self.starts[at + size] - 1]
+
+    def _found(self, hits: list[tuple[int, int, np.ndarray]]) -> tuple[int, list[str], list[tuple[int, int]]]:
+        """Words hit, names of the items with occurring windows, and the word ranges hit."""
+        if not hits:
+            return 0, [], []
+        items = np.unique(np.concatenate([x for _, _, x in hits]))
+        spans: list[list[int]] = []
+        for lo, hi in sorted({(at, at + size) for at, size, _ in hits}):
+            if spans and lo <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], hi)
+            else:
+                spans.append([lo, hi])
+        return sum(b - a for a, b in spans), sorted(self.names[i] for i in items.tolist()), [(a, b) for a, b in spans]
 
     def scan(self, docs: list[list[bytes]]) -> Iterator[tuple[int, list[str], list[tuple[int, int]]]]:
         """For each document: words hit, names of the items with occurring windows, and the word ranges hit."""
-        lengths = np.array([len(d) for d in docs], np.int64)
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        n = int(ends[-1]) if len(docs) else 0
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for d in docs for w in d), np.int64, n)
-        marks = np.zeros(n + 1, np.int64)
-        names: dict[int, set[str]] = {}
-        if n:
-            up, down = _powers(1 << (n - 1).bit_length())
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.code[ids] * up[:n], dtype=np.uint64)))
-            for size, (hashes, keys, owners, sieve) in self.sizes.items():
-                if n < size:
-                    continue
-                h = (sums[size:] - sums[:-size]) * down[: n - size + 1]
-                at = np.flatnonzero(sieve[h >> np.uint64(44)])
-                lo, hi = np.searchsorted(hashes, h[at]), np.searchsorted(hashes, h[at], "right")
-                doc = np.searchsorted(ends, at, "right")
-                for i, a, b, d in zip(*(x[(lo < hi) & (at + size <= ends[doc])].tolist() for x in (at, lo, hi, doc)), strict=True):
-                    for k in range(a, b):
-                        if (keys[k] == ids[i : i + size]).all():
-                            marks[i] += 1
-                            marks[i + size] -= 1
-                            names.setdefault(d, set()).update(owners[k])
-        # a hit that ends where a document ends puts its closing mark on the next document's first word, where it belongs to the running sum
-        hit = np.cumsum(marks[:n]) > 0
-        for d, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-            if d not in names:
-                yield 0, [], []
-                continue
-            own = hit[lo:hi].astype(np.int8)
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], own, [0]))))
-            yield int(own.sum()), sorted(names[d]), [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        own: dict[int, list] = {}
+        for d, at, size, items in self._hits(docs):
+            own.setdefault(d, []).append((at, size, items))
+        for d in range(len(docs)):
+            yield self._found(own.get(d, []))
+
+    def _scan_long(self, text: str) -> tuple[int, int, list[str], list[tuple[int, int]]]:
+        hits, n = [], 0
+        for first, words in runs_of(text):
+            hits += [(first + at, size, items) for _, at, size, items in self._hits([words])]
+            n = first + len(words)
+        return n, *self._found(hits)
 
     def scan_texts(self, texts: Iterable[str | None]) -> Iterator[tuple[int, int, list[str], list[tuple[int, int]]]]:
-        """As ``scan`` over whole texts, with the word count first; runs of texts are bounded by their words."""
+        """As ``scan`` over whole texts, with the word count first. Runs of texts are bounded by their words, long texts are scanned in overlapping pieces."""
         run: list[list[bytes]] = []
         size = 0
         for t in texts:
-            run.append(words_of(t))
-            size += len(run[-1])
-            if size >= RUN_WORDS:
+            long = len(t or "") > common.PIECE_CHARS
+            if not long:
+                run.append(words_of(t))
+                size += len(run[-1])
+            if long or size >= RUN_WORDS:
                 yield from ((len(d), *x) for d, x in zip(run, self.scan(run), strict=True))
                 run, size = [], 0
+            if long:
+                yield self._scan_long(t)
         yield from ((len(d), *x) for d, x in zip(run, self.scan(run), strict=True))
 
 
@@ -119,19 +206,43 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("string"))
 
 
+def _parts(name: str, text: str | None, most: int) -> Iterator[tuple[str, str, int]]:
+    """An item whole, or a longer one in overlapping parts, which have the same windows; with their bytes."""
+    if len(text or "") <= most:
+        yield name, text, len((text or "").encode("utf-8", "replace"))
+        return
+    last = []
+    for _, words in runs_of(text, most):
+        if len(words) >= WINDOW or not last:
+            last = words
+            part = b" ".join(words).decode("utf-8", "replace")
+            yield name, part, len(part)
+
+
 def indexes(benchmark: DataFrame, max_bytes: int = MAX_INDEX_BYTES) -> Iterator[Index]:
-    """One index, or as many as hold the benchmark in blocks of about max_bytes; their size is asked first."""
+    """One index, or as many as hold the benchmark in blocks of about max_bytes; their size is asked first, and one is built at a time."""
     items = _items(benchmark).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
     total = items.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     blocks = -(-total // max_bytes) or 1
+    given = False
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k)
-        yield Index((r["name"], r["text"]) for r in part.select("name", "text").toLocalIterator())
-
-
-def _scan(docs: DataFrame, index: Index) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(index)
-
+        held, size = [], 0
+        for r in part.select("name", "text").toLocalIterator():
+            for name, text, n in _parts(r["name"], r["text"], max_bytes):
+                if held and size + n > 2 * max_bytes:
+                    yield Index(held)
+                    held, size, given = [], 0, True
+                held.append((name, text))
+                size += n
+        if held:
+            yield Index(held)
+            given = True
+    if not given:
+        yield Index([])
+
+
+def _scan(docs: DataFrame, held) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = list(held.value.scan_texts(b["text"]))
@@ -169,21 +280,34 @@ def hits(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_INDEX_BYTES
     repeated rows stay; empty tables give no rows, or no hits. A benchmark beyond
     max_bytes is scanned in blocks whose findings are merged by document.
     """
-    found = _merged(docs, list(indexes(benchmark, max_bytes)))
+    first, following = _blocks(benchmark, max_bytes)
+    found = _scan(docs, docs.sparkSession.sparkContext.broadcast(first)) if following is None else _merged(docs, following)
     return found.select("doc_id", "n_words", "n_hit", "items", "spans", _contaminated().alias("contaminated"))
 
 
-def _merged(docs: DataFrame, found: list[Index]) -> DataFrame:
-    """The findings of all blocks; those of several are merged by doc_id and hash of the text."""
-    short_batches(docs.sparkSession)
-    parts = [_scan(docs, i) for i in found]
-    if len(parts) == 1:
-        return parts[0]
-    key = ["doc_id", "_text"]
-    every = functools.reduce(DataFrame.unionByName, (p.filter("n_hit > 0").dropDuplicates(key) for p in parts))
+def _blocks(benchmark: DataFrame, max_bytes: int) -> tuple[Index | None, Iterator[Index] | None]:
+    """(the only index, None), or (None, all of several, built one by one)."""
+    every = indexes(benchmark, max_bytes)
+    first, second = next(every), next(every, None)
+    return (first, None) if second is None else (None, itertools.chain((x for x in (first, second)), every))
+
+
+def _merged(docs: DataFrame, blocks: Iterator[Index]) -> DataFrame:
+    """The findings of all blocks, merged by doc_id and hash of the text.
+
+    A block is broadcast, its hits are written to the shared folder, and it is given up before the next one is sent.
+    """
+    spark = docs.sparkSession
+    short_batches(spark)
+    key, parts = ["doc_id", "_text"], []
+    for index in blocks:
+        held = spark.sparkContext.broadcast(index)
+        parts.append(frozen(_scan(docs, held).filter("n_hit > 0").dropDuplicates(key)))
+        held.destroy()
+    every = functools.reduce(DataFrame.unionByName, parts)
     some = every.groupBy(*key).agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
     merged = some.mapInPandas(_merge, "doc_id long, _text long, " + HITS)
-    bare = parts[0].select(*key, F.col("n_words").alias("_n"))
+    bare = _scan(docs, spark.sparkContext.broadcast(Index([]))).select(*key, F.col("n_words").alias("_n"))
     same = bare["doc_id"].eqNullSafe(merged["doc_id"]) & (bare["_text"] == merged["_text"])
     return bare.join(merged, same, "left").select(
         bare["doc_id"], bare["_text"], F.col("_n").alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
@@ -210,18 +334,20 @@ def remove(docs: DataFrame, benchmark: DataFrame, how: str = "documents", max_by
     if how not in ("documents", "spans"):
         raise ValueError(how)
     short_batches(docs.sparkSession)
-    at, out = docs.columns.index("text"), docs
-    for index in indexes(benchmark, max_bytes) if how == "spans" else ():
-        out = out.mapInArrow(_cutter(docs.sparkSession.sparkContext.broadcast(index), at), docs.schema)
+    at = docs.columns.index("text")
+    first, following = _blocks(benchmark, max_bytes)
+    if following is not None:
+        # several blocks: what is hit is known only once their findings are merged
+        found = _merged(docs, following).filter(_contaminated() if how == "documents" else F.col("n_hit") > 0)
+        found = found.select(F.col("doc_id").alias("_bad"), F.col("_text").alias("_hash"), F.col("spans").alias("_spans")).dropDuplicates(["_bad", "_hash"])
+        same = docs["doc_id"].eqNullSafe(found["_bad"]) & (F.xxhash64(docs["text"].cast("string")) == found["_hash"])
+        if how == "documents":
+            return docs.join(found, same, "left_anti")
+        whole = docs.join(found, same, "left").drop("_bad", "_hash")
+        return whole.mapInArrow(_cutter(at), docs.schema)
+    held = docs.sparkSession.sparkContext.broadcast(first)
     if how == "spans":
-        return out
-    found = list(indexes(benchmark, max_bytes))
-    if len(found) > 1:
-        # several blocks: a document's share is known only once their findings are merged
-        bad = _merged(docs, found).filter(_contaminated()).select(F.col("doc_id").alias("_bad"), F.col("_text").alias("_hash")).distinct()
-        same = docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"].cast("string")) == bad["_hash"])
-        return docs.join(bad, same, "left_anti")
-    held = docs.sparkSession.sparkContext.broadcast(found[0])
+        return docs.mapInArrow(_cutter(at, held), docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,11 +373,18 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[last:]]).decode("utf-8", "replace")
 
 
-def _cutter(held, at: int):
+def _cutter(at: int, held=None):
+    """Cuts the spans that an index finds, or those of a last column ``_spans``, which goes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
-            new = [cut(t, spans) if spans else t for t, (_, _, _, spans) in zip(texts, held.value.scan_texts(texts), strict=True)]
+            if held is None:
+                spans = [[(x["lo"], x["hi"]) for x in row or []] for row in b.column(b.num_columns - 1).to_pylist()]
+                b = b.select(range(b.num_columns - 1))
+            else:
+                spans = [x[3] for x in held.value.scan_texts(texts)]
+            new = [cut(t, own) if own else t for t, own in zip(texts, spans, strict=True)]
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
     return run

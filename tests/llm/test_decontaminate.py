@@ -90,3 +90,48 @@ def test_empty(spark):
     d, none = frames(spark, docs, [])
     assert all(g["n_hit"] == 0 and not g["contaminated"] for g in dc.hits(d, none).collect())
     assert dc.hits(d.filter("false"), none).collect() == []
+
+
+@pytest.mark.parametrize("max_bytes", [dc.MAX_INDEX_BYTES, 600])
+def test_spans_of_all_blocks_are_cut_once(spark, max_bytes):
+    docs, items = corpus(5)
+    d, b = frames(spark, docs, items)
+    got = dc.remove(d, b, how="spans", max_bytes=max_bytes)
+    assert got.columns == d.columns
+    index = dc.Index(items)
+    want = []
+    for (i, t), (_, _, _, spans) in zip(docs, index.scan_texts(t for _, t in docs), strict=True):
+        want.append((i, dc.cut(t, spans) if spans else t))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_long_texts_and_items_in_pieces(monkeypatch, spark):
+    from lodestrata.llm import common
+
+    monkeypatch.setattr(common, "PIECE_CHARS", 40)
+    docs, items = corpus(6)
+    for (_, t), (n, h, names, spans) in zip(docs, dc.Index(items).scan_texts(t for _, t in docs), strict=True):
+        assert (n, h, names) == brute(t, items) and sum(b - a for a, b in spans) == h
+    d, b = frames(spark, docs, items)
+    assert len(list(dc.indexes(b, 300))) > 2
+    got = {(g["doc_id"], g["n_words"], g["n_hit"], *g["items"]) for g in dc.hits(d, b, 300).collect()}
+    assert got == {(i, n, h, *names) for i, t in docs for n, h, names in [brute(t, items)]}
+
+
+def test_index_is_of_arrays_and_pickles_small():
+    import pickle
+
+    r = random.Random(1)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(20_000)]
+    items = [(str(i), " ".join(r.choice(vocab) for _ in range(400))) for i in range(900)]
+    text = sum(len(t) for _, t in items)
+    index = dc.Index(items)
+    assert index.nbytes - (1 << 20) < 8 * text and len(pickle.dumps(index)) < index.nbytes + 200_000
+    assert not index.known
+
+
+def test_one_window_of_many_items():
+    line = " ".join(f"w{i}" for i in range(13))
+    index = dc.Index([(str(i), f"{line} tail{i}") for i in range(500)])
+    ((n, h, names, spans),) = index.scan_texts([f"{line} {line} x"])
+    assert (n, h, spans) == (27, 26, [(0, 26)]) and names == sorted(map(str, range(500)))
