@@ -16,16 +16,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, open_file, put_file, short_batches, table
+from .common import frozen, new_folder, open_file, put_file, remove_folder, short_batches, table
 
 #: Bytes read, and at most inflated, at once.
 PIECE = 1 << 16
-#: The longest head of a record or of an HTTP message that is accepted.
-MAX_HEAD = 1 << 20
+#: Digests of repeated payloads that are broadcast, of some 60 bytes each; beyond that pages are joined by digest.
+MAX_BROADCAST = 200_000
 #: Compression level of a member.
 LEVEL = 6
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -84,7 +83,7 @@ class _Member:
     """The bytes of one gzip member, inflated as they are asked for."""
 
     def __init__(self, source, rest: bytes):
-        self.source, self.z, self.raw, self.out = source, zlib.decompressobj(31), rest, b""
+        self.source, self.z, self.raw, self.out = source, zlib.decompressobj(31), rest, bytearray()
 
     def _more(self) -> bool:
         if self.z.eof:
@@ -101,11 +100,13 @@ class _Member:
         return True
 
     def head(self) -> bytes:
-        """Up to and without the empty line; what was read of the rest stays."""
-        while (at := self.out.find(b"\r\n\r\n")) < 0:
-            if len(self.out) > MAX_HEAD or not self._more():
+        """Up to and without the empty line, however long (a head is held whole); what was read of the rest stays."""
+        seen = 0
+        while (at := self.out.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(self.out)
+            if not self._more():
                 raise WarcError("a head without an end")
-        text, self.out = self.out[:at], self.out[at + 4 :]
+        text, self.out = bytes(self.out[:at]), self.out[at + 4 :]
         return text
 
     def take(self, n: int) -> Iterator[bytes]:
@@ -113,7 +114,7 @@ class _Member:
         while n:
             if not self.out and not self._more():
                 raise WarcError("a block shorter than its Content-Length")
-            piece, self.out = self.out[:n], self.out[n:]
+            piece, self.out = bytes(self.out[:n]), self.out[n:]
             n -= len(piece)
             if piece:
                 yield piece
@@ -156,22 +157,23 @@ def read(source, keep_payload: bool = True) -> Iterator[Record]:
         m = _Member(source, rest)
         fields = _fields(m.head(), b"WARC/")
         left = _length(fields)
-        block, payload, size, kept, lead, http = hashlib.sha1(), hashlib.sha1(), 0, [], b"", None
+        block, payload, size, kept, lead, http = hashlib.sha1(), hashlib.sha1(), 0, [], bytearray(), None
         is_http = fields.get("content-type", "").startswith("application/http")
         for piece in m.take(left):
             block.update(piece)
             if is_http and http is None:
+                seen = len(lead)
                 lead += piece
-                at = lead.find(b"\r\n\r\n")
+                at = lead.find(b"\r\n\r\n", max(0, seen - 3))
                 if at < 0:
-                    if len(lead) > MAX_HEAD:
-                        raise WarcError("an HTTP head without an end")
                     continue
-                http, piece = _fields(lead[:at], b"HTTP/"), lead[at + 4 :]
+                http, piece = _fields(bytes(lead[:at]), b"HTTP/"), bytes(lead[at + 4 :])
             payload.update(piece)
             size += len(piece)
             if keep_payload:
                 kept.append(piece)
+        if is_http and http is None:
+            raise WarcError("an HTTP head without an end")
         for name, digest in (("warc-block-digest", block), ("warc-payload-digest", payload)):
             said = fields.get(name)
             if said and not (name == "warc-payload-digest" and fields.get("warc-type") == "revisit"):
@@ -187,14 +189,16 @@ def marked(pages: DataFrame, least: int = 0) -> DataFrame:
     Among rows with equal payloads of ``least`` bytes or more the largest
     page_id is the response (rows that repeat it, all of them); a null page_id is
     the smallest, and if a payload has no other all its rows are responses.
-    The maxima are taken by digest before the shuffle, and joined by digest (Spark splits a hot one).
+    The maxima are taken by digest, and pages find theirs where they lie as long as the repeated
+    digests are few enough to be broadcast; else pages are joined by digest (Spark splits a hot one).
     """
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b"")).alias("payload"),
     )
     last = own.filter(F.octet_length("payload") >= least).groupBy(F.sha1("payload").alias("digest")).agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-    last = last.filter("n > 1 and last is not null").select("digest", "last")
+    last = frozen(last.filter("n > 1 and last is not null").select("digest", "last"))
+    last = F.broadcast(last) if last.count() <= MAX_BROADCAST else last
     return own.withColumn("digest", F.sha1("payload")).join(last, "digest", "left").select(
         "page_id", "url", "payload", F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")).alias("response")
     )
@@ -231,8 +235,7 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0) -> tuple[
 
 def remove_archives(folder: str) -> None:
     """Delete a folder of archives."""
-    fs, path = pafs.FileSystem.from_uri(folder)
-    fs.delete_dir(path)
+    remove_folder(folder)
 
 
 def _id(urn: str | None) -> int | None:
@@ -269,10 +272,22 @@ def read_archives(spark: SparkSession, files: list[str]) -> DataFrame:
     return listed.repartition(max(1, len(files))).mapInPandas(run, schema)
 
 
+def broken_revisits(records: DataFrame) -> DataFrame:
+    """The revisits of ``read_archives`` whose response is missing, or has another size or digest than they say."""
+    said = records.filter("record_type = 'revisit'")
+    held = records.filter("record_type = 'response'").select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).distinct()
+    same = (F.col("refers_to") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))
+    return said.join(held, same, "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10: every page written to an archive and read back."""
-    _, files = write(table(spark, sf_dir, "pages"))
-    return read_archives(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """op10: every page written to an archive and read back; the archives go once the rows are written."""
+    folder, files = write(table(spark, sf_dir, "pages"))
+    rows = frozen(read_archives(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    remove_archives(folder)
+    if broken := broken_revisits(rows).limit(1).collect():
+        raise WarcError(f"a revisit without its response: {broken[0]}")
+    return rows
 
 
 #: The digest in base32: 20 bits of the hexadecimal one at a time, five for each letter.

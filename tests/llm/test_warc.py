@@ -83,3 +83,21 @@ def test_write_and_read_back(spark):
 def test_empty_table(spark):
     _, files = warc.write(pages(spark, []))
     assert warc.read_archives(spark, files).collect() == []
+
+
+@pytest.mark.parametrize("step", [1 << 16, 5000])
+def test_long_heads(step):
+    url = "http://h/" + "u" * 3_000_000
+    archive = warc.page_record(1, url, b"p", None) + warc.page_record(2, "v", b"q", None)
+    one, two = warc.read(Trickle(archive, step))
+    assert one.fields["warc-target-uri"] == url and (one.payload, two.payload) == (b"p", b"q")
+
+
+@pytest.mark.parametrize("most", [0, warc.MAX_BROADCAST])
+def test_revisits_are_held_against_their_response(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "MAX_BROADCAST", most)
+    folder, files = warc.write(pages(spark, [(i, "u", f"t{i % 4}", None) for i in range(40)]))
+    rows = warc.read_archives(spark, files)
+    assert rows.filter("record_type = 'revisit'").count() == 36 and warc.broken_revisits(rows).count() == 0
+    assert warc.broken_revisits(rows.filter("page_id <> 39")).count() == 9
+    warc.remove_archives(folder)
