@@ -10,10 +10,10 @@ which scoring tasks map into memory and search. Nothing is pruned.
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import os
-import shutil
-import tempfile
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,16 +25,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, new_folder, put_file, short_batches, table
+from .common import fold, frozen, new_folder, pieces, put_file, remove_folder, short_batches, table
 
 #: Folds by crc32 of the doc_id; fold 0 is held out.
 FOLDS = 10
 #: Training tokens for each shard of the counts, which bounds a task's memory; never fewer than MIN_SHARDS.
-SHARD_TOKENS, MIN_SHARDS = 1_000_000, 8
+SHARD_TOKENS, MIN_SHARDS = 4_000_000, 8
 #: A word that begins more than this part of a shard's tokens is spread over all shards by the following word.
 HOT_PART = 0.25
 #: Words that a worker remembers; tokens processed at once.
-CACHE, RUN_TOKENS = 200_000, 1_000_000
+CACHE, RUN_TOKENS = 400_000, 1_000_000
+#: Files that a task has mapped at once (each takes a descriptor), and bytes of those that it had to read instead.
+MAX_OPEN, MAX_HELD = 256, 512 << 20
 #: What smooths the base score.
 BASE_ADD = 0.1
 #: The token that ends a text, and so stands before the next one's first word. No word has white space.
@@ -48,6 +50,17 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
+def token_parts(text: str | None) -> Iterator[list[bytes]]:
+    """The tokens of a whole text, piece by piece; only the last part, which the end closes, may hold no word."""
+    words: list[bytes] = []
+    for piece in pieces(text):
+        if words:
+            yield words
+        words = piece.encode("utf-8", "replace").lower().split()
+    words.append(END)
+    yield words
+
+
 def word_hash(w: bytes) -> int:
     return xxhash.xxh64_intdigest(w)
 
@@ -128,25 +141,31 @@ def shard_of(first: np.ndarray, second: np.ndarray, shards: int, v: int, hot: np
 
 
 class Arrays:
-    """Maps the model's files into memory. Files that aren't on a mounted folder are fetched first, and deleted with this object."""
+    """The model's files as arrays: mapped into memory where the shared folder is mounted, else read from it. The least recently used are let go."""
 
     def __init__(self, folder: str):
         fs, self.path = pafs.FileSystem.from_uri(folder)
-        self.fs, self.local, self.open = fs, self.path if isinstance(fs, pafs.LocalFileSystem) else None, {}
-        if self.local is None:
-            self.own = tempfile.TemporaryDirectory(prefix="arrays-")
+        self.fs, self.mounted = fs, isinstance(fs, pafs.LocalFileSystem)
+        self.open: OrderedDict[str, np.ndarray] = OrderedDict()
+        self.held = 0
 
     def get(self, name: str) -> np.ndarray:
-        if name not in self.open:
-            if self.local is not None:
-                path = f"{self.local}/{name}.npy"
-            else:
-                path = os.path.join(self.own.name, f"{name}.npy")
-                with self.fs.open_input_stream(f"{self.path}/{name}.npy", compression=None) as source, open(path, "wb") as out:
-                    shutil.copyfileobj(source, out, 1 << 20)
+        if name in self.open:
+            self.open.move_to_end(name)
+            return self.open[name]
+        path = f"{self.path}/{name}.npy"
+        if self.mounted:
             # an empty array can't be mapped
-            self.open[name] = np.load(path) if os.path.getsize(path) <= 256 else np.load(path, mmap_mode="r")
-        return self.open[name]
+            x = np.load(path) if os.path.getsize(path) <= 256 else np.load(path, mmap_mode="r")
+        else:
+            with self.fs.open_input_stream(path, compression=None) as source:
+                x = np.load(io.BytesIO(source.read()))
+        self.open[name] = x
+        self.held += 0 if self.mounted else x.nbytes
+        while len(self.open) > 1 and (len(self.open) > MAX_OPEN or self.held > MAX_HELD):
+            _, old = self.open.popitem(last=False)
+            self.held -= 0 if self.mounted else old.nbytes
+        return x
 
 
 def save(folder: str, name: str, a: np.ndarray) -> None:
@@ -181,15 +200,19 @@ class Ids:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        new = list({w for d in run for w in d}.difference(known))
+        flat = list(itertools.chain.from_iterable(run))
+        new = list(set(flat).difference(known))
         if new:
             h = np.fromiter(map(word_hash, new), np.uint64, len(new))
             order = np.argsort(h)
             at = np.empty(len(new), np.int64)
             at[order] = self.find(h[order])
             known.update(zip(new, at.tolist(), strict=True))
-        get = known.__getitem__
-        return np.fromiter((get(w) for d in run for w in d), np.int64, n)
+        return np.fromiter(map(known.__getitem__, flat), np.int64, n)
+
+    def end(self) -> int:
+        """The id of END."""
+        return int(self.of([[END]], 1)[0])
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """The training counts of ascending ids."""
@@ -205,17 +228,19 @@ def hash_shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _runs(texts) -> Iterator[tuple[list[list[bytes]], np.ndarray]]:
-    """Runs of tokenised texts with the number of tokens of each, bounded by RUN_TOKENS besides a single long text."""
-    run, size = [], 0
-    for t in texts:
-        run.append(tokens(t))
-        size += len(run[-1])
-        if size >= RUN_TOKENS:
-            yield run, np.fromiter(map(len, run), np.int64, len(run))
-            run, size = [], 0
+def _runs(texts) -> Iterator[tuple[list[list[bytes]], np.ndarray, np.ndarray]]:
+    """Runs of parts of tokenised texts, in order, with the tokens of each part and the number of its text; bounded by RUN_TOKENS besides one piece."""
+    run, owner, size = [], [], 0
+    for k, t in enumerate(texts):
+        for part in token_parts(t):
+            run.append(part)
+            owner.append(k)
+            size += len(part)
+            if size >= RUN_TOKENS:
+                yield run, np.fromiter(map(len, run), np.int64, len(run)), np.array(owner)
+                run, owner, size = [], [], 0
     if run:
-        yield run, np.fromiter(map(len, run), np.int64, len(run))
+        yield run, np.fromiter(map(len, run), np.int64, len(run)), np.array(owner)
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[str | None]:
@@ -250,11 +275,8 @@ def count_words(texts: DataFrame, folder: str, shards: int, least_hot: float) ->
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for run, _ in _runs(_texts(batches)):
-            seen: dict[bytes, int] = {}
-            for d in run:
-                for w in d:
-                    seen[w] = seen.get(w, 0) + 1
+        for run, _, _ in _runs(_texts(batches)):
+            seen = Counter(itertools.chain.from_iterable(run))
             h = np.fromiter(map(word_hash, seen), np.uint64, len(seen))
             keys, counts = summed(np.concatenate((keys, h)), np.concatenate((counts, np.fromiter(seen.values(), np.int64, len(seen)))))
         yield _sliced("words", hash_shard(keys, shards), keys, _narrow(counts))
@@ -285,14 +307,15 @@ def count_pairs(texts: DataFrame, model: Model) -> DataFrame:
         ids = Ids(Arrays(folder), model.sizes)
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         parts: list[np.ndarray] = []
-        size = 0
+        size, before = 0, ids.end()
 
         def settle():
             return summed(np.concatenate((keys, *parts)), np.concatenate((counts, np.ones(size, np.int64))))
 
-        for run, lengths in _runs(_texts(batches)):
+        for run, lengths, _ in _runs(_texts(batches)):
             second = ids.of(run, int(lengths.sum()))
-            parts.append(pair_keys(second))
+            parts.append(pair_keys(second, before))
+            before = int(second[-1])
             size += len(second)
             if size >= 4 * RUN_TOKENS:
                 keys, counts = settle()
@@ -339,9 +362,9 @@ def count_pairs(texts: DataFrame, model: Model) -> DataFrame:
     return pairs.groupBy("shard").applyInPandas(add_up, schema)
 
 
-def pair_keys(ids: np.ndarray) -> np.ndarray:
-    """The pairs of each token with the one before it. Texts end with END, whose id also stands before the first: the run is one chain that closes on its last END."""
-    return (np.concatenate((ids[-1:], ids[:-1])) << 32) | ids
+def pair_keys(ids: np.ndarray, before: int) -> np.ndarray:
+    """The pairs of each token with the one before it. Texts follow each other, and END, which closes each of them, stands before the next one's first word."""
+    return (np.concatenate(([before], ids[:-1])) << 32) | ids
 
 
 def train(docs: DataFrame, folds: int = FOLDS) -> Model:
@@ -376,6 +399,8 @@ class Scorer:
         self.m, self.a = model, Arrays(model.folder)
         self.ids = Ids(self.a, model.sizes)
         self.hot = np.array(model.hot, np.int64)
+        #: the id of the token before the next run
+        self.before = self.ids.end()
 
     def _dense(self, name: str, ids: np.ndarray) -> np.ndarray:
         """The values of distinct ascending ids, taken range by range."""
@@ -414,30 +439,29 @@ class Scorer:
         return out
 
     def run(self, run: list[list[bytes]], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text: known tokens, base score and score."""
+        """For each part of the run, which follows the last one: known tokens, base score and score."""
         m, ends = self.m, np.cumsum(lengths)
         ids = self.ids.of(run, int(ends[-1]))
-        known = ids >= 0
+        chain = np.concatenate(([self.before], ids))
+        self.before = int(ids[-1])
         count, score = np.zeros(len(ids)), np.zeros(len(ids))
         if m.n:
-            uniq, inverse = np.unique(ids[known], return_inverse=True)
-            of = self.words(uniq)
-            count[known] = of["count"][inverse]
-            lower = np.full(len(ids), m.rest)
-            lower[known] = of["p"][inverse]
-            slot = np.full(len(ids), -1)
-            slot[known] = inverse
-            before = np.concatenate((ids[-1:], ids[:-1]))  # END closes every text of the run
-            slot = np.concatenate((slot[-1:], slot[:-1]))
-            context = (before >= 0) & (np.append(of["total"], 0)[slot] > 0)
-            p = lower.copy()
-            if context.any():
-                p[context] = of["free"][slot[context]] * lower[context]
-                both = context & known
-                pair, back = np.unique((before[both] << 32) | ids[both], return_inverse=True)
+            uniq, slot = np.unique(chain, return_inverse=True)
+            # an unknown word is the first of them; its slot is the one beyond the others
+            some = uniq >= 0
+            slot = slot - (len(some) - some.sum())
+            of = self.words(uniq[some])
+            n = np.append(of["count"], 0)
+            lower, total, free = np.append(of["p"], m.rest), np.append(of["total"], 0), np.append(of["free"], 1.0)
+            own, context = slot[1:], slot[:-1]
+            count = n[own].astype(float)
+            p = np.where(total[context] > 0, free[context], 1.0) * lower[own]
+            both = np.flatnonzero((total[context] > 0) & (own >= 0))
+            if len(both):
+                pair, back = np.unique((chain[:-1][both] << 32) | ids[both], return_inverse=True)
                 c = self.pairs(pair)
                 gain = c - np.choose(np.minimum(c, 3), [0.0, *m.bigram])
-                p[both] += gain[back] / of["total"][slot[both]]
+                p[both] += gain[back] / total[context[both]]
             score = np.log10(p)
         base = np.log10((count + BASE_ADD) / (m.n + BASE_ADD * (m.v + 1)))
         add = lambda x: np.add.reduceat(x, ends - lengths)
@@ -464,12 +488,11 @@ def score(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for b in batches:
-            out = [[], [], [], []]
-            for part, lengths in _runs(b["text"]):
-                for to, x in zip(out, (lengths, *scorer.run(part, lengths)), strict=True):
-                    to.append(x)
-            cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": cols[0], "n_known": cols[1], "base_score": cols[2], "score": cols[3]})
+            tokens_, known, base, total = (np.zeros(len(b), kind) for kind in (np.int64, np.int64, float, float))
+            for part, lengths, owner in _runs(b["text"]):
+                for to, x in zip((tokens_, known, base, total), (lengths, *scorer.run(part, lengths)), strict=True):
+                    np.add.at(to, owner, x)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": tokens_, "n_known": known, "base_score": base, "score": total})
 
     rows = docs.select(F.col("doc_id").cast("long"), (fold(F.col("doc_id"), folds) == 0).alias("held_out"), F.col("text").cast("string"))
     got = rows.mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
@@ -477,6 +500,9 @@ def score(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5: the model's score of every document beside the base score."""
+    """op5: the model's score of every document beside the base score. The model's folder goes once the scores are written."""
     docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    model = train(docs)
+    scored = frozen(score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+    remove_folder(model.folder)
+    return scored

@@ -120,3 +120,56 @@ def test_tasks_without_rows(spark):
     few, many = (kn.score(d, kn.train(d)).collect() for d in (frame(spark, rows).coalesce(1), frame(spark, rows).repartition(40)))
     key = lambda g: (str(g["doc_id"]), g["n_tokens"], round(g["score"], 9))
     assert sorted(map(key, few)) == sorted(map(key, many))
+
+
+def test_many_shards_with_few_descriptors(tmp_path):
+    import resource
+
+    for k in range(3000):
+        kn.save(f"file://{tmp_path}", f"hash-{k}", np.arange(k, k + 50, dtype=np.uint64))
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (min(1024, hard), hard))
+    try:
+        arrays = kn.Arrays(f"file://{tmp_path}")
+        for _ in range(2):
+            assert all(arrays.get(f"hash-{k}")[3] == k + 3 for k in range(3000))
+        assert len(arrays.open) == kn.MAX_OPEN
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+
+
+def test_files_that_cannot_be_mapped_are_read(tmp_path, monkeypatch):
+    monkeypatch.setattr(kn, "MAX_HELD", 820)
+    kn.save(f"file://{tmp_path}", "a", np.arange(100))
+    kn.save(f"file://{tmp_path}", "b", np.arange(7))
+    arrays = kn.Arrays(f"file://{tmp_path}")
+    arrays.mounted = False
+    assert arrays.get("a").sum() == 4950 and arrays.get("b").sum() == 21 and list(arrays.open) == ["b"] and arrays.held == 56
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    from lodestrata.llm import common
+
+    rows = corpus(4, 40)
+    whole = kn.score(frame(spark, rows), kn.train(frame(spark, rows))).collect()
+    monkeypatch.setattr(common, "PIECE_CHARS", 20)
+    monkeypatch.setattr(kn, "RUN_TOKENS", 30)
+    d = frame(spark, rows)
+    assert list(kn.token_parts(rows[0][1]))[-1][-1] == kn.END and sum(map(len, kn.token_parts("a b"))) == 3
+    scorer_runs = [sum(n.sum() for _, n, _ in kn._runs([t])) for _, t in rows]
+    assert scorer_runs == [len(toks(t)) for _, t in rows]
+    key = lambda g: (str(g["doc_id"]), g["n_tokens"], g["n_known"], round(g["score"], 8), round(g["base_score"], 8))
+    assert sorted(map(key, kn.score(d, kn.train(d)).collect())) == sorted(map(key, whole))
+
+
+def test_query_leaves_no_model_behind(spark, tmp_path):
+    import os
+
+    frame(spark, corpus(5, 30)).drop("score").write.parquet(f"{tmp_path}/documents.parquet")
+    from lodestrata.llm import common
+
+    root = common.shared_root(spark).removeprefix("file:")
+    models = lambda: {x for x in os.listdir(root) if x.startswith("bigrams")}
+    before = models()
+    assert kn.query(spark, str(tmp_path)).count() == 36
+    assert models() == before
