@@ -10,7 +10,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +19,15 @@ from .common import frozen, pieces, short_batches, table
 WINDOW = 13
 #: UTF-8 bytes of benchmark text in one index; more are scanned in blocks, one after the other. An index takes 3 to 13 times its text (``Index.nbytes``).
 MAX_INDEX_BYTES = 8 << 20
-#: Words scanned at once.
-RUN_WORDS = 400_000
-#: Words whose hashes a worker remembers.
-CACHE = 200_000
+#: Words scanned at once, at some six bytes each.
+RUN_WORDS = 200_000
 #: A document is contaminated if at least one in so many of its words is hit.
 SHARE = 20
 #: Word bytes are 0-9, a-z (A-Z folded) and all of 0x80 and above; the others part words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_BASE = 0x9E3779B97F4A7C15
+_BASE, _STIR = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
+#: What each byte counts in the hash of a word.
+_LETTER = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 HITS = "n_words long, n_hit long, items array<string>, spans array<struct<lo:long,hi:long>>"
 
 
@@ -37,46 +36,69 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_FOLD).split()
 
 
-def runs_of(text: str | None, most: int | None = None) -> Iterator[tuple[int, list[bytes]]]:
-    """(place of the first word, words) of a whole text in pieces that overlap by WINDOW - 1 words, so that each window lies in one of them."""
-    at, words = 0, []
+def runs_of(text: str | None, most: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """(place of the first word, normalised text) of a whole text in pieces that overlap by WINDOW - 1 words, so that each window lies in one of them."""
+    at, plain = 0, b""
     for piece in pieces(text, most):
-        kept = words[1 - WINDOW :]
-        at += len(words) - len(kept)
-        words = kept + words_of(piece)
-        yield at, words
+        kept = plain.rsplit(None, WINDOW - 1)
+        before, kept = (kept[:1], kept[1:]) if len(kept) == WINDOW else ([], kept)
+        at += len(before[0].split()) if before else 0
+        plain = b" ".join([*kept, piece.encode("utf-8", "replace").translate(_FOLD)])
+        yield at, plain
+
+
+_TABLES: list[np.ndarray] = []
 
 
-@functools.lru_cache(4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    """Powers of the base and of its inverse, from 0 to n - 1; the largest tables made so far are kept."""
+    if not _TABLES or len(_TABLES[0]) < n:
+        size = 1 << max(10, (n - 1).bit_length())
+        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 2**64), np.uint64)
+        up[0] = down[0] = 1
+        _TABLES[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
+    return _TABLES[0][:n], _TABLES[1][:n]
+
+
+def word_codes(plain: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of each word of a normalised text; no word is built."""
+    raw = np.frombuffer(plain, np.uint8)
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = raw != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.uint64)
+    up, down = _powers(len(raw))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTER[raw] * up, dtype=np.uint64)))
+    code = (sums[ends] - sums[starts]) * down[starts]
+    code ^= code >> np.uint64(32)
+    code *= _STIR
+    code ^= code >> np.uint64(29)
+    return starts, ends, code
 
 
 def _rolling(code: np.ndarray, size: int) -> np.ndarray:
     """The hash of each run of ``size`` words, from the words' hashes."""
     if len(code) < size:
         return np.zeros(0, np.uint64)
-    up, down = _powers(1 << (len(code) - 1).bit_length())
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * up[: len(code)], dtype=np.uint64)))
+    up, down = _powers(len(code))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * up, dtype=np.uint64)))
     return (sums[size:] - sums[:-size]) * down[: len(code) - size + 1]
 
 
 class _Windows:
     """The windows of one length: ascending distinct hashes; of each the items that have it, and the place of its first word in the index's text."""
 
-    def __init__(self, hashes: np.ndarray, at: np.ndarray, item: np.ndarray, code: np.ndarray, size: int):
+    def __init__(self, hashes: np.ndarray, at: np.ndarray, item: np.ndarray, words):
         order = np.lexsort((item, hashes))
         hashes, at, item = hashes[order], at[order], item[order]
         first = np.concatenate(([True], hashes[1:] != hashes[:-1]))
         start = np.flatnonzero(first)[np.cumsum(first) - 1]
-        span = np.arange(size)
         # other words under the same hash: hardly ever, and then each entry is looked at
         same = np.ones(len(at), bool)
-        for i in range(0, len(at), 100_000):
-            part = slice(i, i + 100_000)
-            same[part] = (code[at[part, None] + span] == code[at[start[part]][:, None] + span]).all(1)
+        again = np.flatnonzero(~first)
+        same[again] = [words(a) == words(b) for a, b in zip(at[again].tolist(), at[start[again]].tolist(), strict=True)]
         self.odd = frozenset(hashes[~same].tolist())
         keep = first | (item != np.concatenate(([-1], item[:-1]))) | np.isin(hashes, hashes[~same])
         kept = np.flatnonzero(keep)
@@ -94,64 +116,57 @@ class Index:
     """The windows of some benchmark items in arrays: rolling hashes, one sorted array for each window length, and the words to verify hits."""
 
     def __init__(self, items: Iterable[tuple[str, str | None]]):
-        self.names: list[str] = []
-        self.known: dict[bytes, int] = {}
         numbers: dict[str, int] = {}
-        words, codes, by_size, at = [], [], {}, 0
+        words, of = [], []
         for name, text in items:
-            own = words_of(text)
-            if not own:
-                continue
-            number = numbers.setdefault(name, len(numbers))
-            size = min(WINDOW, len(own))
-            codes.append(self._codes(own))
-            words.append(b" ".join(own))
-            hashes = _rolling(codes[-1], size)
-            by_size.setdefault(size, []).append((hashes, at + np.arange(len(hashes)), np.full(len(hashes), number)))
-            at += len(own)
+            if own := words_of(text):
+                words.append(b" ".join(own))
+                of.append((numbers.setdefault(name, len(numbers)), len(own)))
         self.names = list(numbers)
         self.text = b" ".join(words)
-        plain = np.frombuffer(self.text, np.uint8) == 32
-        #: where each word begins, and where the one after the last would
-        self.starts = np.concatenate(([0], np.flatnonzero(plain) + 1, [len(self.text) + 1])).astype(np.int32)
+        starts, codes, place = [], [], 0
+        for own in words:
+            start, _, code = word_codes(own)
+            starts.append(start + place)
+            codes.append(code)
+            place += len(own) + 1
         code = np.concatenate([np.zeros(0, np.uint64), *codes])
-        self.sizes = {size: _Windows(*(np.concatenate(x) for x in zip(*parts, strict=True)), code, size) for size, parts in by_size.items()}
-        self.known = {}
+        #: where each word begins, and where the one after the last would
+        self.starts = np.concatenate([*starts, [len(self.text) + 1]]).astype(np.int32)
+        by_size, at = {}, 0
+        for number, n in of:
+            size = min(WINDOW, n)
+            hashes = _rolling(code[at : at + n], size)
+            by_size.setdefault(size, []).append((hashes, at + np.arange(len(hashes)), np.full(len(hashes), number)))
+            at += n
+        self.sizes = {size: _Windows(*(np.concatenate(x) for x in zip(*parts, strict=True)), functools.partial(self._words, size=size)) for size, parts in by_size.items()}
 
     @property
     def nbytes(self) -> int:
         """Bytes of the arrays and texts, which are all that grows with the benchmark besides the items' names."""
         return len(self.text) + self.starts.nbytes + sum(w.nbytes for w in self.sizes.values())
 
-    def _codes(self, words: list[bytes]) -> np.ndarray:
-        """The hashes of words; a bounded number is remembered."""
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        h = xxhash.xxh64_intdigest
-        for w in set(words).difference(known):
-            known[w] = h(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-    def _hits(self, docs: list[list[bytes]]) -> Iterator[tuple[int, int, int, list[int]]]:
-        """(document, place, length, items) of each occurrence of a window, verified word by word."""
-        words = list(itertools.chain.from_iterable(docs))
-        lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-        ends = np.cumsum(lengths)
-        code = self._codes(words)
+    def _hits(self, docs: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int, int, np.ndarray]]]:
+        """Of normalised texts: their word counts, and (text, place, length, items) of each occurrence of a window, verified word by word."""
+        plain = b" ".join(docs)
+        starts, ends, code = word_codes(plain)
+        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+        last = np.searchsorted(starts, np.cumsum(sizes + 1) - 1)  # the words up to each text's end
+        begin, found = np.concatenate(([0], last[:-1])), []
         for size, w in self.sizes.items():
             h = _rolling(code, size)
             at = np.flatnonzero(w.sieve[h >> np.uint64(44)])
             k = np.searchsorted(w.hashes, h[at])
-            doc = np.searchsorted(ends, at, "right")
-            inside = (k < len(w.hashes)) & (at + size <= ends[doc])
+            doc = np.searchsorted(last, at, "right")
+            inside = (k < len(w.hashes)) & (at + size <= last[doc])
             inside[inside] = w.hashes[k[inside]] == h[at[inside]]
             for i, u, d in zip(at[inside].tolist(), k[inside].tolist(), doc[inside].tolist(), strict=True):
-                own, a, b = b" ".join(words[i : i + size]), int(w.begin[u]), int(w.begin[u + 1])
-                same = [x for x in range(a, b if int(w.hashes[u]) in w.odd else a + 1) if self._words(int(w.at[x]), size) == own]
+                own, a, b = b" ".join(plain[starts[i] : ends[i + size - 1]].split()), int(w.begin[u]), int(w.begin[u + 1])
+                odd = int(w.hashes[u]) in w.odd
+                same = [x for x in range(a, b if odd else a + 1) if self._words(int(w.at[x]), size) == own]
                 if same:
-                    items = w.item[same] if int(w.hashes[u]) in w.odd else w.item[a:b]
-                    yield d, i - int(ends[d] - lengths[d]), size, items
+                    found.append((d, i - int(begin[d]), size, w.item[same] if odd else w.item[a:b]))
+        return last - begin, found
 
     def _words(self, at: int, size: int) -> bytes:
         return self.text[self.starts[at] : self.starts[at + size] - 1]
@@ -169,36 +184,41 @@ class Index:
                 spans.append([lo, hi])
         return sum(b - a for a, b in spans), sorted(self.names[i] for i in items.tolist()), [(a, b) for a, b in spans]
 
-    def scan(self, docs: list[list[bytes]]) -> Iterator[tuple[int, list[str], list[tuple[int, int]]]]:
-        """For each document: words hit, names of the items with occurring windows, and the word ranges hit."""
+    def _scan(self, docs: list[bytes]) -> Iterator[tuple[int, int, list[str], list[tuple[int, int]]]]:
+        words, hits = self._hits(docs)
         own: dict[int, list] = {}
-        for d, at, size, items in self._hits(docs):
+        for d, at, size, items in hits:
             own.setdefault(d, []).append((at, size, items))
-        for d in range(len(docs)):
-            yield self._found(own.get(d, []))
+        for d, n in enumerate(words.tolist()):
+            yield n, *self._found(own.get(d, []))
 
     def _scan_long(self, text: str) -> tuple[int, int, list[str], list[tuple[int, int]]]:
         hits, n = [], 0
-        for first, words in runs_of(text):
-            hits += [(first + at, size, items) for _, at, size, items in self._hits([words])]
-            n = first + len(words)
+        for first, plain in runs_of(text):
+            words, found = self._hits([plain])
+            hits += [(first + at, size, items) for _, at, size, items in found]
+            n = first + int(words[0])
         return n, *self._found(hits)
 
     def scan_texts(self, texts: Iterable[str | None]) -> Iterator[tuple[int, int, list[str], list[tuple[int, int]]]]:
-        """As ``scan`` over whole texts, with the word count first. Runs of texts are bounded by their words, long texts are scanned in overlapping pieces."""
-        run: list[list[bytes]] = []
+        """For each whole text: its words, words hit, names of the items with occurring windows, and the word ranges hit.
+
+        Runs of texts are bounded by their bytes, long texts are scanned in overlapping pieces.
+        """
+        run: list[bytes] = []
         size = 0
         for t in texts:
             long = len(t or "") > common.PIECE_CHARS
             if not long:
-                run.append(words_of(t))
+                run.append((t or "").encode("utf-8", "replace").translate(_FOLD))
                 size += len(run[-1])
-            if long or size >= RUN_WORDS:
-                yield from ((len(d), *x) for d, x in zip(run, self.scan(run), strict=True))
+            if run and (long or size >= 6 * RUN_WORDS):
+                yield from self._scan(run)
                 run, size = [], 0
             if long:
                 yield self._scan_long(t)
-        yield from ((len(d), *x) for d, x in zip(run, self.scan(run), strict=True))
+        if run:
+            yield from self._scan(run)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -211,12 +231,14 @@ def _parts(name: str, text: str | None, most: int) -> Iterator[tuple[str, str, i
     if len(text or "") <= most:
         yield name, text, len((text or "").encode("utf-8", "replace"))
         return
-    last = []
-    for _, words in runs_of(text, most):
-        if len(words) >= WINDOW or not last:
-            last = words
-            part = b" ".join(words).decode("utf-8", "replace")
-            yield name, part, len(part)
+    # a run of fewer words than a window lies in the next one, or is all that the item has
+    plain, given = b"", False
+    for _, plain in runs_of(text, most):
+        if len(plain.split(None, WINDOW)) >= WINDOW:
+            yield name, plain.decode("utf-8", "replace"), len(plain)
+            given = True
+    if not given:
+        yield name, plain.decode("utf-8", "replace"), len(plain)
 
 
 def indexes(benchmark: DataFrame, max_bytes: int = MAX_INDEX_BYTES) -> Iterator[Index]:
@@ -229,7 +251,7 @@ def indexes(benchmark: DataFrame, max_bytes: int = MAX_INDEX_BYTES) -> Iterator[
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k)
         held, size = [], 0
         for r in part.select("name", "text").toLocalIterator():
-            for name, text, n in _parts(r["name"], r["text"], max_bytes):
+            for name, text, n in _parts(r["name"], r["text"], min(max_bytes, common.PIECE_CHARS)):
                 if held and size + n > 2 * max_bytes:
                     yield Index(held)
                     held, size, given = [], 0, True

@@ -127,7 +127,6 @@ def test_index_is_of_arrays_and_pickles_small():
     text = sum(len(t) for _, t in items)
     index = dc.Index(items)
     assert index.nbytes - (1 << 20) < 8 * text and len(pickle.dumps(index)) < index.nbytes + 200_000
-    assert not index.known
 
 
 def test_one_window_of_many_items():
@@ -135,3 +134,26 @@ def test_one_window_of_many_items():
     index = dc.Index([(str(i), f"{line} tail{i}") for i in range(500)])
     ((n, h, names, spans),) = index.scan_texts([f"{line} {line} x"])
     assert (n, h, spans) == (27, 26, [(0, 26)]) and names == sorted(map(str, range(500)))
+
+
+def test_parts_of_an_item_have_its_windows():
+    text = ", ".join(f"w{i}" for i in range(40)) + " " * 200
+    wins = lambda t: {tuple(w[i : i + 13]) for w in [plain_words(t)] for i in range(len(w) - 12)}
+    parts = [p for _, p, _ in dc._parts("x", text, 30)]
+    assert len(parts) > 3 and set.union(*map(wins, parts)) == wins(text) and all(len(plain_words(p)) >= 13 for p in parts)
+    assert [plain_words(p) for _, p, _ in dc._parts("x", "a " * 5 + " " * 100 + "b", 10)] == [["a"] * 5 + ["b"]]
+
+
+def test_a_text_of_50_mb(monkeypatch):
+    import resource
+
+    r = random.Random(2)
+    line = " ".join(f"w{i}" for i in range(13))
+    block = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(20_000))
+    text = f"{line} " + f"{block} " * 360 + line
+    index = dc.Index([("a", line)])
+    list(index.scan_texts([block]))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ((n, h, names, spans),) = index.scan_texts([text])
+    assert len(text) > 50_000_000 and (n, h, names) == (360 * 20_000 + 26, 26, ["a"]) and spans == [(0, 13), (n - 13, n)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 250_000
