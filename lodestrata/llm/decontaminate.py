@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import frozen, pieces, short_batches, table
+from .rolling import rolling, word_codes
 
 WINDOW = 13
 #: UTF-8 bytes of benchmark text in one index; more are scanned in blocks, one after the other. An index takes 3 to 13 times its text (``Index.nbytes``).
@@ -25,9 +26,6 @@ RUN_WORDS = 200_000
 SHARE = 20
 #: Word bytes are 0-9, a-z (A-Z folded) and all of 0x80 and above; the others part words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_BASE, _STIR = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
-#: What each byte counts in the hash of a word.
-_LETTER = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 HITS = "n_words long, n_hit long, items array<string>, spans array<struct<lo:long,hi:long>>"
 
 
@@ -47,46 +45,6 @@ def runs_of(text: str | None, most: int | None = None) -> Iterator[tuple[int, by
         yield at, plain
 
 
-_TABLES: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, from 0 to n - 1; the largest tables made so far are kept."""
-    if not _TABLES or len(_TABLES[0]) < n:
-        size = 1 << max(10, (n - 1).bit_length())
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 2**64), np.uint64)
-        up[0] = down[0] = 1
-        _TABLES[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-    return _TABLES[0][:n], _TABLES[1][:n]
-
-
-def word_codes(plain: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of each word of a normalised text; no word is built."""
-    raw = np.frombuffer(plain, np.uint8)
-    inside = np.zeros(len(raw) + 2, bool)
-    inside[1:-1] = raw != 32
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return starts, ends, np.zeros(0, np.uint64)
-    up, down = _powers(len(raw))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTER[raw] * up, dtype=np.uint64)))
-    code = (sums[ends] - sums[starts]) * down[starts]
-    code ^= code >> np.uint64(32)
-    code *= _STIR
-    code ^= code >> np.uint64(29)
-    return starts, ends, code
-
-
-def _rolling(code: np.ndarray, size: int) -> np.ndarray:
-    """The hash of each run of ``size`` words, from the words' hashes."""
-    if len(code) < size:
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(code))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * up, dtype=np.uint64)))
-    return (sums[size:] - sums[:-size]) * down[: len(code) - size + 1]
-
-
 class _Windows:
     """The windows of one length: ascending distinct hashes; of each the items that have it, and the place of its first word in the index's text."""
 
@@ -136,7 +94,7 @@ class Index:
         by_size, at = {}, 0
         for number, n in of:
             size = min(WINDOW, n)
-            hashes = _rolling(code[at : at + n], size)
+            hashes = rolling(code[at : at + n], size)
             by_size.setdefault(size, []).append((hashes, at + np.arange(len(hashes)), np.full(len(hashes), number)))
             at += n
         self.sizes = {size: _Windows(*(np.concatenate(x) for x in zip(*parts, strict=True)), functools.partial(self._words, size=size)) for size, parts in by_size.items()}
@@ -154,7 +112,7 @@ class Index:
         last = np.searchsorted(starts, np.cumsum(sizes + 1) - 1)  # the words up to each text's end
         begin, found = np.concatenate(([0], last[:-1])), []
         for size, w in self.sizes.items():
-            h = _rolling(code, size)
+            h = rolling(code, size)
             at = np.flatnonzero(w.sieve[h >> np.uint64(44)])
             k = np.searchsorted(w.hashes, h[at])
             doc = np.searchsorted(last, at, "right")

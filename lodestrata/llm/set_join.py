@@ -24,10 +24,8 @@ from .components import components
 SAMPLE_ROWS, MAX_COMMON = 8_000, 100_000
 #: Classes that share a member are all paired up to this number; more are linked to two of them first.
 GROUP = 32
-#: Members of a large group that one task holds of each side.
-BLOCK = 4_096
-#: Candidate pairs given at once.
-RUN_PAIRS = 1_000_000
+#: Classes of a large group that one task holds of each side, and pairs that it looks at at once.
+BLOCK, RUN_PAIRS = 1_024, 1_000_000
 #: Rows of three numbers that are broadcast; more are joined by shuffling the texts.
 MAX_BROADCAST = 200_000
 #: Entries of one bucket.
@@ -270,10 +268,15 @@ def _across(large: DataFrame, parts: DataFrame, least: float) -> DataFrame:
         _, number = np.unique(root, return_inverse=True)
         # those outside the component that most are in meet all, and each other once
         main = number == np.bincount(number).argmax()
-        at = np.arange(len(x))
-        for k in np.flatnonzero(~main):
-            other = at[(root != root[k]) & (main | (at > k)) & (own != own[k] if key[1] != key[2] else True)]
-            out.append(_pairs(x, np.full(len(other), k), x, other, least))
+        at, outside = np.arange(len(x)), np.flatnonzero(~main)
+        step = max(1, RUN_PAIRS // len(x))
+        for c in range(0, len(outside), step):
+            k = outside[c : c + step, None]
+            meets = (root != root[k]) & (main | (at > k))
+            if key[1] != key[2]:
+                meets &= own != own[k]
+            i, j = np.nonzero(meets)
+            out.append(_pairs(x, k[i, 0], x, j, least))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
 
     return rows.groupBy("s", "i", "j").applyInPandas(cross, "a long, b long")

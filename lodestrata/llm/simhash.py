@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import frozen, partitions, pieces, short_batches, table
 from .components import components
+from .rolling import rolling, stirred, word_codes
 from .set_join import GROUP, Sets, few, near_sets
 
 SHINGLE = 3
@@ -35,7 +36,9 @@ FRONT = 300_000
 #: What makes two documents near copies in the pipeline: the Jaccard of their sets of shingles of so many words.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 #: Differing bits within which the pipeline's stage takes its first candidates from the trie.
-COPY_BUDGET = 3
+COPY_BUDGET = 2
+#: ASCII blanks to byte 32, A-Z to a-z.
+_PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
 
 def shingle_parts(text: str | None, width: int = SHINGLE, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -302,11 +305,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def rolled_shingles(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """Rolling hashes of the runs of ``width`` words (fewer words: of the whole run; none: nothing), piece by piece. ASCII case is folded."""
+    plain, begun = b"", False
+    for piece in pieces(text):
+        kept = plain.rsplit(None, width - 1)[1 - width :] if width > 1 else []
+        plain = b" ".join([*kept, piece.encode("utf-8", "replace").translate(_PLAIN)])
+        _, _, code = word_codes(plain)
+        if len(code) >= width:
+            yield stirred(rolling(code, width))
+            begun = True
+    _, _, code = word_codes(b"" if begun else plain)
+    if len(code):
+        yield stirred(rolling(code, len(code)))
+
+
 def shingle_sets(width: int = COPY_SHINGLE) -> Sets:
-    """For each text the ascending set of its shingle hashes, and its fingerprint of the same shingles."""
+    """For each text the ascending set of its shingles' rolling hashes, and their fingerprint."""
 
     def of(text: str | None) -> tuple[np.ndarray, int]:
-        parts = [*shingle_parts(text, width)]
+        parts = [*rolled_shingles(text, width)]
         return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64), majority(parts)
 
     return lambda: of
