@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, frozen, short_batches, table
+from .common import fold, frozen, pieces, short_batches, table
 
 #: Labelled rows that a fit takes at most: those of the lowest hash of their doc_id.
 MAX_ROWS = 12_000
@@ -26,6 +26,8 @@ MAX_ROWS = 12_000
 MAX_FEATURES, MIN_DOCS, MIN_CHI2 = 2048, 5, 10.8
 #: The folds by crc32 of the doc_id; fold 0 is held out.
 FOLDS = 5
+#: Sampled rows of one task of the fit.
+FIT_ROWS = 750
 #: Weights of the ridge and of the counterfactual penalty; steps of the optimiser.
 RIDGE, COUNTERFACTUAL, STEPS = 0.02, 1.0, 400
 #: Words whose features a worker remembers.
@@ -60,19 +62,28 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def distinct_words(text: str | None) -> set[str]:
+    """The distinct words of a whole text, which is cut into words piece by piece."""
+    found: set[str] = set()
+    for piece in pieces(text):
+        found.update(words_of(piece))
+    return found
+
+
 def word_features(w: str) -> list[str]:
     """The word, its beginnings of 3 to 6 letters and its endings of 3 to 5."""
     return ["w:" + w, *("p:" + w[:k] for k in (3, 4, 5, 6) if len(w) >= k), *("s:" + w[-k:] for k in (3, 4, 5) if len(w) >= k)]
 
 
-def counterfactuals(text: str | None) -> list[tuple[list[str], list[str]]]:
-    """(words, words with the identity terms swapped) of each sentence that has such terms."""
-    pairs = []
-    for s in _SENTENCE.split(text or ""):
-        words = words_of(s)
+def counterfactuals(text: str | None) -> Iterator[tuple[list[str], list[str]]]:
+    """(words, words with the identity terms swapped) of each sentence that has such terms, one after the other."""
+    text, at = text or "", 0
+    while at <= len(text):
+        end = _SENTENCE.search(text, at)
+        words = words_of(text[at : end.start() if end else len(text)])
         if any(w in SWAPS for w in words):
-            pairs.append((words, [SWAPS.get(w, w) for w in words]))
-    return pairs
+            yield words, [SWAPS.get(w, w) for w in words]
+        at = end.end() if end else len(text) + 1
 
 
 class Vocabulary:
@@ -105,7 +116,7 @@ class Model:
         vocabulary, weights, bias = Vocabulary(self.features), self.weights, self.bias
 
         def score(text: str | None) -> float:
-            x = bias + sum(weights[i] for i in sorted(vocabulary.indices(words_of(text))))
+            x = bias + sum(weights[i] for i in sorted(vocabulary.indices(distinct_words(text))))
             return float(1 / (1 + np.exp(-np.clip(x, -500, 500))))
 
         return score
@@ -121,7 +132,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: i
     own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").select("text", "y")
-    return frozen(rows.repartition(max(2, max_rows // 3000)))
+    return frozen(rows.repartition(max(2, max_rows // FIT_ROWS)))
 
 
 def _statistics(rows: DataFrame) -> DataFrame:
@@ -131,7 +142,7 @@ def _statistics(rows: DataFrame) -> DataFrame:
         counts = (Counter(), Counter())
         for b in batches:
             for text, y in zip(b["text"], b["y"], strict=True):
-                counts[y].update({f for w in set(words_of(text)) for f in word_features(w)})
+                counts[y].update({f for w in distinct_words(text) for f in word_features(w)})
             if len(counts[0]) + len(counts[1]) > 2_000_000:
                 yield _rows(counts)
         yield _rows(counts)
@@ -165,24 +176,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = Vocabulary(features)
         for b in batches:
-            xs, ups, downs = [], [], []
+            xs, swaps = [], []
             for text in b["text"]:
-                xs.append(sorted(v.indices(words_of(text))))
-                pairs = [(v.indices(p), v.indices(q)) for p, q in counterfactuals(text)]
-                moved = [(sorted(p - q), sorted(q - p)) for p, q in pairs if p != q]
-                ups.append([p for p, _ in moved])
-                downs.append([q for _, q in moved])
-            yield pd.DataFrame({"y": b["y"], "x": xs, "up": ups, "down": downs})
-
-    got = rows.mapInPandas(vectors, "y int, x array<int>, up array<array<int>>, down array<array<int>>").collect()
+                xs.append(sorted(v.indices(distinct_words(text))))
+                pairs = ((v.indices(p), v.indices(q)) for p, q in counterfactuals(text))
+                # sentences that differ in the same features count together: a row's pairs are few, however long its text
+                moved = Counter((tuple(sorted(p - q)), tuple(sorted(q - p))) for p, q in pairs if p != q)
+                swaps.append([{"up": list(p), "down": list(q), "n": n} for (p, q), n in sorted(moved.items())])
+            yield pd.DataFrame({"y": b["y"], "x": xs, "swaps": swaps})
+
+    got = rows.mapInPandas(vectors, "y int, x array<int>, swaps array<struct<up:array<int>,down:array<int>,n:long>>").collect()
     got.sort(key=lambda r: (r["y"], r["x"]))
-    swaps = [(p, q) for r in got for p, q in zip(r["up"], r["down"], strict=True)]
-    return train(features, [r["x"] for r in got], [r["y"] for r in got], swaps)
+    times: Counter = Counter()
+    for r in got:
+        for x in r["swaps"]:
+            times[tuple(x["up"]), tuple(x["down"])] += x["n"]
+    return train(features, [r["x"] for r in got], [r["y"] for r in got], sorted(times.items()))
 
 
-def train(features: list[str], xs: list[list[int]], ys: list[int], swaps: list[tuple[list[int], list[int]]]) -> Model:
-    """Adam on the mean log loss + RIDGE * |w|^2 / 2n' + COUNTERFACTUAL * mean squared logit difference of the swapped sentences."""
+def train(features: list[str], xs: list[list[int]], ys: list[int], swaps: list[tuple[tuple[tuple, tuple], int]]) -> Model:
+    """Adam on the mean log loss + RIDGE * |w|^2 / 200 + COUNTERFACTUAL * mean squared logit difference of the swapped sentences.
+
+    ``swaps`` has ((features that a swap takes, features that it brings), sentences) for each distinct pair.
+    """
     m, n = len(features), len(xs)
+    times = np.array([k for _, k in swaps], float)
+    swaps = [pair for pair, _ in swaps]
     row = np.repeat(np.arange(n), [len(x) for x in xs])
     col = np.fromiter((i for x in xs for i in x), np.int64, len(row))
     y = np.array(ys, float)
@@ -196,8 +215,8 @@ def train(features: list[str], xs: list[list[int]], ys: list[int], swaps: list[t
         err = (p - y) / n
         g = np.bincount(col, err[row], m) + RIDGE * w / 100
         if swaps:
-            diff = np.bincount(s_row, w[s_col] * s_sign, len(swaps))
-            g += COUNTERFACTUAL * 2 / len(swaps) * np.bincount(s_col, diff[s_row] * s_sign, m)
+            diff = np.bincount(s_row, w[s_col] * s_sign, len(swaps)) * times
+            g += COUNTERFACTUAL * 2 / times.sum() * np.bincount(s_col, diff[s_row] * s_sign, m)
         g = np.append(g, err.sum())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         step = 0.1 * min(1.0, 2 * (1 - t / (STEPS + 1))) * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)

@@ -43,8 +43,7 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert sum(g["predicted"] == truth[g["doc_id"]] for g in held) / len(held) > 0.97
     by = {g["doc_id"]: g for g in got}
     assert by[5000]["score"] == by[5001]["score"] and by[5002]["predicted"] == 1 and by[None]["predicted"] == 1
-    kept = tx.reject.__wrapped__ if hasattr(tx.reject, "__wrapped__") else None
-    assert kept is None and all(0 <= g["score"] <= 1 and g["predicted"] == (g["score"] >= 0.5) for g in got)
+    assert all(0 <= g["score"] <= 1 and g["predicted"] == (g["score"] >= 0.5) for g in got)
 
 
 def test_counterfactual_pairs_lower_the_weight_of_groups():
@@ -55,7 +54,7 @@ def test_counterfactual_pairs_lower_the_weight_of_groups():
     for (_, t, *_), (_, _, y) in zip(docs, labels, strict=True):
         xs.append(sorted(v.indices(tx.words_of(t))))
         ys.append(y)
-        swaps += [(sorted(v.indices(p) - v.indices(q)), sorted(v.indices(q) - v.indices(p))) for p, q in tx.counterfactuals(t)]
+        swaps += [((sorted(v.indices(p) - v.indices(q)), sorted(v.indices(q) - v.indices(p))), 1) for p, q in tx.counterfactuals(t)]
     with_, without = tx.train(features, xs, ys, swaps), tx.train(features, xs, ys, [])
     gap = lambda m: abs(m.weights[0] - m.weights[1])
     assert gap(with_) < 0.35 * gap(without)
@@ -63,8 +62,8 @@ def test_counterfactual_pairs_lower_the_weight_of_groups():
 
 
 def test_swaps():
-    assert tx.counterfactuals("Women sang. None here! The black cat") == [(["women", "sang"], ["men", "sang"]), (["the", "black", "cat"], ["the", "white", "cat"])]
-    assert tx.counterfactuals(None) == []
+    assert list(tx.counterfactuals("Women sang. None here! The black cat")) == [(["women", "sang"], ["men", "sang"]), (["the", "black", "cat"], ["the", "white", "cat"])]
+    assert list(tx.counterfactuals(None)) == []
 
 
 @pytest.mark.parametrize("which", ["none", "one_label"])
@@ -85,3 +84,28 @@ def test_reject(spark, tmp_path):
     ids = {r["doc_id"] for r in kept.collect()}
     toxic = {i for i, _, y in labels if y}
     assert len(ids & toxic) <= 0.03 * len(toxic) and len(ids) >= 0.97 * (600 - len(toxic))
+
+
+def test_reject_keeps_what_the_score_keeps(spark, tmp_path):
+    docs, labels = rows(400, 8)
+    d, lab = frames(spark, docs + [(900, None, None, None, None, None), (901, "", "en", "s", 0, 0.0)], labels)
+    lab.write.parquet(str(tmp_path / "labels.parquet"))
+    kept = sorted(r["doc_id"] for r in tx.reject(spark, d, str(tmp_path)).collect())
+    assert kept == sorted(r["doc_id"] for r in tx.score(d, tx.fit(d, lab)).collect() if r["score"] < 0.5)
+
+
+def test_counted_pairs_weigh_as_single_ones(monkeypatch):
+    xs, ys = [[0, 2], [1], [0], [2], [1, 2]], [1, 0, 1, 0, 0]
+    one = [(((0,), (1,)), 1)] * 3 + [(((2,), ()), 1)]
+    several = [(((0,), (1,)), 3), (((2,), ()), 1)]
+    a, b = tx.train(list("abc"), xs, ys, one), tx.train(list("abc"), xs, ys, several)
+    assert a.weights == pytest.approx(b.weights) and a.bias == pytest.approx(b.bias)
+
+
+def test_pieces_change_nothing(monkeypatch):
+    from lodestrata.llm import common
+
+    text = "The IDIOT and  the women\n" * 20
+    want = tx.distinct_words(text)
+    monkeypatch.setattr(common, "PIECE_CHARS", 9)
+    assert tx.distinct_words(text) == want == set(tx.words_of(text))
