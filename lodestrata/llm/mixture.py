@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import frozen, table
-from .prefix import running
+from .prefix import buckets, running
 
 #: Weights by rank of the source's name, repeating.
 WEIGHTS = (5, 2, 1)
@@ -89,7 +89,9 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = MAX_EPOCHS) -> Da
     goal = frozen(goal.withColumnRenamed("source", "_s"))
     same = F.col("source").eqNullSafe(F.col("_s"))
     keys = own.groupBy("source", "doc_id", "h").agg(F.sum("size").alias("w")).withColumn("k", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    placed = running(keys, ["source"], F.conv(F.substring("k", 1, 2), 16, 10), [F.col("k"), F.col("doc_id"), F.col("h")], F.col("w"), "start")
+    # the first 32 bits of the order, cut evenly into as many buckets as the rows ask for
+    cut = F.shiftright(F.conv(F.substring("k", 1, 8), 16, 10).cast("long") * buckets(own.count()), 32)
+    placed = running(keys, ["source"], cut, [F.col("k"), F.col("doc_id"), F.col("h")], F.col("w"), "start")
     # goals have a row for each source: Spark broadcasts them while they are few
     placed = placed.join(goal, same).withColumn("once", (F.col("start") + F.col("w") / 2 <= F.col("rest")) & (F.col("whole") < cap) & (F.col("rest") > 0))
     placed = frozen(placed)
@@ -142,12 +144,16 @@ def curriculum(docs: DataFrame, slopes: tuple = SLOPES, out: str = "position", *
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6: target and taken words of every document, in training order."""
-    return training_order(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """op6: what the curriculum takes of every document, in training order: ``taken`` is its size in each round that has a position for it.
+
+    ``position`` and ``last_position`` are those of its first and last round, null where no round takes it.
+    """
+    rows = training_order(table(spark, sf_dir, "documents")).withColumn("taken", F.col("size") * F.size("positions"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), F.get("positions", F.size("positions") - 1).alias("last_position"))
 
 
 def positions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6 with the positions of every taken round, which the columns of its SQL leave out."""
+    """op6 with the positions of every taken round as one column."""
     return training_order(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "positions")
 
 
@@ -185,7 +191,17 @@ WITH d AS (
 ), c AS (
   SELECT source, arg_min(doc_id, (abs(size - abs(off)), k, doc_id)) AS flip FROM r
   WHERE once = (off < 0) AND size > 0 AND whole < 3 AND abs(size - abs(off)) < abs(off) GROUP BY source
+), e AS (
+  SELECT r.*, r.whole + CASE WHEN r.once <> (c.flip IS NOT NULL) THEN 1 ELSE 0 END AS epochs
+  FROM r LEFT JOIN c ON r.source IS NOT DISTINCT FROM c.source AND r.doc_id = c.flip
+), x AS (
+  SELECT *, CASE rank % 3 WHEN 0 THEN -0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS slope,
+    CASE WHEN target > 0 THEN least(CAST(start AS DOUBLE) / target, 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS a,
+    CASE WHEN target > 0 THEN least(CAST((epochs - 1) * source_size + start AS DOUBLE) / target, 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS z
+  FROM e JOIN (SELECT source AS _s, rank FROM s) ON source IS NOT DISTINCT FROM _s
 )
-SELECT r.doc_id, r.size, r.source_size, r.target, CAST((r.whole + CASE WHEN r.once <> (c.flip IS NOT NULL) THEN 1 ELSE 0 END) * r.size AS BIGINT) AS taken
-FROM r LEFT JOIN c ON r.source IS NOT DISTINCT FROM c.source AND r.doc_id = c.flip
+SELECT doc_id, size, source_size, target, CAST(epochs * size AS BIGINT) AS taken,
+  CASE WHEN epochs > 0 THEN 2 * a / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * a)) END AS position,
+  CASE WHEN epochs > 0 THEN 2 * z / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * z)) END AS last_position
+FROM x
 """

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets into which each group's order is cut.
-BUCKETS = 256
+#: Buckets into which each group's order is cut at least, and rows of one bucket beyond that: if one group has all rows, a window still holds no more.
+BUCKETS, BUCKET_ROWS = 256, 200_000
+
+
+def buckets(rows: int) -> int:
+    """The buckets for a table of so many rows."""
+    return max(BUCKETS, -(-rows // BUCKET_ROWS))
 
 
 def running(df: DataFrame, group: list[str], bucket: Column, order: list[Column], value: Column, out: str) -> DataFrame:
     """df with ``out``: the sum of ``value`` over the rows of the same group that come before.
 
-    ``bucket`` (0 to BUCKETS - 1) must not fall along the order. The sums of the
+    ``bucket`` (a number, of about ``buckets`` values) must not fall along the order. The sums of the
     buckets are added up first, then the rows of each bucket: a window holds one
     bucket of one group, or one row for each bucket.
     """

@@ -102,5 +102,17 @@ def test_queries_give_the_training_order(spark, tmp_path):
     placed = mx.curriculum(spark.read.parquet(f"{tmp_path}/documents.parquet")).select("doc_id", "position").collect()
     assert sorted((str(g["doc_id"]), x) for g in got for x in g["positions"]) == sorted((str(g["doc_id"]), g["position"]) for g in placed)
     own = mx.query(spark, str(tmp_path))
-    assert own.columns == ["doc_id", "size", "source_size", "target", "taken"]
-    assert [tuple(g) for g in own.collect()] == [tuple(g)[:5] for g in got]
+    assert own.columns == ["doc_id", "size", "source_size", "target", "taken", "position", "last_position"]
+    ends = lambda x: (x[0], x[-1]) if x else (None, None)
+    assert [tuple(g) for g in own.collect()] == [(*tuple(g)[:5], *ends(g["positions"])) for g in got]
+
+
+def test_buckets_grow_with_rows_and_change_nothing(spark, monkeypatch):
+    from lodestrata.llm import prefix
+
+    assert prefix.buckets(10) == prefix.BUCKETS and prefix.buckets(10**11) == 500_000
+    rows = corpus(3, ["a", "b"])
+    key = lambda g: (str(g["doc_id"]), g["start"], g["taken"])
+    want = sorted(map(key, mx.plan(frame(spark, rows)).collect()))
+    monkeypatch.setattr(prefix, "BUCKET_ROWS", 1)
+    assert sorted(map(key, mx.plan(frame(spark, rows)).collect())) == want
