@@ -12,23 +12,26 @@ import os
 import re
 from collections import deque
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, table
+from .common import pieces, short_batches, table
 
 #: Where the public vocabularies are; a parameter of ``query``.
 TOKENIZERS = "/opt/tokenizers"
-VOCABULARY = "word_bpe_49k.json"
+VOCABULARY = "byte_bpe_50k.json"
 #: Marks a piece that continues a word, in vocabularies given as lists of pieces.
 CONTINUED = "##"
 #: Words whose counts a worker remembers.
 CACHE = 300_000
 #: Words are runs of letters, marks and digits, or single other characters; white space parts them.
-_WORD = re.compile(r"[^\W_]+|[^\w\s]|_")
+_WORD, _SPACED = re.compile(r"[^\W_]+|[^\w\s]|_"), re.compile(r" ?(?:[^\W_]+|[^\w\s]|_)")
+#: The end of a word, where a vocabulary marks it: no byte and no letter.
+END = "\U0010ffff"
 
 
 class Automaton:
@@ -130,12 +133,31 @@ def as_bytes(word: str) -> str:
     return word.encode("utf-8", "replace").decode("latin-1")
 
 
+@dataclass(frozen=True)
+class Form:
+    """How a vocabulary writes words: whether in bytes, with the blank before them, with a mark at their end, in lower case."""
+
+    byte_level: bool = False
+    spaced: bool = False
+    ended: bool = False
+    lower: bool = True
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text or of a piece of one; a spaced form keeps the one blank that stands before a word."""
+        return (_SPACED if self.spaced else _WORD).findall(text.lower() if self.lower else text)
+
+    def spell(self, word: str) -> str:
+        """What pieces are matched against."""
+        return (as_bytes(word) if self.byte_level else word) + (END if self.ended else "")
+
+
 @lru_cache(2)
-def load(path: str) -> tuple[frozenset[str], frozenset[str], bool]:
-    """(starts, rest, byte_level) of a tokenizer's JSON file; read on the driver, as workers need not have it.
+def load(path: str) -> tuple[frozenset[str], frozenset[str], Form]:
+    """(starts, rest, form) of a tokenizer's JSON file; read on the driver, as workers need not have it.
 
-    A vocabulary with word ends has pieces for the end of a word (marked) and
-    for elsewhere; here every piece may stand anywhere, without its mark. Those of
+    The vocabulary's marks are kept as conditions: the mark of a word's end is a
+    character that only the end of a word has, the blank of byte-level vocabularies without such a mark is one that only
+    a word after a blank has, and a prefix of continuing pieces tells starts from the rest. Pieces of
     byte-level vocabularies are returned with a character for each byte.
     """
     with open(path, encoding="utf-8") as f:
@@ -143,29 +165,33 @@ def load(path: str) -> tuple[frozenset[str], frozenset[str], bool]:
     model = whole["model"]
     mark, end = model.get("continuing_subword_prefix") or "", model.get("end_of_word_suffix") or ""
     special = {x["content"] for x in whole.get("added_tokens") or []}
-    pieces = [p.removesuffix(end) if end else p for p in model["vocab"] if p not in special]
     byte_level = "ByteLevel" in json.dumps(whole.get("pre_tokenizer"))
-    if byte_level:
-        letters = byte_letters()
-        pieces = ["".join(map(letters.__getitem__, p)) for p in pieces if all(c in letters for c in p)]
-    starts, rest = pieces_of(pieces, mark) if mark else (pieces, pieces)
-    return frozenset(starts), frozenset(rest), byte_level
+    letters = byte_letters()
+    found = []
+    for p in model["vocab"]:
+        plain = p.removesuffix(end) if end else p
+        if p in special or byte_level and not all(c in letters for c in plain):
+            continue
+        found.append(("".join(map(letters.__getitem__, plain)) if byte_level else plain) + (END if plain != p else ""))
+    starts, rest = pieces_of(found, mark) if mark else (found, found)
+    form = Form(byte_level, byte_level and not end, bool(end), "Lowercase" in json.dumps(whole.get("normalizer")) or not byte_level)
+    return frozenset(starts), frozenset(rest), form
 
 
 def words_of(text: str | None) -> list[str]:
     """Words of the lower-cased text."""
-    return _WORD.findall((text or "").lower())
+    return Form().words(text or "")
 
 
-def token_counts(docs: DataFrame, starts: Iterable[str], rest: Iterable[str], byte_level: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_tokens, n_unknown) of every row's whole text.
+def token_counts(docs: DataFrame, starts: Iterable[str], rest: Iterable[str], form: Form | None = None) -> DataFrame:
+    """(doc_id, n_words, n_tokens, n_unknown) of every row's whole text, which is cut into words piece by piece.
 
     A null or wordless text has no tokens; repeated rows stay; an empty table
     gives none. The vocabulary is sent to every task (a tokenizer's, of a fixed
     size); tasks build the automaton once and remember a bounded number of words.
     """
     short_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast((tuple(starts), tuple(rest)))
+    held, form = docs.sparkSession.sparkContext.broadcast((tuple(starts), tuple(rest))), form or Form()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton, known = Automaton(*held.value), {}
@@ -173,22 +199,23 @@ def token_counts(docs: DataFrame, starts: Iterable[str], rest: Iterable[str], by
         for b in batches:
             out = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                words = words_of(text)
-                new = set(words).difference(known)
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                    new = set(words)
-                for w in new:
-                    piece = as_bytes(w) if byte_level else w
-                    n = automaton.count(piece)
-                    # a whole word that is a piece also counts 1: only the others are unknown
-                    known[w] = (n, n == 1 and piece not in begin)
-                tokens = unknown = 0
-                for w in words:
-                    n, miss = known[w]
-                    tokens += n
-                    unknown += miss
-                out.append((doc, len(words), tokens, unknown))
+                n_words = tokens = unknown = 0
+                for part in pieces(text):
+                    words = form.words(part)
+                    new = set(words).difference(known)
+                    if len(known) + len(new) > CACHE:
+                        known.clear()
+                        new = set(words)
+                    for w in new:
+                        piece = form.spell(w)
+                        n = automaton.count(piece)
+                        # a whole word that is a piece also counts 1: only the others are unknown
+                        known[w] = (n, n == 1 and piece not in begin)
+                    n_words += len(words)
+                    for n, miss in map(known.__getitem__, words):
+                        tokens += n
+                        unknown += miss
+                out.append((doc, n_words, tokens, unknown))
             frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_tokens", "n_unknown"])
             yield frame.astype({"doc_id": "Int64", "n_words": "int64", "n_tokens": "int64", "n_unknown": "int64"})
 
@@ -198,5 +225,5 @@ def token_counts(docs: DataFrame, starts: Iterable[str], rest: Iterable[str], by
 
 def query(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """op7: greedy word-piece counts of every document."""
-    starts, rest, byte_level = load(vocabulary or os.path.join(TOKENIZERS, VOCABULARY))
-    return token_counts(table(spark, sf_dir, "documents"), sorted(starts), sorted(rest), byte_level)
+    starts, rest, form = load(vocabulary or os.path.join(TOKENIZERS, VOCABULARY))
+    return token_counts(table(spark, sf_dir, "documents"), sorted(starts), sorted(rest), form)

@@ -50,10 +50,36 @@ def test_token_counts(spark, monkeypatch):
 @pytest.mark.skipif(not os.path.exists(os.path.join(wp.TOKENIZERS, wp.VOCABULARY)), reason="no vocabulary file here")
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.001"
-    starts, rest, byte_level = wp.load(os.path.join(wp.TOKENIZERS, wp.VOCABULARY))
-    assert byte_level
+    starts, rest, form = wp.load(os.path.join(wp.TOKENIZERS, wp.VOCABULARY))
+    assert form == wp.Form(byte_level=True, spaced=True, lower=False)
     got = {g["doc_id"]: g for g in wp.query(spark, sf).collect()}
     for d in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
-        counts = [wp.greedy(wp.as_bytes(w), starts, rest) for w in wp.words_of(d["text"])]
+        counts = [wp.greedy(form.spell(w), starts, rest) for w in form.words(d["text"])]
         assert got[d["doc_id"]]["n_unknown"] == 0
-        assert got[d["doc_id"]]["n_tokens"] == sum(counts) and got[d["doc_id"]]["n_words"] == len(counts)
+        assert got[d["doc_id"]]["n_tokens"] == sum(counts) and got[d["doc_id"]]["n_words"] == len(wp.words_of(d["text"]))
+
+
+@pytest.mark.skipif(not os.path.exists(os.path.join(wp.TOKENIZERS, wp.VOCABULARY)), reason="no vocabulary file here")
+def test_marks_are_conditions():
+    starts, rest, form = wp.load(os.path.join(wp.TOKENIZERS, wp.VOCABULARY))
+    a = wp.Automaton(starts, rest)
+    # a blank belongs to the word after it; without one the marked piece doesn't fit
+    assert form.words("Hello, hello  x") == ["Hello", ",", " hello", " x"]
+    assert " hello" in starts and a.count(form.spell(" hello")) == 1 and a.count(form.spell("\U0001f600")) > 1
+    starts, rest, form = wp.load(os.path.join(wp.TOKENIZERS, "word_bpe_49k.json"))
+    assert form == wp.Form(byte_level=True, ended=True) and form.spell("é") == "\xc3\xa9" + wp.END
+    a = wp.Automaton(starts, rest)
+    for w in ("the", "unbelievable", "zzzzz", "a"):
+        assert a.count(form.spell(w)) == wp.greedy(form.spell(w), starts, rest)
+
+
+def test_pieces_change_nothing(spark, monkeypatch):
+    from lodestrata.llm import common
+
+    rows = [(i, "ab  a b!x\tAB " * i) for i in range(9)]
+    form = wp.Form(spaced=True)
+    count = lambda: [tuple(g) for g in wp.token_counts(frame(spark, rows), {"ab", " a", "a", "b", " "}, {"b", "a"}, form).orderBy("doc_id").collect()]
+    want = count()
+    monkeypatch.setattr(common, "PIECE_CHARS", 6)
+    assert sum((form.words(p) for p in common.pieces(rows[8][1])), []) == form.words(rows[8][1])
+    assert count() == want
