@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import frozen, table
-from .prefix import running
+from .prefix import BUCKET_ROWS, running
 
 SHARDS = 24
 #: Bytes that a row takes besides its text.
@@ -21,8 +21,10 @@ ROW_BYTES = 8
 MAX_SUMS, TOLERANCE = 1 << 16, 0.0005
 #: A group of equal texts stays together up to this part of a shard's bytes; larger ones are cut into parts of about that size.
 GROUP_PART = 0.125
-#: Buckets in which a shard's slots are counted out.
+#: Buckets in which a shard's slots are counted out, at least.
 SLOT_BUCKETS = 64
+#: Groups of many equal texts that are broadcast; more are joined by their hash.
+MAX_BROADCAST = 200_000
 #: Bits by which ties of a dimension are parted.
 TIE_BITS = 24
 NEVER = 2**62
@@ -31,14 +33,14 @@ NEVER = 2**62
 def text_dimensions(text: Column) -> dict[str, Column]:
     """The dimensions of the registered query: metadata that equal texts share, each under 2**38."""
     plain = F.coalesce(text.cast("string"), F.lit(""))
-    return {"bytes": F.octet_length(plain).cast("long"), "crc": F.crc32(F.encode(plain, "UTF-8"))}
+    return {"bytes": F.octet_length(plain).cast("long"), "chars": F.length(plain).cast("long")}
 
 
 class Tree:
     """Levels of splits. A level has for each node the dimension, the cut and the number of its left child; right is the next."""
 
     def __init__(self, dims: list[str]):
-        self.dims, self.levels = dims, []
+        self.dims, self.levels, self.rows = dims, [], 0
 
     def value(self, which: list[int], node: Column) -> Column:
         return F.element_at(F.array(*[F.col(d) for d in self.dims]), _at(which, node) + 1)
@@ -118,7 +120,7 @@ def planned(docs: DataFrame, dims: dict[str, Column], shards: int = SHARDS, targ
 
     With target_bytes, there are as many shards as bring leaves down to it. Rows
     with equal dimensions and text form a unit; a unit of more than GROUP_PART
-    of a shard (there are at most shards / GROUP_PART such) is cut in parts by the hash of doc_id, so no group overfills a leaf.
+    of a shard (there are at most shards / GROUP_PART such, joined as a table) is cut in parts by the hash of doc_id, so no group overfills a leaf.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     names = [f"_d{i}" for i in range(len(dims))]
@@ -126,26 +128,33 @@ def planned(docs: DataFrame, dims: dict[str, Column], shards: int = SHARDS, targ
     for name, c in zip(names, dims.values(), strict=True):
         rows = rows.withColumn(name, F.coalesce(c.cast("long"), F.lit(0)))
     slim = frozen(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "_h", *names))
-    total = slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total, n = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     if target_bytes:
         shards = max(1, -(-total // target_bytes))
     limit = max(1, int(GROUP_PART * total / shards))
     groups = frozen(slim.groupBy("_h", *names).agg(F.sum("size").alias("w")))
-    hot = {r["_h"]: -(-r["w"] // limit) for r in groups.groupBy("_h").agg(F.sum("w").alias("w")).filter(F.col("w") > limit).collect()}
-    parts = F.lit(1)
-    for h, n in sorted(hot.items()):
-        parts = F.when(F.col("_h") == h, F.lit(n)).otherwise(parts)
+    hot = groups.groupBy("_h").agg(F.sum("w").alias("w")).filter(F.col("w") > limit)
+    hot = frozen(hot.select(F.col("_h").alias("_hot"), F.ceil(F.col("w") / limit).cast("long").alias("_parts")))
+    n_hot = hot.count()
+    hot = F.broadcast(hot) if n_hot <= MAX_BROADCAST else hot
 
     def keyed(df: DataFrame) -> DataFrame:
-        part = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("part")), parts) if hot else F.lit(0)
-        df = df.withColumn("_t", F.pmod(F.xxhash64("_h", part), F.lit(1 << TIE_BITS)))
-        return df.select(*[c for c in df.columns if c not in names and c != "_t"], *[(F.col(d) * (1 << TIE_BITS) + F.col("_t")).alias(d) for d in names])
+        df = df.join(hot, F.col("_h") == F.col("_hot"), "left") if n_hot else df.withColumn("_parts", F.lit(1))
+        part = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("part")), F.coalesce("_parts", F.lit(1)))
+        df = df.withColumn("_t", F.pmod(F.xxhash64("_h", part.cast("long")), F.lit(1 << TIE_BITS)))
+        left = [c for c in df.columns if c not in (*names, "_t", "_hot", "_parts")]
+        return df.select(*left, *[(F.col(d) * (1 << TIE_BITS) + F.col("_t")).alias(d) for d in names])
 
     # copies are summed up before the tree is grown
     tree = grow(keyed(slim).groupBy(*names).agg(F.sum("size").alias("weight")), names, shards)
+    tree.rows = n
     return keyed(rows).drop("_h"), tree
 
 
+def _slot_bucket(tree: Tree) -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.col("size")), F.lit(max(SLOT_BUCKETS, -(-tree.rows // BUCKET_ROWS))))
+
+
 def sharded(docs: DataFrame, dims: dict[str, Column] | None = None, shards: int = SHARDS, target_bytes: int | None = None) -> DataFrame:
     """docs with ``size``, ``shard`` and ``slot``; slots count each shard's rows from 0 without gaps.
 
@@ -157,8 +166,7 @@ def sharded(docs: DataFrame, dims: dict[str, Column] | None = None, shards: int
     docs = docs.drop("size", "shard", "slot")
     rows, tree = planned(docs, dims or text_dimensions(F.col("text")), shards, target_bytes)
     placed = tree.leaf(rows, "shard").drop(*tree.dims)
-    bucket = F.pmod(F.xxhash64(F.col("doc_id"), F.col("size")), F.lit(SLOT_BUCKETS))
-    return running(placed, ["shard"], bucket, [F.col("doc_id"), F.col("size")], F.lit(1), "slot").withColumn("slot", F.col("slot").cast("long"))
+    return running(placed, ["shard"], _slot_bucket(tree), [F.col("doc_id"), F.col("size")], F.lit(1), "slot").withColumn("slot", F.col("slot").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,8 +177,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = docs.select("doc_id", "text", F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     rows, tree = planned(slim, text_dimensions(F.col("text")))
     placed = tree.leaf(rows.drop("text"), "shard").drop(*tree.dims)
-    bucket = F.pmod(F.xxhash64("doc_id", "size"), F.lit(SLOT_BUCKETS))
-    placed = running(placed, ["shard"], bucket, [F.col("doc_id"), F.col("text_crc32")], F.lit(1), "slot")
+    placed = running(placed, ["shard"], _slot_bucket(tree), [F.col("doc_id"), F.col("text_crc32")], F.lit(1), "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
