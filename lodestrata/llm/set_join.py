@@ -24,12 +24,12 @@ from .components import components
 SAMPLE_ROWS, MAX_COMMON = 8_000, 100_000
 #: Classes that share a member are all paired up to this number; more are linked to two of them first.
 GROUP = 32
-#: Classes of a large group that one task holds of each side, and pairs that it looks at at once.
-BLOCK, RUN_PAIRS = 1_024, 1_000_000
+#: Members (hashes) of the sets that one task holds of each side when the components of a large group are compared.
+BLOCK = 1 << 18
 #: Rows of three numbers that are broadcast; more are joined by shuffling the texts.
 MAX_BROADCAST = 200_000
 #: Entries of one bucket.
-BUCKET_ENTRIES = 1_000_000
+BUCKET_ENTRIES = 250_000
 
 #: What turns a text into (its ascending set of hashes, a fingerprint that only ``early`` reads); made once in each task.
 Sets = Callable[[], Callable[[str | None], tuple[np.ndarray, int]]]
@@ -160,8 +160,8 @@ def near_sets(docs: DataFrame, sets: Sets, least: float, group: int = GROUP, by_
     Rows joined by a chain of texts whose sets have a Jaccard of ``least`` or
     more share a component; those of the same set share a class. Both are named by
     their smallest doc_id (null only if all are null). Every such pair is in reach. Where more
-    than ``group`` classes share a member, each is first compared with two of them, and then with those
-    that it isn't joined to by then, block against block. Texts without members are alike.
+    than ``group`` classes share a member, each is first compared with two of them; what lies outside the
+    largest component by then is held against all of them, block against block. Texts without members are alike.
 
     ``by_length`` also parts the groups by the sets' lengths: a set meets those of its own partition and the next.
     ``early`` gives candidates (a, b) from classes (key, fp), which are compared first: what they join isn't compared again.
@@ -217,66 +217,168 @@ def near_sets(docs: DataFrame, sets: Sets, least: float, group: int = GROUP, by_
         _, start, size = np.unique(x["s"], return_index=True, return_counts=True)
         first, of = np.repeat(start, size), np.repeat(size, size)
         x, first, of = x[of > 1], (first - np.cumsum(of == 1)[first])[of > 1], of[of > 1]
-        at, small, out = np.arange(len(x)), of <= group, []
+        at, small, out, made = np.arange(len(x)), of <= group, [], 0
         for d in range(1, min(group, int(of.max(initial=1)))):
             i = at[(at - first + d < of) & (small | (d == 1))]
             out.append(_pairs(x, i, x, i + d, least))
+            made += len(out[-1])
+            if made > 500_000:
+                out = [pd.concat(out).drop_duplicates()]
+                made = 0
         i = at[~small & (at > first)]
         out.append(_pairs(x, first[i], x, i, least))
         pairs = pd.concat(out).drop_duplicates()
-        large = x[~small]
-        return pd.concat([
-            pd.DataFrame({"a": pairs["a"], "b": pairs["b"], "s": 0, "n": 0, "p": 0, "large": False}),
-            pd.DataFrame({"a": large["key"], "b": large["key"], "s": large["s"].view(np.int64), "n": large["n"], "p": large["p"], "large": True}),
-        ])
+        # the members of large groups go on as arrays, group after group
+        members = np.empty(int((~small).sum()), _MEMBER)
+        for c in _MEMBER.names:
+            members[c] = x[c][~small]
+        large = [g.tobytes() for g in np.split(members, np.flatnonzero(members["s"][1:] != members["s"][:-1]) + 1) if len(g)]
+        return pd.concat([pd.DataFrame({"a": pairs["a"], "b": pairs["b"], "group": None}), pd.DataFrame({"a": 0, "b": 0, "group": large})])
 
     dealt = own.filter("n > 0").select("key", "n", "prefix").mapInPandas(deal, "bucket long, entries binary")
-    met = frozen(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "a long, b long, s long, n int, p int, large boolean"))
-    pairs = met.filter("not large").select("a", "b").distinct()
+    met = frozen(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "a long, b long, group binary"))
+    pairs = met.filter("group is null").select("a", "b").distinct()
     pairs = frozen(pairs if parts is None else _apart(pairs, parts))
     more = alike(pairs, classes, texts, sets, least)
     linked = frozen(more if linked is None else linked.union(more))
     parts = components(linked)
-    large = met.filter("large").select(F.col("a").alias("key"), "s", "n", "p")
-    if not large.isEmpty():
-        rest = frozen(_apart(_across(large, parts, least), parts).distinct().join(pairs, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            parts = components(linked.union(alike(rest, classes, texts, sets, least)))
+    groups = met.filter("group is not null").select("group")
+    if not groups.isEmpty():
+        more = _across(groups, parts, classes, texts, sets, least)
+        if not more.isEmpty():
+            parts = components(linked.union(more))
     named = classes.select("key", "low").join(parts.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     of_root = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of_key = named.join(of_root, "root").select("key", F.col("low").alias("class_id"), "component_id")
     return own.select("doc_id", "h", "key").join(of_key, "key").select("doc_id", "h", "class_id", "component_id")
 
 
-def _across(large: DataFrame, parts: DataFrame, least: float) -> DataFrame:
-    """(a, b): candidates between the components that a large group holds; groups that hang together already have none.
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For nodes 0..n-1 and links a-b: the smallest node of each one's component, and which links suffice to join them all (a spanning forest)."""
+    root, used = np.arange(n), []
+    left = np.arange(len(a))
+    while True:
+        ra, rb = root[a[left]], root[b[left]]
+        apart = ra != rb
+        left, low, high = left[apart], np.minimum(ra, rb)[apart], np.maximum(ra, rb)[apart]
+        if not len(left):
+            return root, np.concatenate(used) if used else np.zeros(0, np.int64)
+        # each larger root hooks itself by one link to the smallest root that it meets
+        order = np.lexsort((low, high))
+        first = order[np.concatenate(([True], high[order][1:] != high[order][:-1]))]
+        root[high[first]] = low[first]
+        used.append(left[first])
+        while (root[root] != root).any():
+            root = root[root]
 
-    A group is cut into blocks of about BLOCK classes, and each pair of its blocks is a row group of its own: no task holds a group.
+
+_MEMBER = np.dtype([("s", "<u8"), ("key", "<i8"), ("n", "<i4")])
+
+
+def _open_groups(groups: DataFrame, parts: DataFrame) -> DataFrame:
+    """(hub, key, n, root): the classes of the large groups that lie in several components, by the group's hub.
+
+    The hub is the member of the smallest hash: groups of the same or nearly the same members, of which a set of
+    near copies has many, mostly share it, and so are looked at once. Components come by broadcast
+    while they have few nodes, else by a join of the groups' members.
     """
-    named = large.join(parts.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    sizes = named.groupBy("s").agg(F.min("root").alias("l"), F.max("root").alias("m"), F.count("*").alias("size")).filter("l <> m")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = named.join(sizes.select("s", blocks.alias("blocks")), "s").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    schema = "hub long, key long, n int, root long"
+
+    def hubs(x: np.ndarray, root: np.ndarray) -> pd.DataFrame:
+        mixed = x["key"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return pd.DataFrame({"hub": x["key"][(mixed ^ (mixed >> np.uint64(32))).argmin()], "key": x["key"], "n": x["n"], "root": root})
+
+    none = pd.DataFrame({"hub": [], "key": [], "n": [], "root": []}, dtype=np.int64)
+    parts = frozen(parts)
+    if parts.count() <= MAX_BROADCAST:
+        rows = parts.select("node", "root").toPandas().sort_values("node")
+        held = groups.sparkSession.sparkContext.broadcast((rows["node"].to_numpy(np.int64), rows["root"].to_numpy(np.int64)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            node, root = held.value
+            for b in batches:
+                out = []
+                for packed in b["group"]:
+                    x = np.frombuffer(packed, _MEMBER)
+                    at = np.minimum(np.searchsorted(node, x["key"]), len(node) - 1)
+                    own = np.where(node[at] == x["key"], root[at], x["key"]) if len(node) else x["key"]
+                    if (own != own[0]).any():
+                        out.append(hubs(x, own))
+                yield pd.concat(out).drop_duplicates() if out else none
+
+        return groups.mapInPandas(run, schema).distinct()
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for packed in b["group"]:
+                x = np.frombuffer(packed, _MEMBER)
+                yield hubs(x, x["s"].view(np.int64)).rename(columns={"root": "s"})
+
+    rows = groups.mapInPandas(spread, "hub long, key long, n int, s long")
+    rows = rows.join(parts.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    open_ = rows.groupBy("s").agg(F.min("root").alias("l"), F.max("root").alias("m")).filter("l <> m").select("s")
+    return rows.join(open_, "s").select("hub", "key", "n", "root").distinct()
+
+
+def _across(groups: DataFrame, parts: DataFrame, classes: DataFrame, texts: DataFrame, sets: Sets, least: float) -> DataFrame:
+    """(u, v): links between the components that large groups hold, as forests; groups that hang together have none left to find.
+
+    Of a hub's classes those outside its main component are held against all, in blocks of both
+    of about BLOCK hashes: a task compares the sets of two blocks and gives fewer links than it has classes.
+    """
+    rows = frozen(_open_groups(groups, parts))
+    if rows.isEmpty():
+        return rows.select(F.col("key").alias("u"), F.col("root").alias("v"))
+    of_root = rows.groupBy("hub", "root").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    main = of_root.groupBy("hub").agg(F.max(F.struct("k", "root", "n")).alias("m"), F.sum("n").alias("all"))
+    main = main.select("hub", F.col("m.root").alias("main"), "all", (F.col("all") - F.col("m.n")).alias("rest"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    rows = rows.join(main.select("hub", "main", blocks("all").alias("all"), blocks("rest").alias("rest")), "hub").withColumn("h", F.xxhash64("key"))
+    # a class stands on one side, on the other, or (if one block holds all) on both
+    of = lambda i, j, left, right: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), left.alias("left"), right.alias("right"))
+    yes, no, outside = F.lit(True), F.lit(False), F.col("root") != F.col("main")
+    as_right = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda i: of(i, F.pmod("h", F.col("all")), no, yes))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda j: of(F.pmod("h", F.col("rest")), j, yes, no))
+    place = F.when(F.col("all") == 1, F.array(of(F.lit(0), F.lit(0), outside, yes))).when(outside, F.concat(as_right, as_left)).otherwise(as_right)
+    places = rows.select("hub", "key", "root", F.explode(place).alias("x"))
+    wanted = few(classes.join(rows.select("key").distinct(), "key").select("key", F.col("low").alias("_low"), F.col("h").alias("_h")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = sets()
+        for b in batches:
+            yield pd.DataFrame({"key": b["key"], "x": [own(t)[0].tobytes() for t in b["text"]]})
+
+    own = texts.join(wanted, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_low"))).select("key", "text")
+    held = own.mapInPandas(run, "key long, x binary").dropDuplicates(["key"])
 
     def cross(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        x = np.empty(len(b), _ENTRY)
-        for c in ("key", "n", "p"):
-            x[c] = b[c]
-        root, own, out = b["root"].to_numpy(), b["own"].to_numpy(), []
-        _, number = np.unique(root, return_inverse=True)
-        # those outside the component that most are in meet all, and each other once
-        main = number == np.bincount(number).argmax()
-        at, outside = np.arange(len(x)), np.flatnonzero(~main)
-        step = max(1, RUN_PAIRS // len(x))
-        for c in range(0, len(outside), step):
-            k = outside[c : c + step, None]
-            meets = (root != root[k]) & (main | (at > k))
-            if key[1] != key[2]:
-                meets &= own != own[k]
-            i, j = np.nonzero(meets)
-            out.append(_pairs(x, k[i, 0], x, j, least))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-
-    return rows.groupBy("s", "i", "j").applyInPandas(cross, "a long, b long")
+        left, right = b[b["left"]], b[b["right"]]
+        u, v, _ = _alike_blocks(*([np.frombuffer(x, np.uint64) for x in side["x"]] for side in (left, right)), left["root"].to_numpy(), right["root"].to_numpy(), least)
+        # links join components: a forest over these is enough
+        _, node = np.unique(np.concatenate((left["root"].to_numpy()[u], right["root"].to_numpy()[v])), return_inverse=True)
+        _, used = forest(int(node.max(initial=-1)) + 1, node[: len(u)], node[len(u) :])
+        return pd.DataFrame({"u": left["key"].to_numpy()[u[used]], "v": right["key"].to_numpy()[v[used]]})
+
+    placed = places.select("hub", "key", "root", "x.i", "x.j", "x.left", "x.right").join(held, "key")
+    return frozen(placed.groupBy("hub", "i", "j").applyInPandas(cross, "u long, v long"))
+
+
+def _alike_blocks(left: list[np.ndarray], right: list[np.ndarray], root: np.ndarray, other: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, Jaccard) of the sets of two blocks that lie in different components and reach ``least``."""
+    us, vs, js = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    if left and right:
+        flat = np.concatenate(right)
+        names, at = np.unique(flat, return_inverse=True)
+        sizes = np.array([len(x) for x in right], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        for i, x in enumerate(left):
+            k = np.minimum(np.searchsorted(names, x), len(names) - 1)
+            own = np.zeros(len(names), np.int32)
+            own[k[names[k] == x]] = 1
+            common = np.add.reduceat(own[at], begin)
+            j = common / (len(x) + sizes - common)
+            hit = np.flatnonzero((j >= least) & (other != root[i]))
+            us.append(np.full(len(hit), i))
+            vs.append(hit)
+            js.append(j[hit])
+    return np.concatenate(us), np.concatenate(vs), np.concatenate(js)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import frozen, partitions, pieces, short_batches, table
 from .components import components
 from .rolling import rolling, stirred, word_codes
-from .set_join import GROUP, Sets, few, near_sets
+from .set_join import GROUP, Sets, few, forest, near_sets
 
 SHINGLE = 3
 SEED = 42
@@ -86,25 +86,6 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For nodes 0..n-1 and links a-b: the smallest node of each one's component, and which links suffice to join them all (a spanning forest)."""
-    root, used = np.arange(n), []
-    left = np.arange(len(a))
-    while True:
-        ra, rb = root[a[left]], root[b[left]]
-        apart = ra != rb
-        left, low, high = left[apart], np.minimum(ra, rb)[apart], np.maximum(ra, rb)[apart]
-        if not len(left):
-            return root, np.concatenate(used) if used else np.zeros(0, np.int64)
-        # each larger root hooks itself by one link to the smallest root that it meets
-        order = np.lexsort((low, high))
-        first = order[np.concatenate(([True], high[order][1:] != high[order][:-1]))]
-        root[high[first]] = low[first]
-        used.append(left[first])
-        while (root[root] != root).any():
-            root = root[root]
-
-
 class _Links:
     """Links reduced to a spanning forest now and then: fewer than one for each fingerprint are kept."""
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from lodestrata.llm import set_join
 from lodestrata.llm import simhash as sh
 
 
@@ -211,10 +212,10 @@ def test_a_text_in_pieces_is_the_text(monkeypatch):
     assert [(sh.simhash(t), sh.shingle_sets()()(t)[0].tolist()) for t in texts] == want
 
 
-def test_a_large_group_is_met_in_blocks(spark, monkeypatch):
-    from lodestrata.llm import set_join
-
-    monkeypatch.setattr(set_join, "BLOCK", 5)
+@pytest.mark.parametrize("most", [set_join.MAX_BROADCAST, 0])
+def test_a_large_group_is_met_in_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(set_join, "BLOCK", 50)
+    monkeypatch.setattr(set_join, "MAX_BROADCAST", most)
     r = random.Random(21)
     line = [f"l{i}" for i in range(9)]
     rows = []

@@ -119,7 +119,7 @@ def test_ranges(spark, n):
 def test_classes_against_all_pairs(spark, monkeypatch, group):
     from lodestrata.llm import set_join
 
-    monkeypatch.setattr(set_join, "BLOCK", 7)
+    monkeypatch.setattr(set_join, "BLOCK", 100)
     r = random.Random(6)
     docs = []
     for _ in range(30):
