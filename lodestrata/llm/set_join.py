@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import frozen, partitions, short_batches
 from .components import components
 
-#: Documents whose members are counted to order them, and common members known to every task: both only steer the cost.
-SAMPLE_ROWS, MAX_COMMON = 8_000, 100_000
+#: One in so many documents (and no fewer than SAMPLE_ROWS) has its members counted to order all members by; and common
+#: members sent to every task, 12 bytes each. Both only steer the cost: any order gives all pairs.
+SAMPLE_PART, SAMPLE_ROWS, MAX_COMMON = 4, 8_000, 2_000_000
 #: Classes that share a member are all paired up to this number; more are linked to two of them first.
 GROUP = 32
 #: Members (hashes) of the sets that one task holds of each side when the components of a large group are compared.
@@ -60,7 +61,7 @@ def common_members(texts: DataFrame, sets: Sets) -> tuple[np.ndarray, np.ndarray
     total = texts.count()
     if not total:
         return none
-    sample = texts.filter(F.pmod(F.xxhash64("doc_id", "h"), F.lit(1_000_000)) < int(min(1.0, SAMPLE_ROWS / total) * 1_000_000))
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id", "h"), F.lit(1_000_000)) < int(min(1.0, max(1 / SAMPLE_PART, SAMPLE_ROWS / total)) * 1_000_000))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = sets()
@@ -68,8 +69,18 @@ def common_members(texts: DataFrame, sets: Sets) -> tuple[np.ndarray, np.ndarray
             yield pd.DataFrame({"s": np.concatenate([of(t)[0] for t in b["text"]] or [none[0]]).view(np.int64)})
 
     counts = sample.select("text").mapInPandas(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = counts.orderBy(F.col("n").desc(), "s").limit(MAX_COMMON).collect()
-    s, n = np.array([r["s"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    counts = frozen(counts.select("s", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")))
+    by_count = counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()
+    # as many of the most frequent counts as fit
+    least, size = 2**31, 0
+    for r in by_count:
+        size += r["k"]
+        if size > MAX_COMMON:
+            break
+        least = r["n"]
+    rows = counts.filter(F.col("n") >= least).toArrow()
+    s, n = (rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("s", "n"))
+    s = s.astype(np.int64).view(np.uint64)
     order = np.argsort(s)
     return s[order], n[order]
 
@@ -169,10 +180,10 @@ def near_sets(docs: DataFrame, sets: Sets, least: float, group: int = GROUP, by_
     spark = docs.sparkSession
     short_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    common, counts = common_members(texts, sets)
+    ordered = spark.sparkContext.broadcast(common_members(texts, sets))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = sets()
+        of, (common, counts) = sets(), ordered.value
         for b in batches:
             found = [of(t) for t in b["text"]]
             key = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s, _ in found], np.uint64).view(np.int64)
@@ -291,8 +302,8 @@ def _open_groups(groups: DataFrame, parts: DataFrame) -> DataFrame:
     none = pd.DataFrame({"hub": [], "key": [], "n": [], "root": []}, dtype=np.int64)
     parts = frozen(parts)
     if parts.count() <= MAX_BROADCAST:
-        rows = parts.select("node", "root").toPandas().sort_values("node")
-        held = groups.sparkSession.sparkContext.broadcast((rows["node"].to_numpy(np.int64), rows["root"].to_numpy(np.int64)))
+        rows = parts.select("node", "root").toArrow().sort_by("node")
+        held = groups.sparkSession.sparkContext.broadcast(tuple(rows.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "root")))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             node, root = held.value
