@@ -140,12 +140,12 @@ def uncontained(matches: DataFrame, spans: DataFrame, bucket: int = RANGE_BUCKET
     return matches.join(contained(matches, spans, bucket).select(*key).distinct(), key, "left_anti")
 
 
-def pattern_matches(records: DataFrame, patterns: DataFrame, most: int = 10_000) -> DataFrame:
+def pattern_matches(records: DataFrame, patterns: DataFrame, most: int = 50_000, begins: int = 64) -> DataFrame:
     """(record, start, end, pattern): every occurrence of a token pattern, overlapping ones too, none across records.
 
     ``records`` are (record, tokens), ``patterns`` (pattern, tokens). Windows of
-    each distinct length meet the patterns in a join; up to ``most`` patterns,
-    only windows that begin with some pattern's first token leave their row.
+    each distinct length meet the patterns in a join; up to ``most`` patterns are
+    broadcast. Where these have at most ``begins`` first tokens, only windows that begin with one leave their row.
     """
     known = patterns.select("pattern", F.col("tokens").alias("p")).filter(F.size("p") > 0)
     lengths = sorted(r["n"] for r in known.select(F.size("p").alias("n")).distinct().collect())
@@ -153,9 +153,10 @@ def pattern_matches(records: DataFrame, patterns: DataFrame, most: int = 10_000)
         return records.select("record", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).filter("false").crossJoin(known.select("pattern"))
     few = known.limit(most + 1).count() <= most
     starts = F.sequence(F.lit(0), F.size("tokens") - 1)
-    if few:
-        begins = F.array(*[F.lit(r["f"]) for r in known.select(F.element_at("p", 1).alias("f")).distinct().collect()])
-        starts = F.filter(starts, lambda i: F.array_contains(begins, F.get("tokens", i)))
+    firsts = [r["f"] for r in known.select(F.element_at("p", 1).alias("f")).distinct().limit(begins + 1).collect()]
+    if len(firsts) <= begins:
+        wanted = F.array(*[F.lit(f) for f in firsts])
+        starts = F.filter(starts, lambda i: F.array_contains(wanted, F.get("tokens", i)))
     # one pass over the tokens: the longest window from each start; shorter ones are its beginnings
     at = F.when(F.size("tokens") > 0, F.transform(starts, lambda i: F.struct(i.alias("i"), F.slice("tokens", i + 1, lengths[-1]).alias("w"))))
     windows = records.select("record", F.explode(at).alias("x")).select("record", F.col("x.i").cast("long").alias("start"), F.col("x.w").alias("w"))

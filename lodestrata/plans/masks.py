@@ -116,9 +116,11 @@ def _words(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
 
 
 def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five and the first nine words of each benchmark item."""
+    """Every run of five and of nine words of each benchmark item."""
     rows = _words(spark, sf_dir, "benchmark", "item_id")
-    return rows.select(F.explode(F.array(F.lit(5), F.lit(9))).alias("k"), "record", "tokens").filter(F.size("tokens") >= F.col("k")).select((F.col("record") * 10 + F.col("k")).alias("pattern"), F.slice("tokens", F.lit(1), F.col("k")).alias("tokens"))
+    rows = rows.select(F.explode(F.array(F.lit(5), F.lit(9))).alias("k"), "record", "tokens").filter(F.size("tokens") >= F.col("k"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("tokens") - F.col("k")), lambda i: F.slice("tokens", i + 1, F.col("k")))
+    return rows.select("record", "k", F.posexplode(runs).alias("at", "tokens")).select(((F.col("record") * 1_000_000 + F.col("at")) * 10 + F.col("k")).alias("pattern"), "tokens")
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +128,9 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPLIT = r"list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda x: x <> '')"
-MATCHES = f"""dw AS (SELECT doc_id AS record, {_SPLIT} AS w FROM documents), pats AS (SELECT item_id * 10 + k AS pattern, k, array_to_string(w[1:k], ' ') AS p FROM (SELECT item_id, {_SPLIT} AS w FROM benchmark), (VALUES (5), (9)) t(k) WHERE len(w) >= k),
-firsts AS (SELECT DISTINCT split_part(p, ' ', 1) AS f FROM pats),
-matches AS (SELECT record, i AS s, i + k AS e, pattern FROM (SELECT record, w, unnest(range(len(w))) AS i, unnest(w) AS f FROM dw) JOIN firsts USING (f), (VALUES (5), (9)) t(k) JOIN pats USING (k) WHERE array_to_string(w[i + 1:i + k], ' ') = p)"""
+MATCHES = f"""dw AS (SELECT doc_id AS record, {_SPLIT} AS w FROM documents), iw AS (SELECT item_id, {_SPLIT} AS w FROM benchmark),
+pats AS (SELECT (item_id * 1000000 + i) * 10 + k AS pattern, k, array_to_string(w[i + 1:i + k], ' ') AS p FROM (SELECT item_id, w, k, unnest(range(len(w) - k + 1)) AS i FROM iw, (VALUES (5), (9)) t(k) WHERE len(w) >= k)),
+matches AS (SELECT record, i AS s, i + k AS e, pattern FROM (SELECT record, k, i, array_to_string(w[i + 1:i + k], ' ') AS p FROM (SELECT record, w, k, unnest(range(len(w) - k + 1)) AS i FROM dw, (VALUES (5), (9)) t(k) WHERE len(w) >= k)) JOIN pats USING (k, p))"""
 
 
 def pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,15 +146,15 @@ def span_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").select("lang", F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "").alias("w")).filter("size(w) >= 7")
-    return rows.select(F.col("lang").alias("fact"), F.explode(F.transform(F.sequence(F.lit(0), F.expr("size(w) div 7 - 1")), lambda k: F.get("w", k * 7))).alias("text")).withColumn("field", F.lit("object"))
+    rows = read(spark, sf_dir, "documents").select("lang", F.explode(F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "")).alias("text"))
+    return rows.select(F.col("lang").alias("fact"), F.lit("object").alias("field"), "text")
 
 
-PAYLOADS = f"payloads AS (SELECT lang AS fact, 'object' AS field, unnest(list_transform(range(0, len(w) // 7), lambda k: w[k * 7 + 1])) AS text FROM (SELECT lang, {_SPLIT} AS w FROM documents))"
+PAYLOADS = f"payloads AS (SELECT lang AS fact, 'object' AS field, unnest({_SPLIT}) AS text FROM documents)"
 
 
 def payload_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every payload of every document."""
+    """Every word of every document as a payload of its language."""
     return op.payload_counts(_payloads(spark, sf_dir))
 
 
@@ -178,7 +180,7 @@ def sidecar_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def balanced_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search, held against plain code in the tests."""
-    return op.balanced_padding(spans(spark, sf_dir), 512)
+    return op.balanced_padding(spans(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (mask_positions, weight_arrays, mask_histogram, mask_deficits, record_deficits, matched_controls, record_controls, zero_runs, merged_ranges, run_length_spans, range_gaps, pattern_matches, span_containment, payload_counts, payload_inventory, split_coverage, sidecar_audit, balanced_padding)}
