@@ -173,7 +173,7 @@ def quota_choice(lengths: DataFrame, quotas: dict[str, int], total: int) -> Data
             written += n
         yield pd.DataFrame(out, columns=["sequence", "task", "k", "token_length"])
 
-    return lengths.select("task", "k", "token_length").coalesce(1).mapInPandas(run, "sequence long, task string, k long, token_length long")
+    return lengths.select("task", "k", "token_length").repartition(1).mapInPandas(run, "sequence long, task string, k long, token_length long")
 
 
 def exact_fill(candidates: DataFrame, target: int, most: int = 32_768) -> DataFrame:
@@ -181,6 +181,7 @@ def exact_fill(candidates: DataFrame, target: int, most: int = 32_768) -> DataFr
 
     A bit set of reachable sums grows candidate by candidate; ``via`` remembers
     by which candidate a sum was first reached. Nothing is returned for a task that can't fill it.
+    The search is a window: only a task's first ``most`` candidates are looked at, which bounds its memory; raise it to look further.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -236,7 +237,7 @@ def curriculum_schedule(records: DataFrame, targets: dict[str, int]) -> DataFram
                 done[lane] += int(n)
         yield pd.DataFrame(out, columns=["sequence", "lane", "ordinal", "token_length", "phase", "band"])
 
-    return records.select("lane", "ordinal", "token_length").coalesce(1).mapInPandas(run, "sequence long, lane string, ordinal long, token_length long, phase long, band long")
+    return records.select("lane", "ordinal", "token_length").repartition(1).mapInPandas(run, "sequence long, lane string, ordinal long, token_length long, phase long, band long")
 
 
 def phase(position: Column, total: Column) -> Column:

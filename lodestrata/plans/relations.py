@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import alias_key
 from ..operators import relations as rel
 from ..operators import sample as smp
+from ..operators import schedule
 from ..storage import frozen
 from .base import ALIASES, NORM, TRIPLES, aliases, read, triples, with_
 
@@ -73,13 +74,15 @@ def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_id_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids by letter (P before Q), then by number."""
+    """Ids of all relations and subjects by letter (P before Q), then by number; places in two levels, so that no task holds the order."""
     t = triples(spark, sf_dir)
-    ids = t.select(F.col("relation").alias("id")).union(t.filter("relation = 'P2'").select(F.concat(F.lit("Q"), F.col("subject").cast("string")))).distinct()
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.substring("id", 1, 1), rel.numeric_id(F.col("id")))
-    return ids.withColumn("place", F.row_number().over(order).cast("long"))
+    ids = t.select(F.col("relation").alias("id")).union(t.select(F.concat(F.lit("Q"), F.col("subject").cast("string")))).distinct()
+    ids = ids.select("id", F.substring("id", 1, 1).alias("letter"), rel.numeric_id(F.col("id")).alias("number"), F.lit(1).alias("one"))
+    of_letter = ids.groupBy("letter").agg(F.count("*").alias("n"))
+    low, high = of_letter.select("letter"), of_letter.select(F.col("letter").alias("l"), "n")
+    before = low.join(F.broadcast(high), F.col("l") < F.col("letter"), "left").groupBy("letter").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"))
+    placed = schedule.offsets(ids, ["number"], "one", "within", ["letter"])
+    return placed.join(F.broadcast(before), "letter").select("id", (F.col("before") + F.col("within") + 1).cast("long").alias("place"))
 
 
 def edge_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +203,7 @@ ORACLES = {
     "schema_rows": with_(STATS, CATALOG) + """SELECT c.relation, 'entity' AS target_kind, coalesce(support, 0) AS support, coalesce(distinct_subjects, 0) AS distinct_subjects, coalesce(distinct_objects, 0) AS distinct_objects
       FROM catalog c LEFT JOIN stats USING (relation) UNION ALL SELECT 'L' || i, ['date','date','quantity','quantity','category','category','string','string'][i + 1], 0, 0, 0 FROM range(8) t(i)""",
     "entity_counts": with_(TRIPLES) + "SELECT count(*) AS entities, min(id) AS min_id, max(id) AS max_id, (SELECT count(DISTINCT relation) FROM triples) AS relations FROM (SELECT subject AS id FROM triples UNION SELECT object FROM triples)",
-    "canonical_id_order": with_(TRIPLES) + "SELECT id, row_number() OVER (ORDER BY substr(id, 1, 1), CAST(substr(id, 2) AS BIGINT)) AS place FROM (SELECT relation AS id FROM triples UNION SELECT 'Q' || subject FROM triples WHERE relation = 'P2')",
+    "canonical_id_order": with_(TRIPLES) + "SELECT id, row_number() OVER (ORDER BY substr(id, 1, 1), CAST(substr(id, 2) AS BIGINT)) AS place FROM (SELECT relation AS id FROM triples UNION SELECT 'Q' || subject FROM triples)",
     "edge_distinct": with_(STATS, SELECTED, EDGES) + "SELECT relation, count(*) AS edges, CAST(sum((subject * 31 + object) % 1000003) AS BIGINT) AS mark FROM edges GROUP BY relation",
     "key_eligibility": with_(STATS, SELECTED, EDGES, ALIASES, LABELS, KEYS) + "FROM keys",
     "hash_topk_sample": with_(*SAMPLE) + "SELECT relation, subject, key_hash, key_rank FROM topk",
