@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import frozen
 from .masks import CONDITIONS
 
 #: Ids below are special; words and signs take the rest of 16 bits by their checksum.
@@ -42,12 +43,15 @@ def metadata(records: DataFrame) -> DataFrame:
 
 
 def sidecars(tokens: DataFrame, ranges: DataFrame) -> DataFrame:
-    """K3: tokens (record, pos, token) with a 0/1 weight for each condition: one left join with the masked positions, a row for each."""
-    from .masks import positions
+    """K3: tokens (record, pos, token) with a 0/1 weight for each condition: one left join with the bitmaps of masked positions."""
+    from .masks import bitmaps, word_of
 
-    zero = positions(ranges).groupBy("record", "pos").agg(*[F.max((F.col("condition") == c).cast("int")).alias(f"_{c}") for c in CONDITIONS])
-    rows = tokens.join(zero, ["record", "pos"], "left")
-    return rows.select("record", "pos", "token", *[(1 - F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(f"w_{c}") for c in CONDITIONS])
+    of = lambda c: F.bit_or(F.when(F.col("condition") == c, F.col("bits")))
+    zero = bitmaps(ranges, ["condition", "record"]).groupBy(F.col("record").alias("_record"), F.col("word").alias("_word")).agg(*[of(c).alias(f"_{c}") for c in CONDITIONS])
+    # by words of 64 positions: the weights of a word are one row
+    rows = tokens.join(zero, (F.col("record") == F.col("_record")) & (word_of() == F.col("_word")), "left")
+    zero_at = lambda c: F.expr(f"cast(coalesce(shiftrightunsigned(_{c}, cast(pos & 63 as int)) & 1L, 0L) as int)")
+    return rows.select("record", "pos", "token", *[(1 - zero_at(c)).alias(f"w_{c}") for c in CONDITIONS])
 
 
 def counters(corpus: DataFrame) -> DataFrame:
@@ -65,17 +69,27 @@ def write(corpus: DataFrame, target: str) -> str:
 
 
 def verify(corpus: DataFrame, records: DataFrame, ranges: DataFrame) -> DataFrame:
-    """V8: (check, violations) of a corpus against its records (record, n) and masked ranges: lengths, repeated positions, weights that aren't 0 or 1, dense weights of 0, and masks that differ from the ranges."""
-    from .masks import coverage_gaps, merged, zero_runs
-
-    length = corpus.groupBy("record").agg(F.count("*").alias("have"), F.max("pos").alias("last"))
+    """V8: (check, violations) of a corpus against its records (record, n) and masked ranges: lengths, repeated positions, weights that aren't 0 or 1, dense weights of 0, and masks that differ from the ranges.
+
+    The corpus is read once and kept as a row for each word of 64 positions. Only where words have more rows than positions, or
+    bits that aren't those of the ranges, it is read again.
+    """
+    from .masks import among, bit_of, run_gaps, word_of
+
+    weights = {c: F.col(f"w_{c}") for c in CONDITIONS}
+    odd = ~functools.reduce(lambda a, b: a & b, (w.isin(0, 1) for w in weights.values()))
+    counts = [F.count("*").alias("n"), F.max("pos").alias("last"), F.bit_or(bit_of()).alias("have"), F.count_if(odd).alias("odd"), F.count_if(weights["dense"] == 0).alias("dense")]
+    zeros = [F.bit_or(F.when(w == 0, bit_of())).alias(f"zero_{c}") for c, w in weights.items()]
+    words = frozen(corpus.groupBy("record", word_of().alias("word")).agg(*counts, *zeros))
+    length = words.groupBy("record").agg(F.sum("n").alias("have"), F.max("last").alias("last"))
     wrong = records.join(length, "record", "full_outer").filter((F.coalesce("n", F.lit(-1)) != F.coalesce("have", F.lit(0))) | (F.col("last") != F.col("n") - 1))
-    weights = [F.col(f"w_{c}") for c in CONDITIONS]
-    domain = corpus.filter(~functools.reduce(lambda a, b: a & b, (w.isin(0, 1) for w in weights)))
+    more = words.filter(F.col("n") > F.coalesce(F.bit_count("have"), F.lit(0))).select("record", "word")
+    repeated = more if more.isEmpty() else among(corpus.withColumn("word", word_of()), more, ["record", "word"]).groupBy("record", "pos").agg(F.count("*").alias("n")).filter("n > 1")
     group = ["condition", "record"]
-    zero = functools.reduce(DataFrame.unionByName, (corpus.filter(F.col(f"w_{c}") == 0).select(F.lit(c).alias("condition"), "record", "pos") for c in CONDITIONS))
-    checks = {
-        "record_lengths": wrong, "repeated_positions": corpus.groupBy("record", "pos").agg(F.count("*").alias("n")).filter("n > 1"), "weight_domain": domain,
-        "dense_is_whole": corpus.filter("w_dense = 0"), "masked_ranges": coverage_gaps(merged(ranges, group), zero_runs(zero, group), group),
-    }
-    return functools.reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("violations")).select(F.lit(k).alias("check"), "violations") for k, df in checks.items()))
+    zero = functools.reduce(DataFrame.unionByName, (corpus.filter(w == 0).select(F.lit(c).alias("condition"), "record", "pos") for c, w in weights.items()))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.col(f"zero_{c}").alias("bits")) for c in CONDITIONS]))
+    found = words.select("record", "word", each.alias("x")).select("record", "word", "x.*").filter("bits <> 0 or word is null")
+    rows = lambda df: df.agg(F.count("*").alias("violations"))
+    total = lambda c: words.agg(F.coalesce(F.sum(c), F.lit(0)).alias("violations"))
+    checks = {"record_lengths": rows(wrong), "repeated_positions": rows(repeated), "weight_domain": total("odd"), "dense_is_whole": total("dense"), "masked_ranges": rows(run_gaps(ranges, zero, group, found))}
+    return functools.reduce(DataFrame.unionByName, (df.select(F.lit(k).alias("check"), "violations") for k, df in checks.items()))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import position_bin
 from ..functions.hashing import leading, sha
+from ..storage import frozen
 from .schedule import offsets
 
 CONDITIONS = ("dense", "split", "selective", "random")
@@ -183,6 +184,53 @@ def count_mismatches(observed: DataFrame, expected: DataFrame) -> DataFrame:
     return rows.filter(~F.coalesce("n", F.lit(0)).eqNullSafe(F.coalesce("expected", F.lit(0))))
 
 
+def bitmaps(ranges: DataFrame, group: list[str]) -> DataFrame:
+    """(group, word, bits, listed): the positions of ranges in words of 64, and how many the ranges list there: more than there are bits where they overlap.
+
+    Ranges without a position have no word and no bits. Grouped in place where a group's ranges stand together.
+    """
+    s, e = F.col("start").cast("long"), F.col("end").cast("long")
+    word = F.explode_outer(F.when(s < e, F.sequence(F.shiftright(s, 6), F.shiftright(e - 1, 6))))
+    rows = ranges.select(*group, s.alias("_s"), e.alias("_e"), word.alias("word"))
+    rows = rows.withColumn("_lo", F.greatest(F.lit(0), F.col("_s") - F.col("word") * 64).cast("int")).withColumn("_n", (F.least(F.lit(64), F.col("_e") - F.col("word") * 64) - F.col("_lo")).cast("int"))
+    has = F.col("word").isNotNull()
+    bits = F.when(has, F.expr("shiftleft(shiftrightunsigned(-1L, 64 - _n), _lo)"))
+    return rows.groupBy(*group, "word").agg(F.bit_or(bits).alias("bits"), F.sum(F.when(has, F.col("_n"))).alias("listed"))
+
+
+def bit_of(pos: str = "pos") -> Column:
+    """The bit of a position in its word, which is the position shifted by 6."""
+    return F.expr(f"shiftleft(1L, cast(cast({pos} as bigint) & 63 as int))")
+
+
+def word_of(pos: str = "pos") -> Column:
+    return F.shiftright(F.col(pos).cast("long"), 6)
+
+
+def among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows whose columns ``on`` are those of a row of keys; null equals null."""
+    k = keys.select(*[F.col(c).alias(f"_k_{c}") for c in on])
+    return rows.join(k, functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in on)), "left_semi")
+
+
+def run_gaps(ranges: DataFrame, points: DataFrame, group: list[str], found: DataFrame | None = None) -> DataFrame:
+    """``coverage_gaps`` of merged ranges and the runs of points (group, pos).
+
+    Both are compared as bitmaps first (``found`` has those of the points as (group, word, bits), if they are known). Ranges that
+    don't overlap give the runs of their positions, so that groups with equal bits have no gap; ranges and runs are made of the other groups only.
+    """
+    if found is None:
+        found = points.groupBy(*group, word_of().alias("word")).agg(F.bit_or(bit_of()).alias("bits"))
+    none = F.lit(None).cast("long")
+    both = bitmaps(ranges, group).withColumn("got", none).unionByName(found.select(*group, "word", none.alias("bits"), none.alias("listed"), F.col("bits").alias("got")))
+    each = both.groupBy(*group, "word").agg(F.max("bits").alias("bits"), F.max("listed").alias("listed"), F.max("got").alias("got"))
+    unlike = F.col("word").isNull() | ~F.col("bits").eqNullSafe(F.col("got")) | (F.col("listed") > F.bit_count("bits"))
+    odd = frozen(each.filter(unlike).select(*group).distinct())
+    if odd.isEmpty():
+        return odd.select(*group, none.alias("start"), none.alias("end"), F.lit("").alias("side"))
+    return coverage_gaps(merged(among(ranges, odd, group), group), zero_runs(among(points, odd, group), group), group)
+
+
 def coverage_gaps(expected: DataFrame, masked: DataFrame, group: list[str]) -> DataFrame:
     """Ranges expected or masked, but not both, with their side."""
     cols = [*group, "start", "end"]

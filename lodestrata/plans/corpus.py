@@ -25,12 +25,15 @@ def rendered_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.metadata(rows).select("ordinal", "record_id", "token_length", "source_sha256")
 
 
-def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All documents' masked spans over positions 0 to n - 1; a token is its position's remainder."""
+def _corpus(spark: SparkSession, sf_dir: str, kept: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents' masked spans over positions 0 to n - 1; a token is its position's remainder. ``kept``: a folder for the controls, if the ranges are used again."""
     own = masks.spans(spark, sf_dir)
-    records = own.select("record", "n").distinct()
+    records = storage.frozen(own.select("record", "n").distinct())
     tokens = records.select("record", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos")).withColumn("token", (F.col("pos") % 97).cast("int"))
-    ranges = mk.masked_ranges(own, mk.matched_controls(own, masks.SEED))
+    controls = mk.matched_controls(own, masks.SEED)
+    if kept:
+        controls = masks.by_record(controls.select("record", "start", "end"), kept)
+    ranges = mk.masked_ranges(own, controls)
     return records, ranges, op.sidecars(tokens, ranges)
 
 
@@ -42,9 +45,13 @@ def corpus_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: a corpus of which one position was lost."""
-    records, ranges, rows = _corpus(spark, sf_dir)
-    first = records.agg(F.min("record")).first()[0]
-    return op.verify(rows.filter(~((F.col("record") == first) & (F.col("pos") == 4))), records, ranges)
+    kept = storage.scratch(spark, "controls")
+    try:
+        records, ranges, rows = _corpus(spark, sf_dir, kept)
+        first = records.agg(F.min("record")).first()[0]
+        return storage.frozen(op.verify(rows.filter(~((F.col("record") == first) & (F.col("pos") == 4))), records, ranges))
+    finally:
+        storage.remove(spark, kept)
 
 
 QUERIES = {f.__name__: f for f in (encoded_segments, rendered_metadata, corpus_counters, corpus_verified)}

@@ -44,6 +44,12 @@ def _controls(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) ->
     return op.matched_controls(spans(spark, sf_dir) if own is None else own, SEED)
 
 
+def by_record(rows: DataFrame, target: str) -> DataFrame:
+    """rows (record, start, ...) as a table written in their records' order and read again: what is grouped by record is then grouped in place."""
+    rows.repartition("record").sortWithinPartitions("record", "start").write.parquet(target)
+    return rows.sparkSession.read.schema(rows.schema).parquet(target)
+
+
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spans(spark, sf_dir)
     return op.masked_ranges(own, _controls(spark, sf_dir, own))
