@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.codecs import position_bin
 from ..functions.hashing import leading, sha
@@ -18,6 +21,10 @@ CONDITIONS = ("dense", "split", "selective", "random")
 PROTECTED = ("relation_alias", "payload", "rule", "action", "provisional_answer", "final_answer")
 #: Positions of one bucket when ranges are joined: matches meet the spans of their own bucket and the next only.
 RANGE_BUCKET = 1024
+#: Tokens of patterns whose hashes are sent to the tasks, at most; and tokens that a task hashes at once, about.
+PATTERN_TOKENS, HASHED_TOKENS = 2_000_000, 1_000_000
+#: Keys of controls whose demand is broadcast, at most.
+DEMAND_KEYS = 100_000
 
 
 def should_mask(condition: str, role: Column, external: Column) -> Column:
@@ -55,6 +62,10 @@ def matched_controls(spans: DataFrame, seed: str, group: list[str] | None = None
     """
     key = [*(group or []), "length", "position_bin"]
     demand = spans.filter("role = 'payload'").groupBy(*key).agg(F.count("*").alias("_demand"))
+    if not group:
+        # few keys: where they are, the controls aren't dealt by them
+        demand = frozen(demand)
+        demand = F.broadcast(demand) if demand.limit(DEMAND_KEYS + 1).count() <= DEMAND_KEYS else demand
     rank = leading(sha(seed, "\0", F.col("span_id")), 15)
     controls = spans.filter("role = 'random_control'").join(demand, key).withColumn("_rank", rank).withColumn("_one", F.lit(1))
     if group:
@@ -141,18 +152,71 @@ def uncontained(matches: DataFrame, spans: DataFrame, bucket: int = RANGE_BUCKET
     return matches.join(contained(matches, spans, bucket).select(*key).distinct(), key, "left_anti")
 
 
+def _window_hashes(v: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n consecutive of the token hashes v, modulo 2^64: sums of powers, so that n doesn't matter."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+    sums = np.zeros(len(v) + 1, np.uint64)
+    # v[i] * base^-i summed up; times base^i it depends on the window alone
+    np.cumsum(v * np.cumprod(np.full(len(v), np.uint64(pow(int(base), -1, 1 << 64)))), out=sums[1:])
+    return (sums[n:] - sums[:-n]) * np.cumprod(np.full(len(v) - n + 1, base))
+
+
+def _likely_windows(known: dict[int, np.ndarray], at_once: int):
+    """For mapInArrow over (record, tokens, hashes): (record, start, n, w) of windows whose hash is one of ``known``, sorted hashes by length. None that equals a pattern is left out.
+
+    A batch's tokens are one row of hashes, of which ``at_once`` starts are looked at together, whatever record they are of.
+    """
+    marks = {n: np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=1 << 20) > 0 for n, h in known.items()}
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            record, tokens, hashes = batch.columns
+            ends, at = hashes.offsets.to_numpy().astype(np.int64), tokens.offsets.to_numpy().astype(np.int64)
+            for low in range(int(ends[0]), int(ends[-1]), at_once):
+                for n, want in known.items():
+                    v = hashes.values[low : min(int(ends[-1]), low + at_once + n - 1)].to_numpy(zero_copy_only=False).view(np.uint64)
+                    if len(v) < n:
+                        continue
+                    h = _window_hashes(v, n)
+                    i = np.flatnonzero(marks[n][(h >> np.uint64(44)).astype(np.int64)])
+                    i = i[np.isin(h[i], want)] + low
+                    row = np.searchsorted(ends, i, "right") - 1
+                    inside = i + n <= ends[row + 1]
+                    i, row = i[inside], row[inside]
+                    if not len(i):
+                        continue
+                    start = i - ends[row]
+                    took = tokens.values.take(pa.array(((at[row] + start)[:, None] + np.arange(n)).ravel()))
+                    took = took.combine_chunks() if isinstance(took, pa.ChunkedArray) else took
+                    w = type(tokens).from_arrays(pa.array(np.arange(len(i) + 1) * n, tokens.offsets.type), took)
+                    yield pa.RecordBatch.from_arrays([record.take(pa.array(row)), pa.array(start), pa.array(np.full(len(i), n), pa.int32()), w], ["record", "start", "n", "w"])
+
+    return search
+
+
 def pattern_matches(records: DataFrame, patterns: DataFrame, most: int = 50_000, begins: int = 64) -> DataFrame:
     """(record, start, end, pattern): every occurrence of a token pattern, overlapping ones too, none across records.
 
     ``records`` are (record, tokens), ``patterns`` (pattern, tokens). Windows of
-    each distinct length meet the patterns in a join; up to ``most`` patterns are
-    broadcast. Where these have at most ``begins`` first tokens, only windows that begin with one leave their row.
+    each distinct length meet the patterns in a join. Up to ``most`` patterns are
+    broadcast, and by their hashes the windows are chosen that leave their row. Where there are more, and they have
+    at most ``begins`` first tokens, only windows that begin with one leave it.
     """
     known = patterns.select("pattern", F.col("tokens").alias("p")).filter(F.size("p") > 0)
-    lengths = sorted(r["n"] for r in known.select(F.size("p").alias("n")).distinct().collect())
+    lengths = {r["n"]: r["c"] for r in known.groupBy(F.size("p").alias("n")).agg(F.count("*").alias("c")).collect()}
     if not lengths:
         return records.select("record", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).filter("false").crossJoin(known.select("pattern"))
-    few = known.limit(most + 1).count() <= most
+    few = sum(lengths.values()) <= most
+    hashes = lambda tokens: F.transform(tokens, lambda t: F.xxhash64(t))
+    if few and sum(n * c for n, c in lengths.items()) <= PATTERN_TOKENS:
+        found: dict[int, set[int]] = {n: set() for n in sorted(lengths)}
+        for r in known.select(hashes("p").alias("h")).distinct().collect():
+            found[len(r["h"])].add(int(_window_hashes(np.array(r["h"], np.int64).view(np.uint64), len(r["h"]))[0]))
+        to = {n: np.array(sorted(h), np.uint64) for n, h in found.items()}
+        fields = [records.schema["record"], T.StructField("start", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("w", records.schema["tokens"].dataType)]
+        each = records.select("record", "tokens", hashes("tokens").alias("h")).mapInArrow(_likely_windows(to, HASHED_TOKENS), T.StructType(fields))
+        return each.join(F.broadcast(known), F.col("w") == F.col("p")).select("record", "start", (F.col("start") + F.col("n")).alias("end"), "pattern")
+    lengths = sorted(lengths)
     starts = F.sequence(F.lit(0), F.size("tokens") - 1)
     firsts = [r["f"] for r in known.select(F.element_at("p", 1).alias("f")).distinct().limit(begins + 1).collect()]
     if len(firsts) <= begins:
@@ -239,23 +303,51 @@ def coverage_gaps(expected: DataFrame, masked: DataFrame, group: list[str]) -> D
 
 
 def audit(spans: DataFrame, controls: DataFrame, points: DataFrame, matches: DataFrame) -> DataFrame:
-    """(check, violations) of weight sidecars: runs equal merged ranges, random matches split in keys and mass, protected roles stay, payload patterns are tagged."""
-    ranges = masked_ranges(spans, controls)
+    """(check, violations) of weight sidecars: runs equal merged ranges, random matches split in keys and mass, protected roles stay, payload patterns are tagged.
+
+    Spans and controls are laid over each other as bitmaps; pairs of ranges are made only in records where bits meet. A match is
+    held only against payloads as long as the shortest match.
+    """
     group = ["condition", "record"]
     split, random = histogram(spans, F.col("role") == "payload"), controls.groupBy("length", "position_bin").agg(F.count("*").alias("n"))
-    protected = spans.filter(F.col("role").isin(*PROTECTED)).select("record", "start", "end")
-    hit = controls.select("record", "start", F.col("end"), F.lit("control").alias("pattern"))
-    # a control within a protected span, or around it
-    inside = contained(hit, protected).select("record", "start", "end")
-    around = contained(protected.withColumn("pattern", F.lit("protected")), controls.select("record", "start", "end")).select("record", "start", "end")
+    split, random = frozen(split), frozen(random)
+    kind = F.when(F.coalesce(F.col("role").isin(*PROTECTED), F.lit(False)), "protected").otherwise("open")
+    laid = bitmaps(spans.select(kind.alias("kind"), "record", "start", "end").unionByName(controls.select(F.lit("control").alias("kind"), "record", "start", "end")), ["kind", "record"])
+    own, of = F.col("kind") != "control", lambda k: F.bit_or(F.when(F.col("kind") == k, F.col("bits")))
+    cells = laid.groupBy("record", "word").agg(F.sum(F.when(own, F.col("listed"))).alias("listed"), F.bit_or(F.when(own, F.col("bits"))).alias("bits"), of("protected").alias("p"), of("control").alias("c"))
+    # ranges without a position have no word; what they meet is looked up
+    over, met = F.col("word").isNull() | (F.col("listed") > F.bit_count("bits")), F.col("word").isNull() | (F.col("p").bitwiseAND(F.col("c")) != 0)
+    odd = frozen(cells.select("record", F.coalesce(over, F.lit(False)).alias("over"), F.coalesce(met, F.lit(False)).alias("met")).filter("over or met").groupBy("record").agg(F.max("over").alias("over"), F.max("met").alias("met")))
+    none = F.lit(0).cast("long").alias("violations")
+    count = lambda df: df.agg(F.count("*").alias("violations"))
+    nothing = spans.sparkSession.range(1).select(none)
+
+    def protected() -> DataFrame:
+        keys = odd.filter("met")
+        if keys.isEmpty():
+            return nothing
+        hit = among(controls, keys, ["record"]).select("record", "start", "end", F.lit("control").alias("pattern"))
+        kept = among(spans.filter(F.col("role").isin(*PROTECTED)), keys, ["record"]).select("record", "start", "end")
+        # a control within a protected span, or around it
+        inside = contained(hit, kept).select("record", "start", "end")
+        around = contained(kept.withColumn("pattern", F.lit("protected")), hit.drop("pattern")).select("record", "start", "end")
+        return count(inside.unionByName(around))
+
+    def overlapping() -> DataFrame:
+        keys = odd.filter("over")
+        return nothing if keys.isEmpty() else count(overlaps(among(spans, keys, ["record"]), ["record"]))
+
+    matches = frozen(matches)
+    least = matches.agg(F.min(F.col("end") - F.col("start"))).first()[0]
+    payloads = spans.filter("role = 'payload'").filter((F.col("end") - F.col("start") >= least) if least is not None else F.lit(False))
     checks = {
-        "zero_runs": coverage_gaps(merged(ranges, group), zero_runs(points, group), group),
-        "random_histogram": split.exceptAll(random).unionByName(random.exceptAll(split)),
-        "protected_roles": inside.unionByName(around),
-        "untagged_payloads": uncontained(matches, spans.filter("role = 'payload'")),
-        "overlapping_spans": overlaps(spans, ["record"]),
+        "zero_runs": count(run_gaps(masked_ranges(spans, controls), points, group)),
+        "random_histogram": count(split.exceptAll(random).unionByName(random.exceptAll(split))),
+        "protected_roles": protected(),
+        "untagged_payloads": count(uncontained(matches, payloads)),
+        "overlapping_spans": overlapping(),
     }
-    return functools.reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("violations")).select(F.lit(k).alias("check"), "violations") for k, df in checks.items()))
+    return functools.reduce(DataFrame.unionByName, (df.select(F.lit(k).alias("check"), "violations") for k, df in checks.items()))
 
 
 def balanced_padding(spans: DataFrame, most: int = 4096) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import masks as op
-from ..storage import frozen
+from ..storage import frozen, remove, scratch
 from . import schedule
 from .base import LANES, lanes, read, with_
 
@@ -15,8 +15,10 @@ SEED = "controls-v1"
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(span_id, record, n, role, external, start, end, length, position_bin)."""
-    # two numbers a document are kept and dealt evenly; the texts are read once, however often spans are asked for
-    counted = frozen(lanes(spark, sf_dir).filter("token_length >= 7").select("ordinal", "token_length").repartition("ordinal"))
+    # two numbers a document are kept and dealt evenly; the texts are read once, however often spans are asked for.
+    # Their number of partitions is given, else they would be put together by their bytes: each is to become hundreds of spans
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = frozen(lanes(spark, sf_dir).filter("token_length >= 7").select("ordinal", "token_length").repartition(tasks, "ordinal"))
     rows = counted.select(F.col("ordinal").alias("record"), F.col("token_length").alias("n"), F.explode(F.sequence(F.lit(0), F.expr("token_length div 7 - 1"))).alias("k"))
     s, two = F.col("k") * 7, F.col("k") % 2
     parts = F.array(
@@ -180,8 +182,12 @@ def split_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sidecar_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The checks of the weight sidecars, with the violations that these controls and matches have."""
     s = spans(spark, sf_dir)
-    c = _controls(spark, sf_dir, s)
-    return op.audit(s, c, op.positions(op.masked_ranges(s, c)), _matches(spark, sf_dir))
+    kept = scratch(spark, "controls")
+    try:
+        c = by_record(_controls(spark, sf_dir, s).select("record", "start", "end", "length", "position_bin"), kept)
+        return frozen(op.audit(s, c, op.positions(op.masked_ranges(s, c)), _matches(spark, sf_dir)))
+    finally:
+        remove(spark, kept)
 
 
 def balanced_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
